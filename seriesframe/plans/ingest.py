@@ -15,10 +15,18 @@ from seriesframe.operators.upsert import last_wins
 
 @dataclass
 class Ingested:
-    """Outcome of one batch; all frames are lazy over the same validated rows."""
+    """Outcome of one batch; all frames are views of the validated rows."""
 
     validated: DataFrame
-    registrations: DataFrame
+    registry: DataFrame
+    adopt: bool = False
+
+    @property
+    def registrations(self) -> DataFrame:
+        """Unknown names to register: those of rows that pass the sample rules."""
+        return catalog.auto_registrations(
+            self.validated.filter("sample_ok"), self.registry, self.adopt
+        )
 
     @property
     def accepted(self) -> DataFrame:
@@ -52,9 +60,10 @@ def validate_batch(
     rows = rows.withColumn(
         "reason", F.coalesce(problem, validation.sample_problem(as_of, settings))
     )
-    registrations = catalog.auto_registrations(rows.filter("reason IS NULL"), registry, adopt)
+    rows = rows.withColumn("sample_ok", F.col("reason").isNull())
     known = registry.select("name", "id", "label_keys")
     if adopt:
+        registrations = catalog.auto_registrations(rows.filter("sample_ok"), registry, adopt)
         known = known.unionByName(registrations.select(
             "name", catalog.metric_uuid("name").alias("id"), F.col("labels").alias("label_keys")
         ))
@@ -73,7 +82,7 @@ def validate_batch(
         validation.schema_problem(settings),
         validation.cardinality_problem(settings, full),
     )).withColumn("warnings", validation.cardinality_warnings(settings, series))
-    return Ingested(rows, registrations)
+    return Ingested(rows, registry, adopt)
 
 
 def batch_rows(accepted: DataFrame, landed: int, order: list[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesframe.config import Settings
-from seriesframe.functions.labels import literal_map
+from seriesframe.functions.labels import from_key, literal_map
 from seriesframe.functions.times import parse_interval, utc
 from seriesframe.operators import aggregates, counters
 from seriesframe.operators.filters import check_range, default_range, filter_labels, filter_time
@@ -101,9 +101,11 @@ def plan(
     if aggregation is Aggregation.RATE:
         if metric_type != "COUNTER":
             raise ValueError("a rate needs a counter metric")
-        rates = counters.rate(found, settings.skew.series_rows)
+        # The label map follows from its key, so it need not travel through the window.
+        rates = counters.rate(found.drop("labels"), settings.skew.series_rows)
         return counters.newest_points(rates, request.limit).select(
-            F.col("time").alias("timestamp"), F.col("rate").alias("value"), "labels"
+            F.col("time").alias("timestamp"), F.col("rate").alias("value"),
+            from_key("labels_key").alias("labels"),
         )
     if aggregation.fraction is not None:
         most = settings.skew.percentile_rows

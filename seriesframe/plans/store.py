@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping
+from dataclasses import replace
 from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,7 @@ from seriesframe.plans.ingest import Ingested, batch_rows, validate_batch
 from seriesframe.plans.request import Aggregation, QueryRequest
 from seriesframe.schema import (
     INCOMING, LABELS_INDEX, MANIFEST, METRIC_LABELS, METRICS, ROLLUP, RUNS,
+    SERIES_SEEN,
 )
 from seriesframe.session import configure, materialize
 from seriesframe.sources import archive as archive_files
@@ -102,6 +104,26 @@ class MetricStore:
         merged = upsert.upsert(found.filter(touched), waiting)
         return found.filter(~touched).unionByName(merged)
 
+    def series_seen(self) -> DataFrame:
+        """One row per series and day, plus the rows waiting to be merged.
+
+        The series limit is counted on this and not on the samples, so checking a batch reads
+        as many rows as there are series, not as there are samples.
+        """
+        columns = SERIES_SEEN.names
+        return self._read("series", SERIES_SEEN).unionByName(self.incoming().select(*columns))
+
+    def _note_series(self, days: list[date]) -> None:
+        stored = tables.in_days(scan_samples(self.spark, self.path("samples")), days)
+        seen = stored.groupBy("metric_id", "labels_key", "day").agg(F.max("time").alias("time"))
+        tables.overwrite_days(seen.select(*SERIES_SEEN.names), self.path("series"))
+
+    def _drop_series(self, before: date) -> None:
+        """Forget series of old days; the series limit looks back one check window only."""
+        for name in tables.partitions(self.spark, self.path("series")):
+            if date.fromisoformat(name) < before:
+                tables.delete(self.spark, self.path(f"series/day={name}"))
+
     def _waiting_days(self) -> list[date]:
         """Days with waiting rows, read off the folder names of the batches."""
         names = {
@@ -157,19 +179,33 @@ class MetricStore:
         order = order or (["arrival"] if "arrival" in incoming.columns else ["idx"])
         batch = batch or uuid.uuid4().hex
         landed = int(datetime.now(timezone.utc).timestamp() * 1_000_000)
-        lazy = validate_batch(incoming, self.registry(), as_of, self.settings, self.samples())
-        done = Ingested(
-            materialize(lazy.validated, "validated"), materialize(lazy.registrations, "new-metrics")
-        )
-        if not done.registrations.isEmpty():
-            self._append_metrics(done.registrations, as_of)
+        lazy = validate_batch(incoming, self.registry(), as_of, self.settings, self.series_seen())
+        done = replace(lazy, validated=materialize(lazy.validated, "validated"))
+        fresh = materialize(done.registrations, "new-metrics")
+        if not fresh.isEmpty():
+            self._append_metrics(fresh, as_of)
         rows = batch_rows(done.accepted, landed, order)
         tables.by_day(rows).write.mode("overwrite").partitionBy("day").parquet(
             self.path(f"incoming/batch={batch}")
         )
         done.rejected.write.mode("overwrite").parquet(self.path(f"rejects/batch={batch}"))
+        passed = F.col("reason").isNull()
+        accepted, rejected = done.validated.agg(F.count_if(passed), F.count_if(~passed)).first()
+        self._log([
+            self._run("ingest", "COMPLETED", as_of, as_of, 0, accepted, run_id=f"{batch}/accepted"),
+            self._run("reject", "COMPLETED", as_of, as_of, 0, rejected, run_id=f"{batch}/rejected"),
+        ])
         return done
 
+    def ingest_totals(self) -> DataFrame:
+        """Accepted and rejected samples over all batches; a repeated batch counts once."""
+        runs = self.runs().filter(F.col("job_type").isin("ingest", "reject"))
+        once = runs.groupBy("id", "job_type").agg(F.max("rows_migrated").alias("rows"))
+        return once.agg(
+            F.sum(F.when(F.col("job_type") == "ingest", F.col("rows"))).alias("total_accepted"),
+            F.sum(F.when(F.col("job_type") == "reject", F.col("rows"))).alias("total_rejected"),
+        )
+
     def merge_incoming(self) -> None:
         """Fold waiting batches into the day partitions. Repeating it changes nothing."""
         batches = tables.partitions(self.spark, self.path("incoming"), "batch")
@@ -180,6 +216,7 @@ class MetricStore:
         stored = tables.in_days(scan_samples(self.spark, self.path("samples")), days)
         if days:
             tables.overwrite_days(upsert.upsert(stored, waiting), self.path("samples"))
+            self._note_series(days)
         for batch in batches:
             tables.delete(self.spark, self.path(f"incoming/batch={batch}"))
 
@@ -196,6 +233,7 @@ class MetricStore:
         days = [row["day"] for row in fresh.select("day").distinct().collect()]
         stored = tables.in_days(scan_samples(self.spark, self.path("samples")), days)
         tables.overwrite_days(upsert.upsert(stored, fresh), self.path("samples"))
+        self._note_series(days)
 
     # Queries
 
@@ -336,6 +374,7 @@ class MetricStore:
             ).parquet(self.path("manifest"))
         cold = archive_files.read_archive_days(self.spark, self.path("archive"), days)
         tables.replace_days(archive.kept_in_hot(hot, cold), self.path("samples"), days)
+        self._drop_series(before)
 
     def read_archive(self, metric_id: str, start, end) -> DataFrame:
         return archive_files.read_archive(
@@ -386,12 +425,20 @@ class MetricStore:
             )
             tables.rewrite_partitions(kept, self.path("manifest"), days, ["day", "metric_id"])
 
-    def log_run(
-        self, job_type: str, status: str, start_time, end_time,
-        metrics_processed: int = 0, rows_migrated: int = 0, error_message: str | None = None,
-    ) -> None:
-        row = (
-            uuid.uuid4().hex, job_type, status, utc(start_time), utc(end_time),
+    def log_run(self, job_type: str, status: str, start_time, end_time, *counts) -> None:
+        """Append one row to the run log: metrics processed, rows migrated, error message."""
+        self._log([self._run(job_type, status, start_time, end_time, *counts)])
+
+    @staticmethod
+    def _run(
+        job_type: str, status: str, start_time, end_time, metrics_processed: int = 0,
+        rows_migrated: int = 0, error_message: str | None = None, run_id: str | None = None,
+    ) -> tuple:
+        return (
+            run_id or uuid.uuid4().hex, job_type, status, utc(start_time), utc(end_time),
             metrics_processed, rows_migrated, error_message, utc(end_time), utc(end_time),
         )
-        self.spark.createDataFrame([row], RUNS).write.mode("append").parquet(self.path("runs"))
+
+    def _log(self, rows: list[tuple]) -> None:
+        made = self.spark.createDataFrame(rows, RUNS).coalesce(1)
+        made.write.mode("append").parquet(self.path("runs"))

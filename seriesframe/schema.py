@@ -29,6 +29,8 @@ SAMPLES = _struct(time=_TS, metric_id=_S, value=_D, labels=LABELS, labels_key=_S
 INCOMING = _struct(
     time=_TS, metric_id=_S, value=_D, labels_key=_S, landed=_L, batch=_S, day=_DATE,
 )
+# Series seen per day, with their newest sample: what the series limit is counted on.
+SERIES_SEEN = _struct(metric_id=_S, labels_key=_S, time=_TS, day=_DATE)
 ROLLUP = _struct(
     bucket=_TS, metric_id=_S, labels_key=_S, avg_value=_D, sum_value=_D, min_value=_D,
     max_value=_D, sample_count=_L, day=_DATE,
