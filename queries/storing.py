@@ -114,7 +114,7 @@ def store_query(spark, sf_dir):
 def _old_manifest(spark, sf_dir) -> DataFrame:
     """Manifest of all days before the cutoff, with a stand-in for file sizes."""
     old = v.with_day(v.samples(spark, sf_dir)).filter(F.col("day") < F.lit(CUTOFF))
-    rows = archive.manifest_rows(old, v.AS_OF)
+    rows = archive.manifest_rows(archive.labels_index(old), v.AS_OF)
     return rows.withColumn("file_size_bytes", F.col("row_count") * 100)
 
 

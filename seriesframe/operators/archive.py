@@ -45,15 +45,12 @@ def archive_directory(file_format: str = "parquet") -> Column:
     )
 
 
-def manifest_rows(archived: DataFrame, as_of, file_format: str = "parquet") -> DataFrame:
-    """One manifest row per metric and day; sizes are joined once the files exist."""
+def manifest_rows(index: DataFrame, as_of, file_format: str = "parquet") -> DataFrame:
+    """One manifest row per metric and day of a label index; sizes are joined once files exist."""
     start = F.col("day").cast("timestamp")
     return (
-        archived.groupBy(*METRIC_DAY)
-        .agg(
-            F.count(F.lit(1)).alias("row_count"),
-            F.countDistinct("labels_key").alias("series_count"),
-        )
+        index.groupBy(*METRIC_DAY)
+        .agg(F.sum("row_count").alias("row_count"), F.count(F.lit(1)).alias("series_count"))
         .select(
             F.md5(F.concat_ws("/", "metric_id", "day")).alias("id"), *METRIC_DAY,
             start.alias("start_time"),

@@ -61,28 +61,35 @@ def _cell(step: int) -> Column:
     return micros - F.pmod(micros, F.lit(step))
 
 
+def _cell_sizes(rows: DataFrame, name: str, step: int) -> DataFrame:
+    return rows.groupBy(*SERIES, _cell(step).alias(name)).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _slices(samples: DataFrame, max_rows: int):
     """(function adding ``slice``, hot series), or (None, None) when no series is too long."""
     sizes = samples.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("n"))
     if (sizes.agg(F.max("n")).first()[0] or 0) <= max_rows:
         return None, None
-    # Each table of hot cells has at most rows / max_rows rows; Spark sees its written size
-    # and picks the join.
-    hot = materialize(sizes.filter(F.col("n") > max_rows).select(*SERIES), "hot-series")
+    # One pass counts (series, day); overlong series and days both follow from it. Each table
+    # of hot cells has at most rows / max_rows rows, and Spark picks the join from its size.
+    rows = samples.select(*SERIES, "time")
+    cells = materialize(_cell_sizes(rows, "cell_1", SLICE_STEPS[0]), "series-days")
+    hot = materialize(
+        cells.groupBy(*SERIES).agg(F.sum("n").alias("n"))
+        .filter(F.col("n") > max_rows).select(*SERIES),
+        "hot-series",
+    )
     levels = [(None, hot)]
-    rows = samples.join(hot, SERIES, "left_semi").select(*SERIES, "time")
-    for step in SLICE_STEPS[:-1]:
+    for step, finer in zip(SLICE_STEPS, SLICE_STEPS[1:]):
         name = f"cell_{len(levels)}"
-        rows = rows.withColumn(name, _cell(step))
         heavy = materialize(
-            rows.groupBy(*SERIES, name).agg(F.count(F.lit(1)).alias("n"))
-            .filter(F.col("n") > max_rows).select(*SERIES, name),
-            "hot-cells",
+            cells.filter(F.col("n") > max_rows).select(*SERIES, name), "hot-cells"
         )
         if heavy.isEmpty():
             break
         levels.append((name, heavy))
-        rows = rows.join(heavy, [*SERIES, name], "left_semi")
+        rows = rows.withColumn(name, _cell(step)).join(heavy, [*SERIES, name], "left_semi")
+        cells = _cell_sizes(rows, f"cell_{len(levels)}", finer)
 
     def slice_of(df: DataFrame) -> DataFrame:
         chosen = F.lit(0).cast("long")

@@ -1,7 +1,7 @@
 """Exact interpolated percentiles that no single task has to hold.
 
-Spark's ``percentile`` keeps every distinct value of a group in one buffer, which is the right
-plan while groups are small. A group beyond ``max_group_rows`` takes another way:
+A group of at most ``max_group_rows`` values is sorted as one array, which is several times
+faster than the value counts of Spark's ``percentile``. A bigger group takes another way:
 
 1. ``percentile_approx`` (a bounded sketch) brackets each wanted rank;
 2. values below a bracket collapse to one counted row and values above it are dropped, so only
@@ -36,27 +36,43 @@ def exact_percentiles(
 ) -> DataFrame:
     """``keys, percentiles array<double>`` plus any ``extra`` aggregates of the same groups."""
     keys = list(keys)
-    native = F.percentile(value, [float(f) for f in fractions]).alias("percentiles")
     sizes = df.groupBy(*keys).agg(F.count(value).alias("n"))
     largest = sizes.agg(F.max("n")).first()[0] or 0
     if largest <= max_group_rows:
-        return df.groupBy(*keys).agg(native, *extra)
+        return _sorted_percentiles(df, keys, value, fractions, extra)
 
     if not keys:
-        whole = exact_percentiles(
-            df.withColumn("whole", F.lit(0)), ["whole"], value, fractions, max_group_rows, extra
-        )
-        return whole.drop("whole")
+        rows = df.withColumn("whole", F.lit(0))
+        ranked = _ranked_percentiles(rows, ["whole"], value, fractions)
+        if extra:
+            ranked = ranked.join(rows.groupBy("whole").agg(*extra), "whole")
+        return ranked.drop("whole")
     # At most rows / max_group_rows groups are hot, and each is one row here.
     hot = materialize(sizes.filter(F.col("n") > max_group_rows).select(*keys), "hot-groups")
     hot_rows = df.join(hot, keys, "left_semi")
-    cold = df.join(hot, keys, "left_anti").groupBy(*keys).agg(native, *extra)
+    cold = _sorted_percentiles(df.join(hot, keys, "left_anti"), keys, value, fractions, extra)
     ranked = _ranked_percentiles(hot_rows, keys, value, fractions)
     if extra:
         ranked = ranked.join(hot_rows.groupBy(*keys).agg(*extra), keys)
     return cold.unionByName(ranked)
 
 
+def _sorted_percentiles(
+    df: DataFrame, keys: list[str], value: str, fractions: Sequence[float], extra: Sequence[Column]
+) -> DataFrame:
+    """The way of bounded groups."""
+    values = F.sort_array(F.collect_list(value)).alias("sorted")
+    made = df.groupBy(*keys).agg(values, *extra)
+    last = F.size("sorted") - 1
+    points = []
+    for fraction in fractions:
+        at = F.lit(float(fraction)) * last
+        low = F.get("sorted", F.floor(at).cast("int"))
+        high = F.get("sorted", F.ceil(at).cast("int"))
+        points.append(low + (high - low) * (at - F.floor(at)))
+    return made.withColumn("percentiles", F.when(last >= 0, F.array(*points))).drop("sorted")
+
+
 def _ranked_percentiles(
     df: DataFrame, keys: list[str], value: str, fractions: Sequence[float]
 ) -> DataFrame:
@@ -105,10 +121,11 @@ def _targets(rows: DataFrame, keys: list[str], fractions: Sequence[float]) -> Da
 def _pick(rows: DataFrame, keys: list[str], targets: DataFrame) -> DataFrame:
     """``keys, i, v0, v1``: the values at ranks k0 and k1, NULL where the bracket missed."""
     on = [*keys, "i"]
-    # The targets are a few rows per hot group, so their number is bounded by the row count
-    # over max_group_rows; the join only tags rows and nothing but counts is shuffled.
+    # The targets are a few rows per hot group. They are a written table, so Spark knows their
+    # size: it broadcasts them while that is small and splits the hot groups of a shuffle join
+    # beyond. The join only tags rows; what is shuffled next is already counted.
     counted = (
-        rows.join(F.broadcast(targets), keys)
+        rows.join(targets, keys)
         .filter(F.col("v") <= F.col("hi"))
         .groupBy(*on, F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v"))
         .agg(F.count(F.lit(1)).alias("c"))

@@ -11,9 +11,6 @@ from seriesframe.functions.labels import from_key
 from seriesframe.functions.times import utc_day
 from seriesframe.schema import SAMPLE_KEY
 
-# Arrival of rows that were stored before anything that is still to be merged.
-STORED = -1
-
 
 def last_wins(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     """One row per key: the value that arrived last.
@@ -34,7 +31,12 @@ def as_samples(keyed: DataFrame) -> DataFrame:
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, order: str = "landed") -> DataFrame:
-    """Stored samples with incoming ones laid over them; the highest ``order`` (>= 0) wins."""
-    columns = [*SAMPLE_KEY, "value"]
-    old = stored.select(*columns, F.lit(STORED).cast("long").alias(order))
-    return as_samples(last_wins(old.unionByName(incoming.select(*columns, order)), [order]))
+    """Stored samples (one per key) with incoming ones laid over them, the highest ``order`` first.
+
+    Stored rows are only checked against the incoming keys: while these are few they are
+    broadcast and no stored row is shuffled.
+    """
+    fresh = last_wins(incoming, [order])
+    kept = stored.join(fresh.select(*SAMPLE_KEY), SAMPLE_KEY, "left_anti")
+    made = as_samples(fresh)
+    return kept.select(*made.columns).unionByName(made)

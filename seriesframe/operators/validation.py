@@ -34,6 +34,11 @@ def utf16_length(text: Column | str) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
 
 
+def longer_than(text: Column | str, limit: int) -> Column:
+    """A text has at most two units per character, so few texts need the exact count."""
+    return (F.length(text) > limit // 2) & (utf16_length(text) > limit)
+
+
 def first_problem(*problems: Column) -> Column:
     return F.coalesce(*problems)
 
@@ -41,7 +46,7 @@ def first_problem(*problems: Column) -> Column:
 def name_problem(name: Column | str, limits: IngestLimits = IngestLimits()) -> Column:
     return first_problem(
         F.when(is_blank(name), "name_blank"),
-        F.when(utf16_length(name) > limits.max_name_length, "name_too_long"),
+        F.when(longer_than(name, limits.max_name_length), "name_too_long"),
         F.when(~_col(name).rlike(METRIC_NAME_PATTERN), "name_invalid"),
     )
 
@@ -67,10 +72,10 @@ def label_problem(labels: Column | str = "labels", limits: IngestLimits = Ingest
     """First problem of the first bad label, in the order the sample lists them."""
     each = F.transform(F.map_entries(or_empty(labels)), lambda pair: F.coalesce(
         F.when(is_blank(pair["key"]), "label_key_blank"),
-        F.when(utf16_length(pair["key"]) > limits.max_label_key_length, "label_key_too_long"),
+        F.when(longer_than(pair["key"], limits.max_label_key_length), "label_key_too_long"),
         F.when(~pair["key"].rlike(LABEL_KEY_PATTERN), "label_key_invalid"),
         F.when(is_blank(pair["value"]), "label_value_blank"),
-        F.when(utf16_length(pair["value"]) > limits.max_label_value_length, "label_value_too_long"),
+        F.when(longer_than(pair["value"], limits.max_label_value_length), "label_value_too_long"),
     ))
     return F.get(F.array_compact(each), 0)
 
@@ -106,7 +111,7 @@ def cardinality_problem(settings: Settings = Settings(), over_limit: Column | No
     limits = settings.cardinality
     labels = or_empty("labels")
     long_values = F.transform(F.map_entries(labels), lambda pair: F.when(
-        utf16_length(pair["value"]) > limits.max_label_value_length,
+        longer_than(pair["value"], limits.max_label_value_length),
         F.concat(F.lit("label_value_over_limit:"), pair["key"]),
     ))
     count = F.when(F.size(labels) > limits.max_labels_per_metric, "label_count_over_limit")

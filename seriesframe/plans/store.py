@@ -26,7 +26,7 @@ from seriesframe.schema import (
     INCOMING, LABELS_INDEX, MANIFEST, METRIC_LABELS, METRICS, ROLLUP, RUNS,
     SERIES_SEEN,
 )
-from seriesframe.session import configure, materialize
+from seriesframe.session import configure, materialize, scratch
 from seriesframe.sources import archive as archive_files
 from seriesframe.sources import export as export_files
 from seriesframe.sources import tables
@@ -116,7 +116,9 @@ class MetricStore:
     def _note_series(self, days: list[date]) -> None:
         stored = tables.in_days(scan_samples(self.spark, self.path("samples")), days)
         seen = stored.groupBy("metric_id", "labels_key", "day").agg(F.max("time").alias("time"))
-        tables.overwrite_days(seen.select(*SERIES_SEEN.names), self.path("series"))
+        tables.overwrite_days(
+            seen.select(*SERIES_SEEN.names), self.path("series"), tables.compact
+        )
 
     def _drop_series(self, before: date) -> None:
         """Forget series of old days; the series limit looks back one check window only."""
@@ -181,11 +183,12 @@ class MetricStore:
         landed = int(datetime.now(timezone.utc).timestamp() * 1_000_000)
         lazy = validate_batch(incoming, self.registry(), as_of, self.settings, self.series_seen())
         done = replace(lazy, validated=materialize(lazy.validated, "validated"))
-        fresh = materialize(done.registrations, "new-metrics")
-        if not fresh.isEmpty():
-            self._append_metrics(fresh, as_of)
+        with scratch(self.spark) as keep:
+            fresh = keep(done.registrations, "new-metrics")
+            if not fresh.isEmpty():
+                self._append_metrics(fresh, as_of)
         rows = batch_rows(done.accepted, landed, order)
-        tables.by_day(rows).write.mode("overwrite").partitionBy("day").parquet(
+        tables.compact(rows, "day").write.mode("overwrite").partitionBy("day").parquet(
             self.path(f"incoming/batch={batch}")
         )
         done.rejected.write.mode("overwrite").parquet(self.path(f"rejects/batch={batch}"))
@@ -225,14 +228,12 @@ class MetricStore:
 
         Of several rows with one key the last by ``order`` wins, and it wins over stored ones.
         """
-        kept = upsert.last_wins(rows, order)
-        fresh = materialize(
-            kept.withColumn("landed", F.lit(0).cast("long")).withColumn("day", utc_day("time")),
-            "upsert",
-        )
-        days = [row["day"] for row in fresh.select("day").distinct().collect()]
-        stored = tables.in_days(scan_samples(self.spark, self.path("samples")), days)
-        tables.overwrite_days(upsert.upsert(stored, fresh), self.path("samples"))
+        kept = upsert.last_wins(rows, order).withColumn("day", utc_day("time"))
+        with scratch(self.spark) as keep:
+            fresh = keep(kept.withColumn("landed", F.lit(0).cast("long")), "upsert")
+            days = [row["day"] for row in fresh.select("day").distinct().collect()]
+            stored = tables.in_days(scan_samples(self.spark, self.path("samples")), days)
+            tables.overwrite_days(upsert.upsert(stored, fresh), self.path("samples"))
         self._note_series(days)
 
     # Queries
@@ -355,27 +356,35 @@ class MetricStore:
         if not days:
             return
         hot = tables.in_days(scan_samples(self.spark, self.path("samples")), days)
-        todo = materialize(archive.archive_candidates(hot, self.manifest(), before), "candidates")
-        if not todo.isEmpty():
-            moving = hot.join(todo, archive.METRIC_DAY, "left_semi")
-            archive_files.write_archive(moving, self.path("archive"), file_format)
-            sizes = archive_files.folder_sizes(self.spark, self.path("archive"), file_format, days)
-            rows = archive.manifest_rows(moving, as_of, file_format).join(
-                sizes, archive.METRIC_DAY, "left"
-            )
-            ordered = rows.select(*MANIFEST.names)
-            tables.balanced(
-                archive.labels_index(moving), "day", "metric_id", "labels_key"
-            ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-                "day", "metric_id"
-            ).parquet(self.path("labels_index"))
-            tables.balanced(ordered, "day", "metric_id").write.mode("append").partitionBy(
-                "day"
-            ).parquet(self.path("manifest"))
+        with scratch(self.spark) as keep:
+            todo = keep(archive.archive_candidates(hot, self.manifest(), before), "candidates")
+            self._archive_days(hot, todo, as_of, file_format, days)
         cold = archive_files.read_archive_days(self.spark, self.path("archive"), days)
         tables.replace_days(archive.kept_in_hot(hot, cold), self.path("samples"), days)
         self._drop_series(before)
 
+    def _archive_days(
+        self, hot: DataFrame, todo: DataFrame, as_of, file_format: str, days: list[date]
+    ) -> None:
+        """Files, then their label index, then the manifest, for the (metric, day) in ``todo``."""
+        if todo.isEmpty():
+            return
+        key = archive.METRIC_DAY
+        moving = hot.join(todo, key, "left_semi")
+        archive_files.write_archive(moving, self.path("archive"), file_format)
+        tables.compact(archive.labels_index(moving), "day", "metric_id").write.mode(
+            "overwrite"
+        ).option("partitionOverwriteMode", "dynamic").partitionBy("day", "metric_id").parquet(
+            self.path("labels_index")
+        )
+        # The manifest follows from the index, which has a row per series and not per sample.
+        index = tables.in_days(self.labels_index(), days).join(todo.select(*key), key, "left_semi")
+        sizes = archive_files.folder_sizes(self.spark, self.path("archive"), file_format, days)
+        rows = archive.manifest_rows(index, as_of, file_format).join(sizes, key, "left")
+        tables.compact(rows.select(*MANIFEST.names), "day").write.mode("append").partitionBy(
+            "day"
+        ).parquet(self.path("manifest"))
+
     def read_archive(self, metric_id: str, start, end) -> DataFrame:
         return archive_files.read_archive(
             self.spark, self.path("archive"), self.manifest(), metric_id, start, end
@@ -401,13 +410,16 @@ class MetricStore:
         """
         self.merge_incoming()
         default = self.settings.default_retention_days
-        longest = self.metrics().agg(F.max("retention_days")).first()[0] or default
-        dead = day_of(utc(as_of) - timedelta(days=max(longest, default)))
+        limits = self.metrics().agg(F.min("retention_days"), F.max("retention_days")).first()
+        shortest, longest = min(limits[0] or default, default), max(limits[1] or default, default)
+        dead = day_of(utc(as_of) - timedelta(days=longest))
         path = self.path("samples")
         for name in tables.partitions(self.spark, path):
             if date.fromisoformat(name) < dead:
                 tables.delete(self.spark, f"{path}/day={name}")
-        hot = scan_samples(self.spark, path)
+        # No younger day can hold an expired row, so it is not scanned.
+        youngest = day_of(utc(as_of) - timedelta(days=shortest))
+        hot = scan_samples(self.spark, path).filter(F.col("day") <= F.lit(youngest))
         stale = lifecycle.expired(hot, self.metrics(), as_of, default)
         days = [row["day"] for row in stale.select("day").distinct().collect()]
         if days:
@@ -420,10 +432,9 @@ class MetricStore:
         old = manifest.filter(F.col("created_at") < F.lit(utc(cutoff)))
         days = [row["day"] for row in old.select("day").distinct().collect()]
         if days:
-            kept = materialize(
-                archive.purge_manifest(tables.in_days(manifest, days), cutoff), "manifest"
-            )
-            tables.rewrite_partitions(kept, self.path("manifest"), days, ["day", "metric_id"])
+            with scratch(self.spark) as keep:
+                kept = keep(archive.purge_manifest(tables.in_days(manifest, days), cutoff), "manifest")
+                tables.rewrite_partitions(kept, self.path("manifest"), days, ["day", "metric_id"])
 
     def log_run(self, job_type: str, status: str, start_time, end_time, *counts) -> None:
         """Append one row to the run log: metrics processed, rows migrated, error message."""

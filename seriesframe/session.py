@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from seriesframe.sources.files import delete
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Settings the semantics rely on; everything else is left to the cluster."""
@@ -33,6 +37,26 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/seriesframe/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Intermediate tables of one job, deleted when the job is through.
+
+    Queries that return lazy frames use :func:`materialize` instead; what they leave in the
+    shared folder is cleaned like Spark's own checkpoints.
+    """
+    folder = scratch_path(spark, "job")
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        path = f"{folder}/{label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        delete(spark, folder)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

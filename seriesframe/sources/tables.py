@@ -10,32 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from seriesframe.schema import SERIES
-from seriesframe.session import materialize
-
-
-def _fs(spark: SparkSession, path: str):
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, hadoop_path = _fs(spark, path)
-    return fs.exists(hadoop_path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    fs, hadoop_path = _fs(spark, path)
-    fs.delete(hadoop_path, True)
-
-
-def partitions(spark: SparkSession, path: str, column: str = "day") -> list[str]:
-    """Values of the first partition column, read from the directory names."""
-    fs, hadoop_path = _fs(spark, path)
-    if not fs.exists(hadoop_path):
-        return []
-    names = [status.getPath().getName() for status in fs.listStatus(hadoop_path)]
-    prefix = f"{column}="
-    return sorted(name[len(prefix):] for name in names if name.startswith(prefix))
+from seriesframe.session import scratch
+from seriesframe.sources.files import delete, exists, partitions  # noqa: F401
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -47,7 +23,8 @@ def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 def replace_table(df: DataFrame, path: str) -> None:
     """Overwrite a small table, also with a frame that reads it."""
-    materialize(df, "replace").write.mode("overwrite").parquet(path)
+    with scratch(df.sparkSession) as keep:
+        keep(df, "replace").write.mode("overwrite").parquet(path)
 
 
 def balanced(df: DataFrame, *keys: str) -> DataFrame:
@@ -59,6 +36,11 @@ def balanced(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
+def compact(df: DataFrame, *keys: str) -> DataFrame:
+    """Few, evenly sized partitions by ``keys`` for a small table; a hot key is split."""
+    return df.hint("rebalance", *keys)
+
+
 def by_day(df: DataFrame) -> DataFrame:
     moment = "bucket" if "bucket" in df.columns else "time"
     return balanced(df, "day", *SERIES, moment)
@@ -68,13 +50,14 @@ def append_days(df: DataFrame, path: str) -> None:
     by_day(df).write.mode("append").partitionBy("day").parquet(path)
 
 
-def overwrite_days(df: DataFrame, path: str) -> None:
+def overwrite_days(df: DataFrame, path: str, arrange=None) -> None:
     """Replace the day partitions that occur in ``df``; others stay.
 
     Spark deletes the old files only after every task has written its new ones, so ``df`` may
     read the very partitions it replaces.
     """
-    by_day(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+    arranged = by_day(df) if arrange is None else arrange(df, "day")
+    arranged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         "day"
     ).parquet(path)
 
@@ -82,7 +65,8 @@ def overwrite_days(df: DataFrame, path: str) -> None:
 def replace_days(df: DataFrame, path: str, days: Iterable[date]) -> None:
     """Make ``df`` the whole content of ``days``; a day without rows is removed."""
     moment = "bucket" if "bucket" in df.columns else "time"
-    rewrite_partitions(materialize(df, "replace-days"), path, days, ["day", *SERIES, moment])
+    with scratch(df.sparkSession) as keep:
+        rewrite_partitions(keep(df, "replace-days"), path, days, ["day", *SERIES, moment])
 
 
 def rewrite_partitions(
