@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from queries import views as v
 from queries.registry import query
 from seriesframe.operators import aggregates, counters
-from seriesframe.operators.filters import filter_labels, filter_metric, filter_time
+from seriesframe.operators.filters import (
+    filter_age, filter_labels, filter_metric, filter_time, filter_time_half_open,
+)
 from seriesframe.plans import request
 
 LOW = {"band": "low"}
@@ -70,6 +72,27 @@ def range_query(spark, sf_dir):
     return v.tidy(request.range_query(found, v.START, v.AS_OF, "6h", LOW))
 
 
+@query("day_chunks", views=v.V_SAMPLES, sql="""
+SELECT 'half_open' AS range, metric_id, count(*) AS samples FROM v_samples
+  WHERE time >= TIMESTAMP '2024-01-03' AND time < TIMESTAMP '2024-01-20' GROUP BY 2
+UNION ALL SELECT 'closed', metric_id, count(*) FROM v_samples
+  WHERE time BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-20' GROUP BY 2
+UNION ALL SELECT 'older', metric_id, count(*) FROM v_samples
+  WHERE time < TIMESTAMP '2024-01-20 06:00:00' GROUP BY 2""")
+def day_chunks(spark, sf_dir):
+    found = v.with_day(v.samples(spark, sf_dir))
+    parts = {
+        "half_open": filter_time_half_open(found, "2024-01-03", "2024-01-20"),
+        "closed": filter_time(found, "2024-01-03", "2024-01-20"),
+        "older": filter_age(found, "2024-01-20 06:00:00"),
+    }
+    counts = [
+        df.groupBy(F.lit(name).alias("range"), "metric_id").agg(F.count(F.lit(1)).alias("samples"))
+        for name, df in parts.items()
+    ]
+    return counts[0].union(counts[1]).union(counts[2])
+
+
 # Buckets and totals
 
 

@@ -113,6 +113,12 @@ def metrics_with_labels(spark, sf_dir):
     return _flat(catalog.with_label_keys(v.metrics(spark, sf_dir), v.metric_labels(spark, sf_dir)))
 
 
+@query("distinct_label_keys", views=v.V_METRICS, sql="""
+SELECT unnest(['band', 'shard']) AS label_key FROM v_metrics WHERE id = 'view'""")
+def distinct_label_keys(spark, sf_dir):
+    return catalog.distinct_label_keys(v.metric_labels(spark, sf_dir), "view")
+
+
 @query("sample_metric_join", views=v.V_SAMPLES + "," + v.V_METRICS, sql="""
 SELECT m.name, m.type, m.retention_days, count(*) AS samples, round(sum(s.value), 4) AS sum_value
 FROM v_samples s JOIN v_metrics m ON s.metric_id = m.id GROUP BY 1, 2, 3""")

@@ -24,6 +24,7 @@ from seriesframe.session import scratch_path
 from seriesframe.sources import export, tables
 from seriesframe.sources.samples import read_samples_json, read_samples_ndjson
 from seriesframe.streaming.ingest import dedup_first_wins, start, stream_ingest
+from seriesframe.streaming.rates import stream_rate
 from seriesframe.streaming.rollups import write_stream_rollup
 
 CUTOFF = date(2024, 1, 11)
@@ -452,6 +453,34 @@ def stream_rollup(spark, sf_dir):
     return v.tidy(spark.read.parquet(path).drop("day"))
 
 
+@query("stream_rate", views=v.V_COUNTER, sql="""
+SELECT time, metric_id, labels_key, round(
+    CASE WHEN value < pv THEN value ELSE value - pv END / (epoch_us(time) - epoch_us(pt)) * 1e6 + 1e-9, 6) AS rate
+FROM (SELECT *, lag(value) OVER w AS pv, lag(time) OVER w AS pt FROM v_counter
+      WINDOW w AS (PARTITION BY metric_id, labels_key ORDER BY time)) o
+WHERE pt IS NOT NULL""")
+def stream_rate_query(spark, sf_dir):
+    """The counters arrive ten days at a time; the stream is restarted for each arrival."""
+    arrived, path = scratch_path(spark, "arrived"), scratch_path(spark, "stream-rate")
+    state, checkpoint = scratch_path(spark, "last"), scratch_path(spark, "checkpoint")
+    rows = v.with_day(v.counter_samples(spark, sf_dir)).select(*KEY_VALUE, "day")
+    for low, high in _day_spans(10):
+        span = rows.filter(F.col("day").between(F.lit(low), F.lit(high)))
+        span.write.mode("append").parquet(arrived)
+        stream = spark.readStream.schema(rows.schema).parquet(arrived)
+        stream_rate(stream, path, state, checkpoint, available_now=True).awaitTermination()
+    found = spark.read.schema(RATE).parquet(f"{path}/batch=*")
+    return v.tidy(found.select("time", "metric_id", "labels_key", "rate"))
+
+
+RATE = "time timestamp, metric_id string, labels_key string, rate double"
+
+
+def _day_spans(days: int) -> list[tuple[date, date]]:
+    """Consecutive spans that cover January 2024."""
+    return [(date(2024, 1, d), date(2024, 1, min(d + days - 1, 31))) for d in range(1, 32, days)]
+
+
 @query("stream_dedup", views=v.V_SAMPLES, sql="""
 SELECT DISTINCT time, metric_id, labels_key FROM v_samples""")
 def stream_dedup(spark, sf_dir):

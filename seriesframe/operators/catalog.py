@@ -36,6 +36,19 @@ def resolve_metric(metrics: DataFrame, name: str):
     return row
 
 
+def metric_by_id(metrics: DataFrame, metric_id: str):
+    """The one row with this id; an unknown id raises."""
+    row = metrics.filter(F.col("id") == metric_id).first()
+    if row is None:
+        raise MetricNotFound(metric_id)
+    return row
+
+
+def distinct_label_keys(metric_labels: DataFrame, metric_id: str) -> DataFrame:
+    """Label keys registered for one metric."""
+    return metric_labels.filter(F.col("metric_id") == metric_id).select("label_key").distinct()
+
+
 def filter_active(metrics: DataFrame) -> DataFrame:
     return metrics.filter("is_active")
 

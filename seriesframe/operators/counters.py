@@ -61,14 +61,19 @@ def _cell(step: int) -> Column:
     return micros - F.pmod(micros, F.lit(step))
 
 
+def _longest(samples: DataFrame, keys: list[str]) -> int:
+    sizes = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.max("n")).first()[0] or 0
+
+
 def _cell_sizes(rows: DataFrame, name: str, step: int) -> DataFrame:
     return rows.groupBy(*SERIES, _cell(step).alias(name)).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _slices(samples: DataFrame, max_rows: int):
     """(function adding ``slice``, hot series), or (None, None) when no series is too long."""
-    sizes = samples.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("n"))
-    if (sizes.agg(F.max("n")).first()[0] or 0) <= max_rows:
+    # A metric that is short enough has no overlong series, and counting it needs no label key.
+    if _longest(samples, ["metric_id"]) <= max_rows or _longest(samples, SERIES) <= max_rows:
         return None, None
     # One pass counts (series, day); overlong series and days both follow from it. Each table
     # of hot cells has at most rows / max_rows rows, and Spark picks the join from its size.

@@ -140,6 +140,9 @@ class MetricStore:
     def resolve(self, name: str):
         return catalog.resolve_metric(self.metrics(), name)
 
+    def metric(self, metric_id: str):
+        return catalog.metric_by_id(self.registry(), metric_id)
+
     def list_metrics(self, **options) -> DataFrame:
         return catalog.list_metrics(self.metrics(), self.metric_labels(), **options)
 
@@ -158,8 +161,7 @@ class MetricStore:
         )
 
     def update_metric(self, metric_id: str, as_of, **changes) -> None:
-        if self.metrics().filter(F.col("id") == metric_id).isEmpty():
-            raise catalog.MetricNotFound(metric_id)
+        catalog.metric_by_id(self.metrics(), metric_id)
         changed = catalog.update_metric(
             self.metrics(), metric_id, as_of, settings=self.settings, **changes
         )
