@@ -18,7 +18,7 @@ from seriesframe.functions.labels import canonical_key
 from seriesframe.operators import archive, lifecycle, upsert
 from seriesframe.operators.filters import filter_metric
 from seriesframe.plans.request import Aggregation, QueryRequest, raw_points
-from seriesframe.plans.store import MetricStore
+from seriesframe.plans.store import SeriesStore
 from seriesframe.schema import SAMPLES
 from seriesframe.session import scratch_path
 from seriesframe.sources import export, tables
@@ -31,15 +31,15 @@ CUTOFF = date(2024, 1, 11)
 KEY_VALUE = ["time", "metric_id", "labels_key", "value"]
 
 
-def _store(spark: SparkSession, sf_dir: str, **settings) -> MetricStore:
+def _store(spark: SparkSession, sf_dir: str, **settings) -> SeriesStore:
     """A store holding the metric dimension."""
-    store = MetricStore(spark, scratch_path(spark, "store"), Settings(**settings))
+    store = SeriesStore(spark, scratch_path(spark, "store"), Settings(**settings))
     v.metrics(spark, sf_dir).write.parquet(store.path("metrics"))
     v.metric_labels(spark, sf_dir).write.parquet(store.path("metric_labels"))
     return store
 
 
-def _filled(spark: SparkSession, sf_dir: str, **settings) -> MetricStore:
+def _filled(spark: SparkSession, sf_dir: str, **settings) -> SeriesStore:
     """A store holding all event samples as well."""
     store = _store(spark, sf_dir, **settings)
     rows = v.with_day(v.samples(spark, sf_dir)).select(*SAMPLES.names)

@@ -2,6 +2,6 @@
 
 from seriesframe.config import Settings
 from seriesframe.plans.request import Aggregation, QueryRequest
-from seriesframe.plans.store import MetricStore
+from seriesframe.plans.store import SeriesStore
 
-__all__ = ["Aggregation", "MetricStore", "QueryRequest", "Settings"]
+__all__ = ["Aggregation", "SeriesStore", "QueryRequest", "Settings"]

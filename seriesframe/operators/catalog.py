@@ -12,6 +12,7 @@ from seriesframe.operators.validation import (
     LABEL_KEY_PATTERN, first_problem, is_blank, name_problem,
 )
 
+# Fixed value: description of a metric nobody registered.
 AUTO_DESCRIPTION = "Auto-registered metric"
 
 

@@ -24,6 +24,7 @@ from seriesframe.session import materialize
 
 ACCURACY = 10_000
 MARGIN = 3.0 / ACCURACY
+SIDE_BY_SIDE = 8
 
 
 def exact_percentiles(
@@ -34,8 +35,14 @@ def exact_percentiles(
     max_group_rows: int,
     extra: Sequence[Column] = (),
 ) -> DataFrame:
-    """``keys, percentiles array<double>`` plus any ``extra`` aggregates of the same groups."""
+    """``keys, percentiles array<double>`` plus any ``extra`` aggregates of the same groups.
+
+    ``max_group_rows`` bounds what one task sorts in memory, not what the result covers.
+    """
     keys = list(keys)
+    if keys:
+        # Spark aggregates up to 128 groups side by side in one task, so each must be smaller.
+        max_group_rows = max(1, max_group_rows // SIDE_BY_SIDE)
     sizes = df.groupBy(*keys).agg(F.count(value).alias("n"))
     largest = sizes.agg(F.max("n")).first()[0] or 0
     if largest <= max_group_rows:

@@ -11,6 +11,7 @@ from seriesframe.config import Settings
 from seriesframe.functions.times import utc_day
 from seriesframe.operators import cardinality, catalog, validation
 from seriesframe.operators.upsert import last_wins
+from seriesframe.sources.files import delete
 
 
 @dataclass
@@ -20,6 +21,12 @@ class Ingested:
     validated: DataFrame
     registry: DataFrame
     adopt: bool = False
+    scratch: str | None = None
+
+    def release(self) -> None:
+        """Delete the written validated rows once the outcome has been looked at."""
+        if self.scratch is not None:
+            delete(self.validated.sparkSession, self.scratch)
 
     @property
     def registrations(self) -> DataFrame:

@@ -26,14 +26,14 @@ from seriesframe.schema import (
     INCOMING, LABELS_INDEX, MANIFEST, METRIC_LABELS, METRICS, ROLLUP, RUNS,
     SERIES_SEEN,
 )
-from seriesframe.session import configure, materialize, scratch
+from seriesframe.session import configure, materialize, scratch, scratch_path
 from seriesframe.sources import archive as archive_files
 from seriesframe.sources import export as export_files
 from seriesframe.sources import tables
 from seriesframe.sources.samples import scan_samples
 
 
-class MetricStore:
+class SeriesStore:
     """Tables below ``root``, a folder all executors share.
 
     ``samples`` is partitioned by UTC day. Ingest batches land in ``incoming`` first, one
@@ -184,7 +184,10 @@ class MetricStore:
         batch = batch or uuid.uuid4().hex
         landed = int(datetime.now(timezone.utc).timestamp() * 1_000_000)
         lazy = validate_batch(incoming, self.registry(), as_of, self.settings, self.series_seen())
-        done = replace(lazy, validated=materialize(lazy.validated, "validated"))
+        kept_in = scratch_path(self.spark, "validated")
+        lazy.validated.write.parquet(kept_in)
+        stored = self.spark.read.schema(lazy.validated.schema).parquet(kept_in)
+        done = replace(lazy, validated=stored, scratch=kept_in)
         with scratch(self.spark) as keep:
             fresh = keep(done.registrations, "new-metrics")
             if not fresh.isEmpty():

@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from seriesframe.plans.store import MetricStore
+from seriesframe.plans.store import SeriesStore
 from seriesframe.schema import SAMPLE_KEY
 from seriesframe.sources.samples import CORRUPT, ndjson_rows, ndjson_schema
 
@@ -31,7 +31,7 @@ def read_sample_stream(spark: SparkSession, path: str, max_files: int | None = N
 
 
 def stream_ingest(
-    store: MetricStore,
+    store: SeriesStore,
     path: str,
     checkpoint: str,
     source: str = "stream",
@@ -47,7 +47,7 @@ def stream_ingest(
     """
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        store.ingest(ndjson_rows(batch), clock(), batch=f"{source}-{batch_id}")
+        store.ingest(ndjson_rows(batch), clock(), batch=f"{source}-{batch_id}").release()
 
     raw = read_sample_stream(store.spark, path, max_files)
     return start(raw.writeStream.foreachBatch(land), checkpoint, available_now, every)

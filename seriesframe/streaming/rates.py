@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 
 from seriesframe.operators import counters
 from seriesframe.schema import SAMPLES, SERIES
+from seriesframe.session import scratch
 from seriesframe.sources.files import delete, partitions
 from seriesframe.sources.tables import compact, read_table
 from seriesframe.streaming.ingest import start
@@ -37,17 +38,19 @@ def stream_rate(
             .join(last.select(*SERIES, F.col("time").alias("since")), SERIES, "left")
             .filter(F.col("since").isNull() | (F.col("time") > F.col("since"))).drop("since")
         )
-        rows = newer.withColumn("new", F.lit(True)).unionByName(last.withColumn("new", F.lit(False)))
-        found = counters.rate(rows, max_series_rows).filter("new")
-        found.select("time", *SERIES, "rate").write.mode("overwrite").parquet(
-            f"{path}/batch={batch_id}"
-        )
-        latest = rows.groupBy(*SERIES).agg(
-            F.max("time").alias("time"), F.max_by("value", "time").alias("value")
-        )
-        compact(latest.select(*LAST.names), *SERIES).write.mode("overwrite").parquet(
-            f"{state}/version={batch_id}"
-        )
+        both = newer.withColumn("new", F.lit(True)).unionByName(last.withColumn("new", F.lit(False)))
+        with scratch(spark) as keep:
+            rows = keep(both, "rates")
+            found = counters.rate(rows, max_series_rows).filter("new")
+            found.select("time", *SERIES, "rate").write.mode("overwrite").parquet(
+                f"{path}/batch={batch_id}"
+            )
+            latest = rows.groupBy(*SERIES).agg(
+                F.max("time").alias("time"), F.max_by("value", "time").alias("value")
+            )
+            compact(latest.select(*LAST.names), *SERIES).write.mode("overwrite").parquet(
+                f"{state}/version={batch_id}"
+            )
         for old in known:
             if old < max(known):
                 delete(spark, f"{state}/version={old}")

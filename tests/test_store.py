@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import T0, at, incoming, registrations, samples, tuples
-from seriesframe import Aggregation, MetricStore, QueryRequest, Settings
+from seriesframe import Aggregation, SeriesStore, QueryRequest, Settings
 from seriesframe.config import QueryLimits
 from seriesframe.operators import archive, rollups
 from seriesframe.operators.catalog import MetricNotFound
@@ -26,12 +26,12 @@ KEYS = ["metric_id", "labels_key", "time", "value"]
 def copied(spark, template, folder):
     """Stores are plain folders, so tests start from copies of one that was built once."""
     shutil.copytree(template.removeprefix("file:"), folder.removeprefix("file:"))
-    return MetricStore(spark, folder)
+    return SeriesStore(spark, folder)
 
 
 @pytest.fixture(scope="module")
 def registered(spark):
-    made = MetricStore(spark, scratch_path(spark, "registered"))
+    made = SeriesStore(spark, scratch_path(spark, "registered"))
     made.register(registrations(spark, [
         (0, "temp", "GAUGE", ["room"], 60), (1, "hits", "COUNTER", ["path"], 5),
     ]), T0)
@@ -112,7 +112,7 @@ def test_rejects_and_auto_registration(spark, store):
 def test_series_limit_counts_merged_and_waiting(spark, folder):
     from seriesframe.config import CardinalityLimits
 
-    store = MetricStore(spark, folder, Settings(cardinality=CardinalityLimits(max_series_per_metric=2)))
+    store = SeriesStore(spark, folder, Settings(cardinality=CardinalityLimits(max_series_per_metric=2)))
     store.register(registrations(spark, [(0, "temp", "GAUGE", ["room"], 60)]), T0)
     store.ingest(incoming(spark, [gauge(0, 0, 1, "a")]), at(5), "b1")
     store.merge_incoming()
@@ -203,7 +203,7 @@ def test_instant_range_statistics(frozen):
 
 
 def test_bucket_cap(spark, frozen):
-    capped = MetricStore(spark, frozen.root, Settings(query=QueryLimits(max_buckets=3)))
+    capped = SeriesStore(spark, frozen.root, Settings(query=QueryLimits(max_buckets=3)))
     got = query(capped, aggregation=Aggregation.MAX, interval="1d").collect()
     assert [r.timestamp.day for r in got] == [12, 11, 10]
 
