@@ -31,17 +31,21 @@ CUTOFF = date(2024, 1, 11)
 KEY_VALUE = ["time", "metric_id", "labels_key", "value"]
 
 
+def _bare(spark: SparkSession, **settings) -> SeriesStore:
+    return SeriesStore(spark, scratch_path(spark, "store"), Settings(**settings))
+
+
 def _store(spark: SparkSession, sf_dir: str, **settings) -> SeriesStore:
     """A store holding the metric dimension."""
-    store = SeriesStore(spark, scratch_path(spark, "store"), Settings(**settings))
+    store = _bare(spark, **settings)
     v.metrics(spark, sf_dir).write.parquet(store.path("metrics"))
     v.metric_labels(spark, sf_dir).write.parquet(store.path("metric_labels"))
     return store
 
 
-def _filled(spark: SparkSession, sf_dir: str, **settings) -> SeriesStore:
-    """A store holding all event samples as well."""
-    store = _store(spark, sf_dir, **settings)
+def _filled(spark: SparkSession, sf_dir: str, named: bool = False, **settings) -> SeriesStore:
+    """A store holding all event samples, with the metric dimension where names are looked up."""
+    store = _store(spark, sf_dir, **settings) if named else _bare(spark, **settings)
     rows = v.with_day(v.samples(spark, sf_dir)).select(*SAMPLES.names)
     tables.append_days(rows, store.path("samples"))
     return store
@@ -57,7 +61,7 @@ SELECT time, metric_id, labels_key, round(value + 1e-9, 6) AS value FROM (
 
 @query("upsert", views=v.V_UPSERT, sql=_LAST.format(order="batch_id DESC", source="v_upsert"))
 def upsert_query(spark, sf_dir):
-    store = _store(spark, sf_dir)
+    store = _bare(spark)
     rows = v.two_batches(spark, sf_dir)
     for number in (1, 2):
         store.upsert_samples(rows.filter(F.col("batch_id") == number), ["arrival"])
@@ -105,7 +109,7 @@ FROM v_samples WHERE metric_id = 'click' AND band = 'low' GROUP BY 1 ORDER BY 1
 def store_query(spark, sf_dir):
     """A request object against a store: hourly average with a label filter."""
     request = QueryRequest("click", v.START, v.AS_OF, {"band": "low"}, Aggregation.AVG, "1h")
-    found = _filled(spark, sf_dir).query(request, v.AS_OF)
+    found = _filled(spark, sf_dir, named=True).query(request, v.AS_OF)
     return v.tidy(found.withColumn("labels", F.to_json("labels")))
 
 
@@ -175,7 +179,7 @@ def archive_read(spark, sf_dir):
 SELECT time, metric_id, labels_key, round(value + 1e-9, 6) AS value FROM v_samples WHERE metric_id = 'signup'""")
 def unified_scan(spark, sf_dir):
     """Hot and archived samples together are the samples before archiving."""
-    store = _filled(spark, sf_dir, archive_after_days=20)
+    store = _filled(spark, sf_dir, named=True, archive_after_days=20)
     store.archive(v.AS_OF)
     return v.tidy(store.unified_samples("signup", v.START, v.AS_OF).select(*KEY_VALUE))
 
@@ -277,7 +281,7 @@ SELECT time, metric_id, labels_key, round(value + 1e-9, 6) AS value
 FROM v_samples s JOIN v_metrics m ON s.metric_id = m.id
 WHERE time >= TIMESTAMP '2024-01-31' - to_days(retention_days)""")
 def retention(spark, sf_dir):
-    store = _filled(spark, sf_dir, default_retention_days=20)
+    store = _filled(spark, sf_dir, named=True, default_retention_days=20)
     store.apply_retention(v.AS_OF)
     return v.tidy(store.samples().select(*KEY_VALUE))
 
@@ -294,7 +298,7 @@ def expired_samples(spark, sf_dir):
 SELECT 'archive' AS job_type, 'COMPLETED' AS status, CAST(count(DISTINCT metric_id) AS INTEGER) AS metrics_processed,
        CAST(sum(row_count) AS BIGINT) AS rows_migrated FROM v_manifest""")
 def run_log(spark, sf_dir):
-    store = _store(spark, sf_dir)
+    store = _bare(spark)
     totals = archive.archive_totals(_old_manifest(spark, sf_dir)).first()
     store.log_run("archive", "COMPLETED", v.AS_OF, v.AS_OF, totals[0], totals[1])
     return store.runs().select("job_type", "status", "metrics_processed", "rows_migrated")

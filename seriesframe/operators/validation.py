@@ -99,10 +99,11 @@ def sample_problem(as_of, settings: Settings = Settings()) -> Column:
 
 def schema_problem(settings: Settings = Settings()) -> Column:
     """Label rules and the registered label set, in ``label_keys``."""
+    keys = F.map_keys(or_empty("labels"))
     return first_problem(
         label_problem("labels", settings.ingest),
-        F.when(F.size(missing_labels("labels", "label_keys")) > 0, "missing_labels"),
-        F.when(F.size(extra_labels("labels", "label_keys")) > 0, "extra_labels"),
+        F.when(F.size(F.array_except("label_keys", keys)) > 0, "missing_labels"),
+        F.when(F.size(F.array_except(keys, F.col("label_keys"))) > 0, "extra_labels"),
     )
 
 
@@ -110,14 +111,22 @@ def cardinality_problem(settings: Settings = Settings(), over_limit: Column | No
     """Cardinality rules; all broken ones are listed, joined by ``; ``."""
     limits = settings.cardinality
     labels = or_empty("labels")
+    longest = limits.max_label_value_length
     long_values = F.transform(F.map_entries(labels), lambda pair: F.when(
-        longer_than(pair["value"], limits.max_label_value_length),
+        longer_than(pair["value"], longest),
         F.concat(F.lit("label_value_over_limit:"), pair["key"]),
     ))
-    count = F.when(F.size(labels) > limits.max_labels_per_metric, "label_count_over_limit")
-    full = F.when(F.lit(False) if over_limit is None else over_limit, "series_over_limit")
-    found = F.array_compact(F.concat(F.array(count), long_values, F.array(full)))
-    return F.nullif(F.array_join(found, "; "), F.lit(""))
+    too_many = F.size(labels) > limits.max_labels_per_metric
+    full = F.lit(False) if over_limit is None else over_limit
+    found = F.array_compact(F.concat(
+        F.array(F.when(too_many, "label_count_over_limit")), long_values,
+        F.array(F.when(full, "series_over_limit")),
+    ))
+    # The list is built only for rows that break a rule.
+    broken = too_many | full | F.exists(
+        F.map_values(labels), lambda value: longer_than(value, longest)
+    )
+    return F.when(broken, F.array_join(found, "; "))
 
 
 def cardinality_warnings(settings: Settings = Settings(), series: Column | None = None) -> Column:
