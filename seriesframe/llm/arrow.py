@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import io
 import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_CHARS = 1_000_000
@@ -43,7 +47,28 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return flat[np.repeat(starts - before, lengths) + np.arange(total)]
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once per application.
+
+    The driver serves the archive, so nothing has to be installed on the cluster.
+    """
+    if spark.sparkContext.applicationId in _shipped:
+        return
+    package, data = Path(__file__).resolve().parents[1], io.BytesIO()
+    with zipfile.ZipFile(data, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    path = Path(tempfile.mkdtemp(prefix="code-")) / f"{package.name}.zip"
+    path.write_bytes(data.getvalue())
+    spark.sparkContext.addPyFile(str(path))
+    _shipped.add(spark.sparkContext.applicationId)
+
+
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    ship(df.sparkSession)
     return df.mapInArrow(_single_threaded(function), schema)
 
 

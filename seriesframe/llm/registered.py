@@ -7,7 +7,7 @@ import hashlib
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesframe.llm import bpe, urls
+from seriesframe.llm import bpe, langid, packing, rules, sites, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,15 @@ def _hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
+@register("op1_language")
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, by profiles of the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    profiles = langid.learn(docs.filter(~langid.held_out()))
+    made = langid.identify(docs, profiles)
+    return made.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 @register("op2_bpe")
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded; ids and decoded text as digests."""
@@ -75,3 +84,22 @@ _VERDICTS = " ".join(f"WHEN '{r.name}' THEN '{r.verdict}'" for r in URL_RULES)
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, longest fitting rule and verdict of every page."""
     return urls.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@register("op5_site_quality")
+def op5_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of good quality of every document, from its text and its site's record."""
+    return sites.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op6_packing")
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, with_ids=False)
+
+
+@register("op7_quality_rules")
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counted facts and the verdict of base rules and classifier for every document."""
+    docs = table(spark, sf_dir, "documents")
+    return rules.apply_rules(docs, rules.train(docs, table(spark, sf_dir, "labels")))
