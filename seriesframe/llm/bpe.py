@@ -197,8 +197,22 @@ def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
+def _dealt(words: Iterable[str], slots: int) -> dict[int, list[str]]:
+    """The words of each slot, sorted."""
+    dealt: dict[int, list[str]] = {}
+    for word in words:
+        dealt.setdefault(zlib.crc32(word.encode("utf-8", "surrogatepass")) % slots, []).append(word)
+    return {slot: sorted(own) for slot, own in dealt.items()}
+
+
+def _check(words: list[str]) -> int:
+    return zlib.crc32("\0".join(words).encode("utf-8", "surrogatepass"))
+
+
 _SLOTS = pa.schema([("slot", pa.int32()), ("block", pa.int64()), ("words", pa.binary())])
-_FOUND = pa.schema([("block", pa.int64()), ("found", pa.binary())])
+_FOUND = pa.schema(
+    [("block", pa.int64()), ("slot", pa.int32()), ("words", pa.int64()), ("ids", pa.binary())]
+)
 _TEXTS = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("rows", pa.binary())])
 
 
@@ -210,12 +224,13 @@ def encode_documents(
 
     Three steps. Each block of texts sends its distinct words, dealt into slots by word. A slot's
     task holds the table of its distinct words, encodes each once and answers every block that
-    asked. The block's texts meet the answers and put the ids in the words' places. Texts travel
-    once, compressed. A block holds about 32 million characters, a slot a share of the vocabulary,
+    asked with ids in the order of its words. The block's texts meet the answers and put the ids in
+    the words' places. Texts travel once, compressed, words once, ids without their words. A block holds about 32 million characters, a slot a share of the vocabulary,
     and a word occurs once per block at most, so frequent words burden no task.
 
     A null or empty text has no ids. Blocks follow the row order of ``docs``; should a recomputed
-    task see another order, a word that its block did not ask for is encoded where it stands.
+    task see another order, the checksum of a slot's words does not fit and they are encoded where
+    they stand.
     ``finish(ids, decoded bytes)`` may turn each result into other columns, named in ``schema``.
     """
     spark = docs.sparkSession
@@ -228,12 +243,9 @@ def encode_documents(
         open_block, words = None, set()
 
         def sent():
-            dealt: list[list[str]] = [[] for _ in range(slots)]
-            for word in words:
-                dealt[zlib.crc32(word.encode()) % slots].append(word)
             return _rows(_SLOTS, [
-                (slot, open_block, _pack(pa.record_batch([pa.array(sorted(own), pa.string())], ["word"])))
-                for slot, own in enumerate(dealt) if own
+                (slot, open_block, _pack(pa.record_batch([pa.array(own, pa.string())], ["word"])))
+                for slot, own in _dealt(words, slots).items()
             ])
 
         for block, _, chunk in _blocks(batches):
@@ -248,22 +260,21 @@ def encode_documents(
 
     def answer(table: pa.Table) -> pa.Table:
         vocab = vocabulary(path)
+        narrow = np.uint16 if len(vocab.pieces) <= 1 << 16 else np.uint32
         number = WordIds._Numbers()
         asked = []
-        for block, packed in zip(table.column("block").to_pylist(), table.column("words")):
-            own = _unpack(packed.as_buffer())
-            index = [number[word] for word in own.column(0).to_pylist()]
-            asked.append((block, own.column(0), np.array(index, np.int64)))
+        for slot, block, packed in zip(*(table.column(c) for c in ("slot", "block", "words"))):
+            own = _unpack(packed.as_buffer()).column(0).to_pylist()
+            asked.append((block.as_py(), slot.as_py(), _check(own), np.array([number[w] for w in own])))
         flat, counts = vocab.encode(list(number))
         starts = np.cumsum(counts) - counts
         rows = []
-        for block, own, index in asked:
-            lengths = counts[index]
+        for block, slot, check, index in asked:
             ids = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()),
-                pa.array(gather(flat, starts[index], lengths), pa.uint32()),
+                pa.array(np.concatenate([[0], np.cumsum(counts[index])]), pa.int32()),
+                pa.array(gather(flat, starts[index], counts[index]).astype(narrow)),
             )
-            rows.append((block, _pack(pa.record_batch([own, ids], ["word", "ids"]))))
+            rows.append((block, slot, check, _pack(pa.record_batch([ids], ["ids"]))))
         return pa.Table.from_batches([_rows(_FOUND, rows)])
 
     def send(batches):
@@ -276,16 +287,23 @@ def encode_documents(
         vocab = vocabulary(path)
         table = WordIds(vocab, None)
         keys, flats, counts = [], [], []
-        for packed in right.column("found"):
-            own = _unpack(packed.as_buffer())
-            keys += own.column(0).to_pylist()
-            flats.append(own.column(1).flatten().to_numpy())
-            counts.append(np.diff(own.column(1).offsets.to_numpy()))
+        sent_rows = [_unpack(p.as_buffer()) for p in left.sort_by("place").column("rows")]
+        words = {w for rows in sent_rows for t in rows.column("text").to_pylist() for w in words_of(t)}
+        dealt = _dealt(words, slots)
+        for slot, check, packed in zip(*(right.column(c) for c in ("slot", "words", "ids"))):
+            own = dealt.get(slot.as_py(), [])
+            if own and _check(own) == check.as_py():
+                ids = _unpack(packed.as_buffer()).column(0)
+                keys.append(own)
+                flats.append(ids.flatten().to_numpy().astype(np.uint32))
+                counts.append(np.diff(ids.offsets.to_numpy()))
         if keys:
-            table.put(keys, np.concatenate(flats), np.concatenate(counts).astype(np.int64))
+            table.put(
+                [w for own in keys for w in own], np.concatenate(flats),
+                np.concatenate(counts).astype(np.int64),
+            )
         made = []
-        for packed in left.sort_by("place").column("rows"):
-            rows = _unpack(packed.as_buffer())
+        for rows in sent_rows:
             ids, sizes = table.encode(rows.column("text").to_pylist())
             data = vocab.decode(ids)
             lengths = np.concatenate([[0], np.cumsum(vocab.sizes[ids])])
@@ -303,7 +321,7 @@ def encode_documents(
     fields = list(to_arrow_schema(StructType.fromDDL(schema)))
     found = (
         map_arrow(texts, ask, "slot int, block long, words binary")
-        .groupBy("slot").applyInArrow(answer, "block long, found binary")
+        .groupBy("slot").applyInArrow(answer, "block long, slot int, words long, ids binary")
     )
     sent = map_arrow(texts, send, "block long, place int, rows binary")
     made = sent.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(assemble, result_schema)

@@ -6,8 +6,9 @@ import hashlib
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seriesframe.llm import bpe, langid, packing, rules, sites, urls
+from seriesframe.llm import bpe, fingerprints, langid, packing, rules, sites, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +104,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counted facts and the verdict of base rules and classifier for every document."""
     docs = table(spark, sf_dir, "documents")
     return rules.apply_rules(docs, rules.train(docs, table(spark, sf_dir, "labels")))
+
+
+@register("op10_fingerprints")
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text; the edited text as a digest."""
+    made = fingerprints.compare_edited(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+    )
