@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesframe.llm import bpe, fingerprints, langid, packing, rules, sites, urls
+from seriesframe.llm import bpe, fingerprints, langid, lines, neardup, packing, pii, rules, sites, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -114,3 +114,30 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
         "fingerprint", "edited_fingerprint", "near_edited", "near_next",
     )
+
+
+@register("op8_pii")
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: base counts, a digest of the base spans, and all spans."""
+    made = pii.find_pii(table(spark, sf_dir, "documents"))
+
+    def number(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [number(kind) for kind in pii.KINDS]
+    base = pii.written(F.col("base")).cast("binary")
+    return made.select(
+        "doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans")
+    )
+
+
+@register("op4_near_duplicates")
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op9_line_dedup")
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every line that is long enough, and which line of each class comes first."""
+    return lines.line_classes(table(spark, sf_dir, "documents"))
