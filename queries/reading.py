@@ -15,10 +15,15 @@ from seriesframe.plans import request
 LOW = {"band": "low"}
 SERIES_ROWS = 5_000_000
 GROUP_ROWS = 2_000_000
-DENSE_START, DENSE_END = "1992-01-01", "2010-01-01"
+DENSE_START, DENSE_END = "1993-05-06", "1997-08-09"
 
 
-def _metric(spark, sf_dir, name, labels=None, start=v.START, end=v.AS_OF):
+# A range that leaves out samples at both ends; the SQL states the same.
+FROM, TO = "2024-01-02 03:04:05", "2024-01-27 20:30:00"
+_RANGE = f"time BETWEEN TIMESTAMP '{FROM}' AND TIMESTAMP '{TO}'"
+
+
+def _metric(spark, sf_dir, name, labels=None, start=FROM, end=TO):
     found = filter_metric(v.samples(spark, sf_dir), name)
     return filter_labels(filter_time(found, start, end), labels)
 
@@ -28,7 +33,7 @@ def _metric(spark, sf_dir, name, labels=None, start=v.START, end=v.AS_OF):
 
 @query("raw_query", views=v.V_SAMPLES, sql="""
 SELECT time, round(value + 1e-9, 6) AS value, labels_key FROM v_samples
-WHERE metric_id = 'click' AND time BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-31'
+WHERE metric_id = 'click' AND """ + _RANGE + """
 ORDER BY time DESC, labels_key LIMIT 100""")
 def raw_query(spark, sf_dir):
     points = request.raw_points(_metric(spark, sf_dir, "click"), 100)
@@ -37,7 +42,7 @@ def raw_query(spark, sf_dir):
 
 @query("raw_query_labels", views=v.V_SAMPLES, sql="""
 SELECT time, round(value + 1e-9, 6) AS value, labels_key FROM v_samples
-WHERE metric_id = 'purchase' AND band = 'low' AND shard = '3'
+WHERE metric_id = 'purchase' AND band = 'low' AND shard = '3' AND """ + _RANGE + """
 ORDER BY time DESC, labels_key LIMIT 100""")
 def raw_query_labels(spark, sf_dir):
     found = _metric(spark, sf_dir, "purchase", {"shard": "3", "band": "low"})
@@ -65,11 +70,11 @@ def instant_per_series(spark, sf_dir):
 
 @query("range_query", views=v.V_SAMPLES, sql="""
 SELECT time_bucket(INTERVAL 6 HOURS, time) AS bucket, round(avg(value) + 1e-9, 6) AS value
-FROM v_samples WHERE metric_id = 'signup' AND band = 'low'
-GROUP BY 1 ORDER BY 1 DESC LIMIT 1000""")
+FROM v_samples WHERE metric_id = 'signup' AND band = 'low' AND """ + _RANGE + """
+GROUP BY 1""")
 def range_query(spark, sf_dir):
     found = filter_metric(v.samples(spark, sf_dir), "signup")
-    return v.tidy(request.range_query(found, v.START, v.AS_OF, "6h", LOW))
+    return v.tidy(request.range_query(found, FROM, TO, "6h", LOW))
 
 
 @query("day_chunks", views=v.V_SAMPLES, sql="""
@@ -100,7 +105,7 @@ def _bucket_sql(width: str, metric: str, aggregate: str) -> str:
     return f"""
 SELECT time_bucket(INTERVAL {width}, time) AS bucket,
        round(CAST({aggregate} AS DOUBLE) + 1e-9, 6) AS value
-FROM v_samples WHERE metric_id = '{metric}' GROUP BY 1 ORDER BY 1 DESC LIMIT 1000"""
+FROM v_samples WHERE metric_id = '{metric}' AND {_RANGE} GROUP BY 1"""
 
 
 @query("bucket_agg_5m", views=v.V_SAMPLES, sql=_bucket_sql("5 MINUTES", "click", "max(value)"))
@@ -108,6 +113,12 @@ def bucket_agg_5m(spark, sf_dir):
     return v.tidy(aggregates.bucket_agg(_metric(spark, sf_dir, "click"), 300, "MAX"))
 
 
+@query("cap_buckets", views=v.V_SAMPLES, sql=_bucket_sql("5 MINUTES", "click", "max(value)") + " ORDER BY 1 DESC LIMIT 1000")
+def cap_buckets(spark, sf_dir):
+    """The newest thousand buckets, where a caller asks for them."""
+    return v.tidy(aggregates.bucket_agg(_metric(spark, sf_dir, "click"), 300, "MAX", 1_000))
+
+
 @query("bucket_agg_1h", views=v.V_SAMPLES, sql=_bucket_sql("1 HOUR", "click", "avg(value)"))
 def bucket_agg_1h(spark, sf_dir):
     return v.tidy(aggregates.bucket_agg(_metric(spark, sf_dir, "click"), 3_600, "AVG"))
@@ -122,7 +133,7 @@ def bucket_agg_1d(spark, sf_dir):
 SELECT time_bucket(INTERVAL 7 DAYS, time) AS bucket, round(avg(value) + 1e-9, 6) AS avg_value,
        round(sum(value), 4) AS sum_value, min(value) AS min_value, max(value) AS max_value,
        count(*) AS sample_count
-FROM v_dense GROUP BY 1 ORDER BY 1 DESC LIMIT 1000""")
+FROM v_dense GROUP BY 1""")
 def bucket_agg_7d(spark, sf_dir):
     found = aggregates.bucket_stats(v.dense_samples(spark, sf_dir), 7 * 86_400)
     return v.tidy(aggregates.newest_buckets(found))
@@ -130,7 +141,7 @@ def bucket_agg_7d(spark, sf_dir):
 
 @query("bucket_agg_labels", views=v.V_SAMPLES, sql="""
 SELECT time_bucket(INTERVAL 7 HOURS, time) AS bucket, round(sum(value), 4) AS sum_value
-FROM v_samples WHERE metric_id = 'view' AND band = 'high' GROUP BY 1 ORDER BY 1 DESC LIMIT 1000""")
+FROM v_samples WHERE metric_id = 'view' AND band = 'high' AND """ + _RANGE + """ GROUP BY 1""")
 def bucket_agg_labels(spark, sf_dir):
     found = _metric(spark, sf_dir, "view", {"band": "high"})
     made = aggregates.bucket_agg(found, 7 * 3_600, "SUM")
@@ -138,8 +149,8 @@ def bucket_agg_labels(spark, sf_dir):
 
 
 @query("overall_agg", views=v.V_DENSE, sql="""
-SELECT TIMESTAMP '1992-01-01' AS timestamp, round(sum(value), 2) AS value FROM v_dense
-HAVING count(*) > 0""")
+SELECT TIMESTAMP '1993-05-06' AS timestamp, round(sum(value), 2) AS value FROM v_dense
+WHERE time BETWEEN TIMESTAMP '1993-05-06' AND TIMESTAMP '1997-08-09' HAVING count(*) > 0""")
 def overall_agg(spark, sf_dir):
     found = filter_time(v.dense_samples(spark, sf_dir), DENSE_START, DENSE_END)
     made = aggregates.overall_agg(found, DENSE_START, "SUM")
@@ -161,10 +172,10 @@ def statistics(spark, sf_dir):
 
 def _percentile(name: str, fraction: float):
     @query(f"percentile_{name}", views=v.V_DENSE, sql=f"""
-SELECT TIMESTAMP '2010-01-01' AS timestamp, round(quantile_cont(value, {fraction}) + 1e-9, 6) AS value
-FROM v_dense""")
+SELECT TIMESTAMP '1997-08-09' AS timestamp, round(quantile_cont(value, {fraction}) + 1e-9, 6) AS value
+FROM v_dense WHERE time BETWEEN TIMESTAMP '1993-05-06' AND TIMESTAMP '1997-08-09'""")
     def percentile(spark, sf_dir):
-        found = v.dense_samples(spark, sf_dir)
+        found = filter_time(v.dense_samples(spark, sf_dir), DENSE_START, DENSE_END)
         return v.tidy(aggregates.percentile(found, DENSE_END, fraction, GROUP_ROWS))
 
 

@@ -6,7 +6,7 @@ what it reads back.
 
 from __future__ import annotations
 
-from datetime import date, datetime, timezone
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ from seriesframe.operators import archive, lifecycle, upsert
 from seriesframe.operators.filters import filter_metric
 from seriesframe.plans.request import Aggregation, QueryRequest, raw_points
 from seriesframe.plans.store import SeriesStore
-from seriesframe.schema import SAMPLES
+from seriesframe.schema import ROLLUP, SAMPLES
 from seriesframe.session import scratch_path
 from seriesframe.sources import export, tables
 from seriesframe.sources.samples import read_samples_json, read_samples_ndjson
@@ -38,8 +38,8 @@ def _bare(spark: SparkSession, **settings) -> SeriesStore:
 def _store(spark: SparkSession, sf_dir: str, **settings) -> SeriesStore:
     """A store holding the metric dimension."""
     store = _bare(spark, **settings)
-    v.metrics(spark, sf_dir).write.parquet(store.path("metrics"))
-    v.metric_labels(spark, sf_dir).write.parquet(store.path("metric_labels"))
+    tables.replace_table(v.metrics(spark, sf_dir), store.path("metrics"))
+    tables.replace_table(v.metric_labels(spark, sf_dir), store.path("metric_labels"))
     return store
 
 
@@ -105,7 +105,8 @@ def ingest(spark, sf_dir):
 @query("store_query", views=v.V_SAMPLES, sql="""
 SELECT time_bucket(INTERVAL 1 HOUR, time) AS timestamp, round(avg(value) + 1e-9, 6) AS value,
        '{"band":"low"}' AS labels
-FROM v_samples WHERE metric_id = 'click' AND band = 'low' GROUP BY 1 ORDER BY 1 DESC LIMIT 1000""")
+FROM v_samples WHERE metric_id = 'click' AND band = 'low'
+  AND time BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-31' GROUP BY 1""")
 def store_query(spark, sf_dir):
     """A request object against a store: hourly average with a label filter."""
     request = QueryRequest("click", v.START, v.AS_OF, {"band": "low"}, Aggregation.AVG, "1h")
@@ -176,7 +177,8 @@ def archive_read(spark, sf_dir):
 
 
 @query("unified_scan", views=v.V_SAMPLES, sql="""
-SELECT time, metric_id, labels_key, round(value + 1e-9, 6) AS value FROM v_samples WHERE metric_id = 'signup'""")
+SELECT time, metric_id, labels_key, round(value + 1e-9, 6) AS value FROM v_samples WHERE metric_id = 'signup'
+  AND time BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-31'""")
 def unified_scan(spark, sf_dir):
     """Hot and archived samples together are the samples before archiving."""
     store = _filled(spark, sf_dir, named=True, archive_after_days=20)
@@ -298,9 +300,9 @@ def expired_samples(spark, sf_dir):
 SELECT 'archive' AS job_type, 'COMPLETED' AS status, CAST(count(DISTINCT metric_id) AS INTEGER) AS metrics_processed,
        CAST(sum(row_count) AS BIGINT) AS rows_migrated FROM v_manifest""")
 def run_log(spark, sf_dir):
-    store = _bare(spark)
-    totals = archive.archive_totals(_old_manifest(spark, sf_dir)).first()
-    store.log_run("archive", "COMPLETED", v.AS_OF, v.AS_OF, totals[0], totals[1])
+    """The row that an archive job over the whole table leaves."""
+    store = _filled(spark, sf_dir, archive_after_days=20)
+    store.archive(v.AS_OF)
     return store.runs().select("job_type", "status", "metrics_processed", "rows_migrated")
 
 
@@ -326,7 +328,7 @@ def rollup_refresh_band(spark, sf_dir):
 
 
 def _points(spark, sf_dir) -> DataFrame:
-    found = raw_points(filter_metric(v.samples(spark, sf_dir), "click"), 10_000)
+    found = raw_points(filter_metric(v.samples(spark, sf_dir), "click"), None)
     return found.select(F.col("time").alias("timestamp"), "value", "labels")
 
 
@@ -336,7 +338,7 @@ def _exported(spark, sf_dir, kind: str) -> str:
     return path
 
 
-_NEWEST = "(SELECT * FROM v_samples WHERE metric_id = 'click' ORDER BY time DESC, labels_key LIMIT 10000) n"
+_NEWEST = "v_samples WHERE metric_id = 'click'"
 _ISO = "strftime(time, '%Y-%m-%dT%H:%M:%S.%fZ')"
 
 
@@ -454,7 +456,7 @@ def stream_rollup(spark, sf_dir):
     write_stream_rollup(
         _event_stream(spark, sf_dir), "1h", path, scratch_path(spark, "checkpoint"), available_now=True
     ).awaitTermination()
-    return v.tidy(spark.read.parquet(path).drop("day"))
+    return v.tidy(tables.read_table(spark, path, ROLLUP).drop("day"))
 
 
 @query("stream_rate", views=v.V_COUNTER, sql="""
@@ -468,7 +470,7 @@ def stream_rate_query(spark, sf_dir):
     arrived, path = scratch_path(spark, "arrived"), scratch_path(spark, "stream-rate")
     state, checkpoint = scratch_path(spark, "last"), scratch_path(spark, "checkpoint")
     rows = v.with_day(v.counter_samples(spark, sf_dir)).select(*KEY_VALUE, "day")
-    for low, high in _day_spans(10):
+    for low, high in _day_spans(rows, 10):
         span = rows.filter(F.col("day").between(F.lit(low), F.lit(high)))
         span.write.mode("append").parquet(arrived)
         stream = spark.readStream.schema(rows.schema).parquet(arrived)
@@ -480,9 +482,11 @@ def stream_rate_query(spark, sf_dir):
 RATE = "time timestamp, metric_id string, labels_key string, rate double"
 
 
-def _day_spans(days: int) -> list[tuple[date, date]]:
-    """Consecutive spans that cover January 2024."""
-    return [(date(2024, 1, d), date(2024, 1, min(d + days - 1, 31))) for d in range(1, 32, days)]
+def _day_spans(rows: DataFrame, days: int) -> list[tuple[date, date]]:
+    """Consecutive spans that cover the days of the rows."""
+    low, high = rows.agg(F.min("day"), F.max("day")).first()
+    begins = range(0, (high - low).days + 1, days) if low else ()
+    return [(low + timedelta(days=n), low + timedelta(days=n + days - 1)) for n in begins]
 
 
 @query("stream_dedup", views=v.V_SAMPLES, sql="""

@@ -31,9 +31,8 @@ class QueryLimits:
     default_range_hours: int = 24
     max_range_days: int = 90
     max_export_days: int = 30
-    default_limit: int = 100
-    max_limit: int = 10_000
-    max_buckets: int = 1_000
+    max_limit: int = 10_000  # largest limit that a caller may ask for
+    max_buckets: int | None = None  # newest buckets of an answer; None gives all
     instant_window_seconds: int = 60
 
 

@@ -22,6 +22,18 @@ def or_empty(labels: Column | str) -> Column:
     return F.coalesce(_col(labels), F.create_map().cast("map<string,string>"))
 
 
+def distinct_labels(labels: Column | str) -> Column:
+    """The label map with one value per key: of a key that JSON text repeats, the last one."""
+    keys, values = F.map_keys(_col(labels)), F.map_values(_col(labels))
+
+    def last(key: Column) -> Column:
+        return F.get(values, F.size(keys) - F.array_position(F.reverse(keys), key).cast("int"))
+
+    single = F.array_distinct(keys)
+    repaired = F.map_from_arrays(single, F.transform(single, last))
+    return F.when(F.size(keys) > F.size(single), repaired).otherwise(_col(labels))
+
+
 def canonical_key(labels: Column | str) -> Column:
     """Text that is equal exactly when two label sets are equal, whatever their key order."""
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(or_empty(labels)))))

@@ -88,7 +88,7 @@ def utc_day(time: Column | str) -> Column:
 
 def parse_iso(text: Column | str) -> Column:
     """Timestamp of an ISO-8601 instant (date, T, time with seconds, zone); NULL otherwise."""
-    trimmed = F.trim(F.col(text) if isinstance(text, str) else text)
+    trimmed = F.trim(F.col(text) if isinstance(text, str) else text, F.lit(" \t\n\x0b\f\r"))
     return F.when(trimmed.rlike(ISO_INSTANT), F.try_to_timestamp(trimmed))
 
 

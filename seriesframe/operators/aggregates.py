@@ -28,8 +28,8 @@ def five_aggregates(value: Column | str = "value") -> list[Column]:
     ]
 
 
-def newest_buckets(buckets: DataFrame, limit: int | None = 1_000) -> DataFrame:
-    """Newest first; the limit plans as a top-k, never as a full sort."""
+def newest_buckets(buckets: DataFrame, limit: int | None = None) -> DataFrame:
+    """Newest first; a limit plans as a top-k, never as a full sort."""
     ordered = buckets.orderBy(F.col("bucket").desc())
     return ordered if limit is None else ordered.limit(limit)
 
@@ -41,7 +41,7 @@ def bucket_stats(samples: DataFrame, width_seconds: int) -> DataFrame:
 
 
 def bucket_agg(
-    samples: DataFrame, width_seconds: int, aggregation: str, limit: int | None = 1_000
+    samples: DataFrame, width_seconds: int, aggregation: str, limit: int | None = None
 ) -> DataFrame:
     """One aggregate per bucket as (bucket, value), newest first."""
     bucket = time_bucket("time", width_seconds).alias("bucket")

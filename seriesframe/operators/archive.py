@@ -38,14 +38,16 @@ def archive_candidates(samples: DataFrame, manifest: DataFrame, before: date) ->
     return days.join(manifest.select(*METRIC_DAY), METRIC_DAY, "left_anti")
 
 
-def archive_directory(file_format: str = "parquet") -> Column:
+def archive_directory(base: str = "parquet") -> Column:
     """Folder of one metric and UTC day below the archive root."""
     return F.format_string(
-        f"{file_format}/day=%s/metric_id=%s", F.col("day").cast("string"), F.col("metric_id")
+        f"{base}/day=%s/metric_id=%s", F.col("day").cast("string"), F.col("metric_id")
     )
 
 
-def manifest_rows(index: DataFrame, as_of, file_format: str = "parquet") -> DataFrame:
+def manifest_rows(
+    index: DataFrame, as_of, file_format: str = "parquet", base: str | None = None
+) -> DataFrame:
     """One manifest row per metric and day of a label index; sizes are joined once files exist."""
     start = F.col("day").cast("timestamp")
     return (
@@ -57,7 +59,7 @@ def manifest_rows(index: DataFrame, as_of, file_format: str = "parquet") -> Data
             F.timestamp_micros(
                 F.unix_micros(start) + F.lit(DAY_SECONDS * 1_000_000)
             ).alias("end_time"),
-            archive_directory(file_format).alias("storage_path"),
+            archive_directory(base or file_format).alias("storage_path"),
             "row_count", F.lit(file_format).alias("file_format"),
             F.lit(None).cast("decimal(5,4)").alias("compression_ratio"),
             "series_count", ts_lit(as_of).alias("created_at"),
@@ -82,14 +84,20 @@ def manifest_overlap(manifest: DataFrame, metric_id: str, start, end) -> DataFra
     return manifest.filter((F.col("metric_id") == metric_id) & days & touching).orderBy("start_time")
 
 
-def manifest_for_ranges(manifest: DataFrame, ranges: DataFrame) -> DataFrame:
+def manifest_for_ranges(manifest: DataFrame, ranges: DataFrame, max_days: int = 90) -> DataFrame:
     """Manifest rows touching any of many ranges ``query_id, metric_id, start, end``.
 
+    A range longer than ``max_days`` fails the job.
+
     A manifest row covers one day, so each range is unfolded into its days (their number is
     bounded by the range limit) and joined on (metric, day): an equi-join instead of a range
     join. The day before is added because a file's end touches the next midnight.
     """
-    days = ranges.withColumn("day", F.explode(F.sequence(
+    length = F.unix_micros(F.col("end").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))
+    checked = F.when(length <= max_days * 86_400_000_000, F.col("end")).otherwise(
+        F.raise_error(F.lit(f"a range is longer than {max_days} days"))
+    )
+    days = ranges.withColumn("end", checked).withColumn("day", F.explode(F.sequence(
         F.date_sub(F.to_date("start"), 1), F.to_date("end")
     )))
     return days.join(manifest, METRIC_DAY).filter(

@@ -9,7 +9,7 @@ from seriesframe.config import Settings
 from seriesframe.functions.times import ts_lit
 from seriesframe.schema import METRIC_TYPES
 from seriesframe.operators.validation import (
-    LABEL_KEY_PATTERN, first_problem, is_blank, name_problem,
+    LABEL_KEY_PATTERN, first_problem, is_blank, longer_than, name_problem,
 )
 
 # Fixed value: description of a metric nobody registered.
@@ -112,7 +112,7 @@ def registration_problem(settings: Settings = Settings()) -> Column:
     longest = settings.ingest.max_label_key_length
     label_problems = F.transform(keys, lambda key: F.coalesce(
         F.when(is_blank(key), "label_key_blank"),
-        F.when(F.length(key) > longest, "label_key_too_long"),
+        F.when(longer_than(key, longest), "label_key_too_long"),
         F.when(~key.rlike(LABEL_KEY_PATTERN), "label_key_invalid"),
     ))
     days = F.coalesce("retention_days", F.lit(settings.default_retention_days))
@@ -123,8 +123,8 @@ def registration_problem(settings: Settings = Settings()) -> Column:
         F.get(F.array_compact(label_problems), 0),
         F.when(days < 1, "retention_too_short"),
         F.when(days > settings.max_retention_days, "retention_too_long"),
-        F.when(F.length("description") > 1000, "description_too_long"),
-        F.when(F.length("unit") > 100, "unit_too_long"),
+        F.when(longer_than("description", 1000), "description_too_long"),
+        F.when(longer_than("unit", 100), "unit_too_long"),
     )
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,12 +102,14 @@ def routed_buckets(
     start,
     end,
     fresh_until: datetime | None = None,
+    valid_days: Iterable[date] | None = None,
 ) -> DataFrame:
     """Bucket statistics from a rollup, equal to those from the samples.
 
     Whole rollup buckets inside the range come from the table. The cut buckets at both edges,
-    and everything from ``fresh_until`` on, come from the samples, so only a sliver is scanned.
-    ``samples`` and ``rollup_table`` hold one metric, already filtered by labels.
+    everything from ``fresh_until`` on, and days that are not in ``valid_days`` (None: all are),
+    come from the samples, so only a sliver is scanned. ``samples`` and ``rollup_table`` hold one
+    metric, already filtered by labels.
     """
     seconds = GRAINS[grain].seconds
     step = timedelta(seconds=seconds)
@@ -119,10 +122,16 @@ def routed_buckets(
     until = max(until, begin)
 
     whole = filter_time(rollup_table, begin, until, "bucket").filter(F.col("bucket") < until)
-    inside = F.col("time").between(F.lit(begin), F.lit(until)) & (F.col("time") < F.lit(until))
+    inside = (F.col("time") >= F.lit(begin)) & (F.col("time") < F.lit(until))
+    near_edge = (F.col("day") <= F.lit(begin.date())) | (F.col("day") >= F.lit(until.date()))
+    if valid_days is not None:
+        days = [F.lit(day) for day in sorted(set(valid_days))]
+        whole = whole.filter(F.to_date("bucket").isin(days))
+        inside = inside & F.to_date("time").isin(days)
+        near_edge = near_edge | ~F.col("day").isin(days)
     edges = filter_time(samples, first, last).filter(~inside)
     if "day" in samples.columns:
-        edges = edges.filter((F.col("day") <= F.lit(begin.date())) | (F.col("day") >= F.lit(until.date())))
+        edges = edges.filter(near_edge)
     columns = ["bucket", "sum_value", "min_value", "max_value", "sample_count"]
     partial = edges.groupBy(time_bucket("time", seconds).alias("bucket")).agg(
         F.sum("value").alias("sum_value"), F.min("value").alias("min_value"),
@@ -131,7 +140,7 @@ def routed_buckets(
     return merge_over_labels(whole.select(*columns).unionByName(partial), width_seconds)
 
 
-def routed_agg(buckets: DataFrame, aggregation: str, limit: int | None = 1_000) -> DataFrame:
+def routed_agg(buckets: DataFrame, aggregation: str, limit: int | None = None) -> DataFrame:
     """One aggregate of routed buckets as (bucket, value), newest first."""
     column = {
         "SUM": "sum_value", "MIN": "min_value", "MAX": "max_value", "COUNT": "sample_count",

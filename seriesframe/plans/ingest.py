@@ -92,10 +92,10 @@ def validate_batch(
     return Ingested(rows, registry, adopt)
 
 
-def batch_rows(accepted: DataFrame, landed: int, order: list[str]) -> DataFrame:
+def batch_rows(accepted: DataFrame, landed: int, order: list[str], batch: str) -> DataFrame:
     """Accepted rows as they wait for merging: one per key, the last arrival of the batch."""
     kept = last_wins(accepted.withColumnRenamed("timestamp", "time"), order)
     return kept.select(
         "time", "metric_id", "value", "labels_key", F.lit(landed).cast("long").alias("landed"),
-        utc_day("time").alias("day"),
+        F.lit(batch).alias("batch"), utc_day("time").alias("day"),
     )

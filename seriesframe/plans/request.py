@@ -46,7 +46,7 @@ class QueryRequest:
     labels: Mapping[str, str] = field(default_factory=dict)
     aggregation: Aggregation | None = None
     interval: str | None = None
-    limit: int = 100
+    limit: int | None = None  # newest points; None gives all
 
 
 def raw_points(samples: DataFrame, limit: int | None) -> DataFrame:
@@ -74,7 +74,7 @@ def check_request(request: QueryRequest, settings: Settings, as_of):
     """(start, end, bucket width) of a valid request; raises otherwise."""
     if not request.metric.strip():
         raise ValueError("the metric name is blank")
-    if not 1 <= request.limit <= settings.query.max_limit:
+    if request.limit is not None and not 1 <= request.limit <= settings.query.max_limit:
         raise ValueError(f"the limit must lie in 1..{settings.query.max_limit}")
     start, end = default_range(
         request.start, request.end, as_of, settings.query.default_range_hours
@@ -113,7 +113,9 @@ def plan(
             made = aggregates.percentile(found, end, aggregation.fraction, most)
         else:
             made = aggregates.percentile_bucketed(found, width, aggregation.fraction, most)
-            made = made.limit(settings.query.max_buckets).withColumnRenamed("bucket", "timestamp")
+            if settings.query.max_buckets is not None:
+                made = made.limit(settings.query.max_buckets)
+            made = made.withColumnRenamed("bucket", "timestamp")
     elif width is None:
         made = aggregates.overall_agg(found, start, aggregation.value)
     else:
@@ -123,7 +125,7 @@ def plan(
     return made.withColumn("labels", literal_map(request.labels))
 
 
-def range_query(samples: DataFrame, start, end, step: str, labels=None, limit: int = 1_000) -> DataFrame:
+def range_query(samples: DataFrame, start, end, step: str, labels=None, limit: int | None = None) -> DataFrame:
     """Average per step as (bucket, value), newest first."""
     width = parse_interval(step)
     if width is None:

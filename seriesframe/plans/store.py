@@ -23,10 +23,10 @@ from seriesframe.plans import request as queries
 from seriesframe.plans.ingest import Ingested, batch_rows, validate_batch
 from seriesframe.plans.request import Aggregation, QueryRequest
 from seriesframe.schema import (
-    INCOMING, LABELS_INDEX, MANIFEST, METRIC_LABELS, METRICS, ROLLUP, RUNS,
+    INCOMING, LABELS_INDEX, MANIFEST, METRIC_LABELS, METRICS, ROLLUP, RUNS, SAMPLES,
     SERIES_SEEN,
 )
-from seriesframe.session import configure, materialize, scratch, scratch_path
+from seriesframe.session import configure, scratch
 from seriesframe.sources import archive as archive_files
 from seriesframe.sources import export as export_files
 from seriesframe.sources import tables
@@ -36,9 +36,10 @@ from seriesframe.sources.samples import scan_samples
 class SeriesStore:
     """Tables below ``root``, a folder all executors share.
 
-    ``samples`` is partitioned by UTC day. Ingest batches land in ``incoming`` first, one
-    folder per batch, so a repeated batch overwrites itself; :meth:`merge_incoming` folds them
-    into the day partitions and scans lay them over the samples until then.
+    ``samples`` is kept by UTC day. Ingest batches land in ``incoming`` first, so no day is
+    rewritten per batch; :meth:`merge_incoming` folds them into the days and scans lay them over
+    the samples until then. Every table changes by one log entry (see ``sources.tables``), so a
+    failed job leaves it as it was. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, root: str, settings: Settings = Settings()):
@@ -60,12 +61,27 @@ class SeriesStore:
     def metric_labels(self) -> DataFrame:
         return self._read("metric_labels", METRIC_LABELS)
 
+    def _scratch(self):
+        return scratch(self.spark, self.path("_work"))
+
     def registry(self) -> DataFrame:
         return catalog.with_label_keys(self.metrics(), self.metric_labels())
 
     def incoming(self) -> DataFrame:
         """Batches that are not merged yet."""
-        return self._read("incoming", INCOMING)
+        folders = [folder for _, _, folder in self._waiting()]
+        return tables.read_folders(self.spark, self.path("incoming"), INCOMING, folders)
+
+    def waiting_batches(self) -> int:
+        return len({batch for batch, _, _ in self._waiting()})
+
+    def _waiting(self) -> list[tuple[str, date, str]]:
+        """(batch, day, folder) of what waits to be merged; one log entry is read, nothing is listed."""
+        found = []
+        for key, folders in tables.snapshot(self.spark, self.path("incoming")).items():
+            day, batch = key.split("|", 1)
+            found += ((batch, date.fromisoformat(day), folder) for folder in folders)
+        return found
 
     def rollup(self, grain: str) -> DataFrame:
         return self._read(f"rollup_{grain}", ROLLUP)
@@ -88,6 +104,11 @@ class SeriesStore:
         The merge runs only on days that have waiting rows; other days are scanned as they are.
         """
         found = scan_samples(self.spark, self.path("samples"), metric_id, start, end, labels)
+        days = sorted({day for _, day, _ in self._waiting()})
+        if start is not None:
+            days = [day for day in days if day_of(start) <= day <= day_of(end)]
+        if not days:
+            return found
         waiting = self.incoming()
         if metric_id is not None:
             waiting = filter_metric(waiting, metric_id)
@@ -97,13 +118,42 @@ class SeriesStore:
             waiting = filter_labels(
                 waiting.withColumn("labels", from_key("labels_key")), labels
             ).drop("labels")
-        days = self._waiting_days()
-        if not days:
-            return found
         touched = F.col("day").isin([F.lit(d) for d in days])
         merged = upsert.upsert(found.filter(touched), waiting)
         return found.filter(~touched).unionByName(merged)
 
+    def points(
+        self, metric_id: str, start, end, labels: Mapping[str, str] | None = None
+    ) -> DataFrame:
+        """Hot and archived samples of a metric; archived files are opened only for their days."""
+        check_range(utc(start), utc(end), self.settings.query.max_range_days)
+        hot = self.samples(metric_id, start, end, labels)
+        first, last = day_of(start), day_of(end)
+        cold_days = {d for d in tables.days_of(self.spark, self.path("manifest")) if first <= d <= last}
+        if not cold_days:
+            return hot
+        cold = filter_labels(self.read_archive(metric_id, start, end), labels)
+        return archive.unified_scan(hot, cold, cold_days & self._hot_days())
+
+    def _hot_days(self) -> set[date]:
+        return {*tables.days_of(self.spark, self.path("samples")), *(day for _, day, _ in self._waiting())}
+
+    def _state_of_days(self) -> dict[str, list[str]]:
+        """What a rollup of a day depends on: the folders of its samples, merged and waiting."""
+        state = dict(tables.snapshot(self.spark, self.path("samples")))
+        for batch, day, folder in self._waiting():
+            state[day.isoformat()] = [*state.get(day.isoformat(), []), folder]
+        return state
+
+    def valid_days(self, grain: str) -> list[date]:
+        """Days whose rollups hold all their samples: nothing has changed since they were made.
+
+        Archived days count as changed, since the archive may have been corrected.
+        """
+        made = tables.snapshot(self.spark, self.path(f"rollup_{grain}_state"))
+        now = self._state_of_days()
+        return [date.fromisoformat(day) for day, state in made.items() if now.get(day) == state]
+
     def series_seen(self) -> DataFrame:
         """One row per series and day, plus the rows waiting to be merged.
 
@@ -113,27 +163,24 @@ class SeriesStore:
         columns = SERIES_SEEN.names
         return self._read("series", SERIES_SEEN).unionByName(self.incoming().select(*columns))
 
-    def _note_series(self, days: list[date]) -> None:
-        stored = tables.in_days(scan_samples(self.spark, self.path("samples")), days)
-        seen = stored.groupBy("metric_id", "labels_key", "day").agg(F.max("time").alias("time"))
+    def _note_series(self, rows: DataFrame, days: list[date]) -> None:
+        """Add the series of ``rows`` to those known on ``days``; no samples are read again."""
+        known = tables.in_days(self._read("series", SERIES_SEEN), days)
+        both = known.unionByName(rows.select(*SERIES_SEEN.names))
+        seen = both.groupBy("metric_id", "labels_key", "day").agg(F.max("time").alias("time"))
         tables.overwrite_days(
-            seen.select(*SERIES_SEEN.names), self.path("series"), tables.compact
+            seen.select(*SERIES_SEEN.names), self.path("series"), tables.keyed("day")
         )
 
     def _drop_series(self, before: date) -> None:
         """Forget series of old days; the series limit looks back one check window only."""
-        for name in tables.partitions(self.spark, self.path("series")):
-            if date.fromisoformat(name) < before:
-                tables.delete(self.spark, self.path(f"series/day={name}"))
-
-    def _waiting_days(self) -> list[date]:
-        """Days with waiting rows, read off the folder names of the batches."""
-        names = {
-            day
-            for batch in tables.partitions(self.spark, self.path("incoming"), "batch")
-            for day in tables.partitions(self.spark, self.path(f"incoming/batch={batch}"))
-        }
-        return sorted(date.fromisoformat(name) for name in names)
+        path = self.path("series")
+        tables.drop_days(self.spark, path, [d for d in tables.days_of(self.spark, path) if d < before])
+
+    def vacuum(self) -> None:
+        """Delete the leftovers of failed jobs."""
+        for table in ("metrics", "metric_labels", "samples", "incoming", "series", "manifest", "runs"):
+            tables.vacuum(self.spark, self.path(table))
 
     # Catalogue
 
@@ -148,17 +195,17 @@ class SeriesStore:
 
     def register(self, requests: DataFrame, as_of) -> DataFrame:
         """Validate and append registrations ``idx, name, type, ...``; returns them with reason."""
-        checked = materialize(
-            catalog.check_registrations(requests, self.metrics(), self.settings), "registrations"
-        )
+        kept_in = f"{self.path('_work')}/{uuid.uuid4().hex}"
+        lazy = catalog.check_registrations(requests, self.metrics(), self.settings)
+        lazy.write.parquet(kept_in)
+        checked = self.spark.read.schema(lazy.schema).parquet(kept_in)
         self._append_metrics(checked.filter("reason IS NULL"), as_of)
         return checked
 
     def _append_metrics(self, accepted: DataFrame, as_of) -> None:
-        catalog.new_label_rows(accepted).write.mode("append").parquet(self.path("metric_labels"))
-        catalog.new_metric_rows(accepted, as_of, self.settings).write.mode("append").parquet(
-            self.path("metrics")
-        )
+        tables.append_table(catalog.new_label_rows(accepted).select(*METRIC_LABELS.names), self.path("metric_labels"))
+        made = catalog.new_metric_rows(accepted, as_of, self.settings)
+        tables.append_table(made.select(*METRICS.names), self.path("metrics"))
 
     def update_metric(self, metric_id: str, as_of, **changes) -> None:
         catalog.metric_by_id(self.metrics(), metric_id)
@@ -177,25 +224,31 @@ class SeriesStore:
     ) -> Ingested:
         """Validate one batch and store what passes; the accepted rows are visible at once.
 
-        A batch name that is used again replaces the earlier attempt. Between batches the one
-        that landed last wins; within one, the last row by ``order``.
+        A batch that is sent again while it waits replaces its earlier attempt, in that attempt's
+        place; one that has been merged is only validated again. Between batches the one that was
+        first seen last wins; within one, the last row by ``order``.
         """
         order = order or (["arrival"] if "arrival" in incoming.columns else ["idx"])
         batch = batch or uuid.uuid4().hex
-        landed = int(datetime.now(timezone.utc).timestamp() * 1_000_000)
         lazy = validate_batch(incoming, self.registry(), as_of, self.settings, self.series_seen())
-        kept_in = scratch_path(self.spark, "validated")
+        kept_in = f"{self.path('_work')}/{uuid.uuid4().hex}"
         lazy.validated.write.parquet(kept_in)
         stored = self.spark.read.schema(lazy.validated.schema).parquet(kept_in)
         done = replace(lazy, validated=stored, scratch=kept_in)
-        with scratch(self.spark) as keep:
+        with self._scratch() as keep:
             fresh = keep(done.registrations, "new-metrics")
             if not fresh.isEmpty():
                 self._append_metrics(fresh, as_of)
-        rows = batch_rows(done.accepted, landed, order)
-        tables.compact(rows, "day").write.mode("overwrite").partitionBy("day").parquet(
-            self.path(f"incoming/batch={batch}")
-        )
+        waiting = tables.snapshot(self.spark, self.path("incoming"))
+        mine = [key for key in waiting if key.split("|", 1)[1].rsplit("#", 1)[0] == batch]
+        if mine or not self._was_merged(batch):
+            numbers = {key: int(key.rsplit("#", 1)[1]) for key in waiting}
+            landed = min(numbers[k] for k in mine) if mine else max(numbers.values(), default=0) + 1
+            rows = batch_rows(done.accepted, landed, order, batch).select(*INCOMING.names)
+            made = tables.write_folder(rows, self.path("incoming"))
+            changes = {key: [] for key in mine}
+            changes |= {f"{day}|{batch}#{landed}": folders for day, folders in made.items()}
+            tables.commit(self.spark, self.path("incoming"), changes)
         done.rejected.write.mode("overwrite").parquet(self.path(f"rejects/batch={batch}"))
         passed = F.col("reason").isNull()
         accepted, rejected = done.validated.agg(F.count_if(passed), F.count_if(~passed)).first()
@@ -205,6 +258,9 @@ class SeriesStore:
         ])
         return done
 
+    def _was_merged(self, batch: str) -> bool:
+        return not self.runs().filter(F.col("id") == f"{batch}/merged").isEmpty()
+
     def ingest_totals(self) -> DataFrame:
         """Accepted and rejected samples over all batches; a repeated batch counts once."""
         runs = self.runs().filter(F.col("job_type").isin("ingest", "reject"))
@@ -216,17 +272,20 @@ class SeriesStore:
 
     def merge_incoming(self) -> None:
         """Fold waiting batches into the day partitions. Repeating it changes nothing."""
-        batches = tables.partitions(self.spark, self.path("incoming"), "batch")
-        if not batches:
+        waiting = self._waiting()
+        days = sorted({day for _, day, _ in waiting})
+        if not days:
             return
-        days = self._waiting_days()
-        waiting = self.incoming().filter(F.col("batch").isin(batches))
+        rows = self.incoming()
         stored = tables.in_days(scan_samples(self.spark, self.path("samples")), days)
-        if days:
-            tables.overwrite_days(upsert.upsert(stored, waiting), self.path("samples"))
-            self._note_series(days)
-        for batch in batches:
-            tables.delete(self.spark, self.path(f"incoming/batch={batch}"))
+        self._note_series(rows, days)
+        tables.overwrite_days(upsert.upsert(stored, rows), self.path("samples"))
+        # A name that is sent again from here on is known to be merged.
+        now = datetime.now(timezone.utc)
+        names = sorted({batch.rsplit("#", 1)[0] for batch, _, _ in waiting})
+        self._log([self._run("merge", "COMPLETED", now, now, run_id=f"{n}/merged") for n in names])
+        merged = tables.snapshot(self.spark, self.path("incoming"))
+        tables.commit(self.spark, self.path("incoming"), {key: [] for key in merged})
 
     def upsert_samples(self, rows: DataFrame, order: list[str]) -> None:
         """Merge ``time, metric_id, value, labels_key`` rows straight into their days.
@@ -234,12 +293,12 @@ class SeriesStore:
         Of several rows with one key the last by ``order`` wins, and it wins over stored ones.
         """
         kept = upsert.last_wins(rows, order).withColumn("day", utc_day("time"))
-        with scratch(self.spark) as keep:
+        with self._scratch() as keep:
             fresh = keep(kept.withColumn("landed", F.lit(0).cast("long")), "upsert")
             days = [row["day"] for row in fresh.select("day").distinct().collect()]
             stored = tables.in_days(scan_samples(self.spark, self.path("samples")), days)
+            self._note_series(fresh, days)
             tables.overwrite_days(upsert.upsert(stored, fresh), self.path("samples"))
-        self._note_series(days)
 
     # Queries
 
@@ -247,23 +306,32 @@ class SeriesStore:
         """``timestamp, value, labels``; lazy."""
         start, end, _ = queries.check_request(request, self.settings, as_of)
         metric = self.resolve(request.metric)
-        found = self.samples(metric["id"], start, end)
+        found = self.points(metric["id"], start, end)
         return queries.plan(request, found, metric["type"], as_of, self.settings)
 
     def routed_query(self, request: QueryRequest, as_of, fresh_until=None) -> DataFrame:
-        """Like :meth:`query`, answering plain bucket aggregates from the rollups."""
+        """Like :meth:`query`, answering plain bucket aggregates from the rollups.
+
+        Only days whose rollups are known to be complete come from them, all others from samples.
+        """
         start, end, width = queries.check_request(request, self.settings, as_of)
         grain = rollups.pick_grain(width) if width else None
         plain = request.aggregation and request.aggregation.value in aggregates.PLAIN_AGGREGATES
         if grain is None or not plain:
             return self.query(request, as_of)
+        first, last = day_of(start), day_of(end)
+        valid = [day for day in self.valid_days(grain) if first <= day <= last]
+        if not valid:
+            return self.query(request, as_of)
         metric_id = self.resolve(request.metric)["id"]
-        rows = filter_metric(self.rollup(grain), metric_id)
+        rows = filter_metric(
+            tables.read_table(self.spark, self.path(f"rollup_{grain}"), ROLLUP, first, last), metric_id
+        )
         if request.labels:
             rows = filter_labels(rows.withColumn("labels", from_key("labels_key")), request.labels)
         buckets = rollups.routed_buckets(
-            self.samples(metric_id, start, end, request.labels), rows, grain, width, start, end,
-            fresh_until,
+            self.points(metric_id, start, end, request.labels), rows, grain, width, start, end,
+            fresh_until, valid,
         )
         made = rollups.routed_agg(buckets, request.aggregation.value, self.settings.query.max_buckets)
         return made.select(
@@ -279,52 +347,54 @@ class SeriesStore:
 
     def range_query(self, name: str, start, end, step: str, labels=None) -> DataFrame:
         request = QueryRequest(
-            name, start, end, labels or {}, Aggregation.AVG, step, self.settings.query.max_limit
+            name, start, end, labels or {}, Aggregation.AVG, step
         )
         return self.query(request, end)
 
     def statistics(self, name: str, as_of, start=None, end=None) -> DataFrame:
         first, last = default_range(start, end, as_of, self.settings.query.default_range_hours)
-        if first > last:
-            raise ValueError("the start of the range lies after its end")
-        found = self.samples(self.resolve(name)["id"], first, last)
+        found = self.points(self.resolve(name)["id"], first, last)
         return aggregates.statistics(found, self.settings.skew.percentile_rows)
 
     def counter_rate(self, name: str, start, end, labels=None, include_first: bool = False) -> DataFrame:
-        found = self.samples(self.resolve(name)["id"], start, end, labels)
+        found = self.points(self.resolve(name)["id"], start, end, labels)
         return counters.rate(found, self.settings.skew.series_rows, include_first)
 
     def counter_increase(self, name: str, start, end, labels=None) -> DataFrame:
-        return counters.counter_increase(self.samples(self.resolve(name)["id"], start, end, labels))
+        return counters.counter_increase(self.points(self.resolve(name)["id"], start, end, labels))
 
     def rate_from_rollup(self, name: str, grain: str, start, end, labels=None) -> DataFrame:
         rows = rollups.rollup_rows(self.rollup(grain), self.resolve(name)["id"], start, end, labels)
         return counters.rate_from_rollup(rows)
 
     def cardinality_stats(self, as_of) -> DataFrame:
-        return cardinality.cardinality_stats(self.samples(), as_of, self.settings.cardinality)
+        return cardinality.cardinality_stats(self.series_seen(), as_of, self.settings.cardinality)
 
     def export(self, name: str, start, end, file_format: str, path: str, labels=None) -> None:
-        """Newest points of at most 30 days, in the given format."""
+        """All points of at most 30 days, in the given format."""
         check_range(utc(start), utc(end), self.settings.query.max_export_days)
-        request = QueryRequest(name, start, end, labels or {}, limit=self.settings.query.max_limit)
+        request = QueryRequest(name, start, end, labels or {})
         export_files.export(self.query(request, end), name, file_format, path)
 
     # Rollups
 
     def refresh_rollups(self) -> None:
-        """Rebuild all rollups; hours come from 5-minute rows and days from hours."""
+        """Rebuild the rollups of all hot days; hours come from 5-minute rows and days from hours.
+
+        Rollups of days that are archived stay.
+        """
+        state = self._state_of_days()
         finer = None
         for grain in ("5m", "1h", "1d"):
             made = (
                 rollups.rollup(self.samples(), grain) if finer is None
                 else rollups.coarsen(finer, grain)
             )
-            path = self.path(f"rollup_{grain}")
-            tables.by_day(made.withColumn("day", utc_day("bucket"))).write.mode(
-                "overwrite"
-            ).partitionBy("day").parquet(path)
-            finer = self.rollup(grain)
+            tables.overwrite_days(
+                made.withColumn("day", utc_day("bucket")), self.path(f"rollup_{grain}")
+            )
+            finer = tables.in_days(self.rollup(grain), [date.fromisoformat(day) for day in state])
+            tables.commit(self.spark, self.path(f"rollup_{grain}_state"), state)
 
     def refresh_band(self, grain: str, as_of) -> None:
         """Recompute only the buckets inside the refresh band of ``as_of``, from samples."""
@@ -335,6 +405,7 @@ class SeriesStore:
         days = [
             day_of(begin) + timedelta(days=n) for n in range((day_of(last) - day_of(begin)).days + 1)
         ]
+        state = self._state_of_days()
         table = tables.in_days(self.rollup(grain), days)
         outside = table.filter((F.col("bucket") < F.lit(begin)) | (F.col("bucket") >= F.lit(until)))
         made = rollups.rollup(self.samples(start=begin, end=last), grain)
@@ -342,53 +413,71 @@ class SeriesStore:
         tables.replace_days(
             outside.unionByName(band.select(*outside.columns)), self.path(f"rollup_{grain}"), days
         )
+        whole = [
+            d.isoformat() for d in days
+            if begin <= utc(d.isoformat()) and utc((d + timedelta(days=1)).isoformat()) <= until
+        ]
+        if whole:
+            tables.commit(
+                self.spark, self.path(f"rollup_{grain}_state"), {day: state.get(day, []) for day in whole}
+            )
 
     # Lifecycle
 
     def archive(self, as_of, file_format: str = "parquet") -> None:
-        """Move complete old days to the archive: write files, write manifest, delete from hot.
+        """Move complete old days to the archive: files, label index, manifest, then out of hot.
 
-        Safe to repeat after a crash at any point: files are overwritten by the same content,
-        manifest rows are added only where missing, and a hot row is removed only when the
-        archive holds it.
+        Rows that have come late for an archived day are merged with what it holds and written to
+        a new folder, which its manifest row then names. Safe to repeat after a crash at any point:
+        files that the manifest names never change, and days leave the hot table last.
         """
         self.merge_incoming()
         before = archive.cutoff_day(as_of, self.settings.archive_after_days)
-        hot_days = [
-            date.fromisoformat(d) for d in tables.partitions(self.spark, self.path("samples"))
-        ]
-        days = [d for d in hot_days if d < before]
+        days = [d for d in tables.days_of(self.spark, self.path("samples")) if d < before]
         if not days:
             return
         hot = tables.in_days(scan_samples(self.spark, self.path("samples")), days)
-        with scratch(self.spark) as keep:
-            todo = keep(archive.archive_candidates(hot, self.manifest(), before), "candidates")
-            self._archive_days(hot, todo, as_of, file_format, days)
-        cold = archive_files.read_archive_days(self.spark, self.path("archive"), days)
-        tables.replace_days(archive.kept_in_hot(hot, cold), self.path("samples"), days)
+        known = tables.in_days(self.manifest(), days)
+        with self._scratch() as keep:
+            new = keep(archive.archive_candidates(hot, known, before), "candidates")
+            if not new.isEmpty():
+                moving = hot.join(new, archive.METRIC_DAY, "left_semi")
+                self._archive_rows(moving, new, as_of, file_format, file_format, days)
+            if not known.isEmpty():
+                late = hot.select(*archive.METRIC_DAY).join(known, archive.METRIC_DAY, "left_semi").distinct()
+                late = keep(late, "late")
+                if not late.isEmpty():
+                    rows = hot.join(late, archive.METRIC_DAY, "left_semi")
+                    cold = archive_files.read_archive_days(self.spark, self.path("archive"), known, days)
+                    cold = cold.join(late, archive.METRIC_DAY, "left_semi")
+                    base = f"{file_format}.{uuid.uuid4().hex[:12]}"
+                    self._archive_rows(archive.unified_scan(rows, cold), late, as_of, file_format, base, days)
+        moved = hot.agg(F.countDistinct("metric_id"), F.count(F.lit(1))).first()
+        tables.drop_days(self.spark, self.path("samples"), days)
         self._drop_series(before)
+        self.log_run("archive", "COMPLETED", as_of, as_of, moved[0], moved[1])
 
-    def _archive_days(
-        self, hot: DataFrame, todo: DataFrame, as_of, file_format: str, days: list[date]
+    def _archive_rows(
+        self, moving: DataFrame, pairs: DataFrame, as_of, file_format: str, base: str, days: list[date]
     ) -> None:
-        """Files, then their label index, then the manifest, for the (metric, day) in ``todo``."""
-        if todo.isEmpty():
-            return
+        """Files, then their label index, then the manifest, for the (metric, day) in ``pairs``."""
         key = archive.METRIC_DAY
-        moving = hot.join(todo, key, "left_semi")
-        archive_files.write_archive(moving, self.path("archive"), file_format)
-        tables.compact(archive.labels_index(moving), "day", "metric_id").write.mode(
-            "overwrite"
-        ).option("partitionOverwriteMode", "dynamic").partitionBy("day", "metric_id").parquet(
-            self.path("labels_index")
+        archive_files.write_archive(moving, self.path("archive"), file_format, base)
+        index = archive.labels_index(moving).select(*LABELS_INDEX.names)
+        other = tables.in_days(self.labels_index(), days).join(pairs, key, "left_anti")
+        tables.overwrite_days(
+            other.select(*LABELS_INDEX.names).unionByName(index), self.path("labels_index"),
+            tables.keyed("day", "metric_id"),
         )
         # The manifest follows from the index, which has a row per series and not per sample.
-        index = tables.in_days(self.labels_index(), days).join(todo.select(*key), key, "left_semi")
-        sizes = archive_files.folder_sizes(self.spark, self.path("archive"), file_format, days)
-        rows = archive.manifest_rows(index, as_of, file_format).join(sizes, key, "left")
-        tables.compact(rows.select(*MANIFEST.names), "day").write.mode("append").partitionBy(
-            "day"
-        ).parquet(self.path("manifest"))
+        index = tables.in_days(self.labels_index(), days).join(pairs, key, "left_semi")
+        sizes = archive_files.folder_sizes(self.spark, self.path("archive"), base, days)
+        rows = archive.manifest_rows(index, as_of, file_format, base).join(sizes, key, "left")
+        other = tables.in_days(self.manifest(), days).join(pairs, key, "left_anti")
+        tables.overwrite_days(
+            other.select(*MANIFEST.names).unionByName(rows.select(*MANIFEST.names)),
+            self.path("manifest"), tables.keyed("day"),
+        )
 
     def read_archive(self, metric_id: str, start, end) -> DataFrame:
         return archive_files.read_archive(
@@ -397,15 +486,7 @@ class SeriesStore:
 
     def unified_samples(self, name: str, start, end, labels=None) -> DataFrame:
         """Hot and archived samples of a metric in one frame."""
-        metric_id = self.resolve(name)["id"]
-        hot = self.samples(metric_id, start, end, labels)
-        cold = filter_labels(self.read_archive(metric_id, start, end), labels)
-        hot_days = {
-            date.fromisoformat(d) for d in tables.partitions(self.spark, self.path("samples"))
-        } | set(self._waiting_days())
-        first, last = day_of(start), day_of(end)
-        shared = [d for d in hot_days if first <= d <= last]
-        return archive.unified_scan(hot, cold, shared)
+        return self.points(self.resolve(name)["id"], start, end, labels)
 
     def apply_retention(self, as_of) -> None:
         """Delete samples older than the retention of their metric.
@@ -419,12 +500,10 @@ class SeriesStore:
         shortest, longest = min(limits[0] or default, default), max(limits[1] or default, default)
         dead = day_of(utc(as_of) - timedelta(days=longest))
         path = self.path("samples")
-        for name in tables.partitions(self.spark, path):
-            if date.fromisoformat(name) < dead:
-                tables.delete(self.spark, f"{path}/day={name}")
+        tables.drop_days(self.spark, path, [d for d in tables.days_of(self.spark, path) if d < dead])
         # No younger day can hold an expired row, so it is not scanned.
         youngest = day_of(utc(as_of) - timedelta(days=shortest))
-        hot = scan_samples(self.spark, path).filter(F.col("day") <= F.lit(youngest))
+        hot = tables.read_table(self.spark, path, SAMPLES, last=youngest)
         stale = lifecycle.expired(hot, self.metrics(), as_of, default)
         days = [row["day"] for row in stale.select("day").distinct().collect()]
         if days:
@@ -437,9 +516,8 @@ class SeriesStore:
         old = manifest.filter(F.col("created_at") < F.lit(utc(cutoff)))
         days = [row["day"] for row in old.select("day").distinct().collect()]
         if days:
-            with scratch(self.spark) as keep:
-                kept = keep(archive.purge_manifest(tables.in_days(manifest, days), cutoff), "manifest")
-                tables.rewrite_partitions(kept, self.path("manifest"), days, ["day", "metric_id"])
+            kept = archive.purge_manifest(tables.in_days(manifest, days), cutoff)
+            tables.replace_days(kept, self.path("manifest"), days, tables.keyed("day"))
 
     def log_run(self, job_type: str, status: str, start_time, end_time, *counts) -> None:
         """Append one row to the run log: metrics processed, rows migrated, error message."""
@@ -457,4 +535,4 @@ class SeriesStore:
 
     def _log(self, rows: list[tuple]) -> None:
         made = self.spark.createDataFrame(rows, RUNS).coalesce(1)
-        made.write.mode("append").parquet(self.path("runs"))
+        tables.append_table(made, self.path("runs"))

@@ -38,13 +38,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-    """Intermediate tables of one job, deleted when the job is through.
+def scratch(
+    spark: SparkSession, root: str | None = None
+) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Intermediate tables of one job, below ``root`` or the shared folder, deleted at its end.
 
     Queries that return lazy frames use :func:`materialize` instead; what they leave in the
     shared folder is cleaned like Spark's own checkpoints.
     """
-    folder = scratch_path(spark, "job")
+    folder = f"{root}/{uuid.uuid4().hex}" if root else scratch_path(spark, "job")
 
     def keep(df: DataFrame, label: str) -> DataFrame:
         path = f"{folder}/{label}-{uuid.uuid4().hex}"

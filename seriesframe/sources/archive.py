@@ -16,16 +16,20 @@ from seriesframe.functions.labels import from_key
 from seriesframe.operators.archive import manifest_overlap
 from seriesframe.operators.filters import filter_time
 from seriesframe.schema import ARCHIVE_JSON, SAMPLES
-from seriesframe.sources.tables import balanced, exists
+from seriesframe.sources.files import exists, names
+from seriesframe.sources.tables import balanced
 
 FORMATS = ("parquet", "json.gz")
 
 
-def write_archive(samples: DataFrame, root: str, file_format: str = "parquet") -> None:
-    """Write samples below ``root``, replacing the (day, metric) folders they belong to.
+def write_archive(
+    samples: DataFrame, root: str, file_format: str = "parquet", base: str | None = None
+) -> None:
+    """Write samples below ``root/base``, replacing the (day, metric) folders they belong to.
 
-    Range partitioning over day, metric and time keeps each file in time order and spreads a
-    metric that holds most rows over many files. Rerunning writes the same folders.
+    ``base`` is the format's own folder by default, and a new one where days are written again, so
+    that files named in the manifest never change. Files are sorted by time, and a metric that
+    holds most rows is spread over many files.
     """
     if file_format not in FORMATS:
         raise ValueError(f"unknown archive format {file_format!r}")
@@ -41,43 +45,59 @@ def write_archive(samples: DataFrame, root: str, file_format: str = "parquet") -
         .partitionBy("day", "metric_id")
     )
     if file_format == "parquet":
-        writer.option("compression", "snappy").parquet(f"{root}/{file_format}")
+        writer.option("compression", "snappy").parquet(f"{root}/{base or file_format}")
     else:
-        writer.option("compression", "gzip").json(f"{root}/{file_format}")
+        writer.option("compression", "gzip").json(f"{root}/{base or file_format}")
 
 
-def _read(spark: SparkSession, root: str, paths: list[str], file_format: str) -> DataFrame:
-    """Samples in folders of one format; a missing or unreadable one raises."""
-    base = f"{root}/{file_format}"
+def _stored_in():
+    path = F.regexp_extract("_metadata.file_path", r"([^/]+/day=[^/]+/metric_id=[^/]+)/[^/]+$", 1)
+    return path.alias("storage_path")
+
+
+def _format_of(base: str) -> str:
+    return next(kind for kind in FORMATS if base == kind or base.startswith(f"{kind}."))
+
+
+def _read(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """Samples in folders of one base, with their folder; a missing or unreadable one raises."""
+    base = paths[0].split("/")[0]
     full = [f"{root}/{path}" for path in paths]
-    if file_format == "parquet":
-        found = spark.read.schema(SAMPLES).option("basePath", base).parquet(*full)
-        return found.select(*SAMPLES.names)
-    body = spark.read.schema(ARCHIVE_JSON).option("basePath", base).option("mode", "FAILFAST")
+    if _format_of(base) == "parquet":
+        found = spark.read.schema(SAMPLES).option("basePath", f"{root}/{base}").parquet(*full)
+        return found.select(*SAMPLES.names, _stored_in())
+    body = spark.read.schema(ARCHIVE_JSON).option("basePath", f"{root}/{base}").option("mode", "FAILFAST")
     return body.json(full).select(
         F.to_timestamp("timestamp").alias("time"), "metric_id", "value",
-        from_key("labels").alias("labels"), F.col("labels").alias("labels_key"), "day",
+        from_key("labels").alias("labels"), F.col("labels").alias("labels_key"), "day", _stored_in(),
     )
 
 
-def _read_all(spark: SparkSession, root: str, paths: dict[str, list[str]]) -> DataFrame:
-    parts = [_read(spark, root, found, kind) for kind, found in paths.items() if found]
-    if not parts:
-        return spark.createDataFrame([], SAMPLES)
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+def _read_all(spark: SparkSession, root: str, paths: Iterable[str]) -> DataFrame:
+    by_base: dict[str, list[str]] = {}
+    for path in paths:
+        by_base.setdefault(path.split("/")[0], []).append(path)
+    whole = spark.createDataFrame([], SAMPLES).withColumn("storage_path", F.lit(""))
+    parts = [_read(spark, root, found) for found in by_base.values()]
+    for part in parts[1:]:
+        parts[0] = parts[0].unionByName(part)
+    return parts[0] if parts else whole
 
 
-def _day_folders(spark: SparkSession, root: str, kind: str, days: Iterable[date]) -> list[str]:
-    folders = [f"{kind}/day={day.isoformat()}" for day in sorted(set(days))]
+def _day_folders(spark: SparkSession, root: str, base: str, days: Iterable[date]) -> list[str]:
+    folders = [f"{base}/day={day.isoformat()}" for day in sorted(set(days))]
     return [folder for folder in folders if exists(spark, f"{root}/{folder}")]
 
 
-def read_archive_days(spark: SparkSession, root: str, days: Iterable[date]) -> DataFrame:
-    """All archived samples of the given days, whatever their metric."""
+def read_archive_days(
+    spark: SparkSession, root: str, manifest: DataFrame, days: Iterable[date]
+) -> DataFrame:
+    """All archived samples of the given days that the manifest names, whatever their metric."""
     days = list(days)
-    return _read_all(
-        spark, root, {kind: _day_folders(spark, root, kind, days) for kind in FORMATS}
-    )
+    folders = [f for base in names(spark, root) for f in _day_folders(spark, root, base, days)]
+    found = _read_all(spark, root, folders)
+    named = manifest.select("storage_path").distinct()
+    return found.join(named, "storage_path", "left_semi").select(*SAMPLES.names)
 
 
 def read_archive(
@@ -87,23 +107,15 @@ def read_archive(
 
     Only the folder names of one metric reach the driver: one per day of the range.
     """
-    found = manifest_overlap(manifest, metric_id, start, end).select(
-        "storage_path", "file_format"
-    ).collect()
-    paths = {
-        kind: [row["storage_path"] for row in found if row["file_format"] == kind]
-        for kind in FORMATS
-    }
-    whole = _read_all(spark, root, paths)
+    found = manifest_overlap(manifest, metric_id, start, end).select("storage_path").collect()
+    whole = _read_all(spark, root, [row["storage_path"] for row in found]).select(*SAMPLES.names)
     return filter_time(whole.filter(F.col("metric_id") == metric_id), start, end)
 
 
-def folder_sizes(
-    spark: SparkSession, root: str, file_format: str, days: Iterable[date]
-) -> DataFrame:
+def folder_sizes(spark: SparkSession, root: str, base: str, days: Iterable[date]) -> DataFrame:
     """Bytes per (metric, day); file listings only, no content is read."""
-    folders = [f"{root}/{f}" for f in _day_folders(spark, root, file_format, days)]
-    files = spark.read.format("binaryFile").option("basePath", f"{root}/{file_format}").load(folders)
+    folders = [f"{root}/{f}" for f in _day_folders(spark, root, base, days)]
+    files = spark.read.format("binaryFile").option("basePath", f"{root}/{base}").load(folders)
     return files.groupBy(
         F.col("metric_id").cast("string").alias("metric_id"), F.col("day").cast("date").alias("day")
     ).agg(F.sum("length").alias("file_size_bytes"))

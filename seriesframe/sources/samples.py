@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from seriesframe.functions.times import parse_iso
+from seriesframe.functions.labels import distinct_labels
+from seriesframe.functions.times import day_of, parse_iso
 from seriesframe.operators.filters import filter_labels, filter_metric, filter_time
+from seriesframe.operators.validation import is_blank
 from seriesframe.schema import BATCH_REQUEST, SAMPLE_REQUEST, SAMPLES
 from seriesframe.sources.tables import read_table
 
@@ -35,14 +37,17 @@ def _problem(*reasons: Column) -> Column:
 
 
 def _typed(rows: DataFrame) -> DataFrame:
-    """Timestamp text to timestamp; text that is not blank and not readable is a problem."""
+    """Timestamp text to timestamp; text that is not blank and not readable is a problem.
+
+    Labels get one value per key, so a line that repeats one cannot stop a job.
+    """
     text = F.col("timestamp")
     unreadable = F.when(
-        (F.trim(text) != "") & parse_iso(text).isNull(),
+        ~is_blank(text) & parse_iso(text).isNull(),
         F.concat(F.lit("timestamp_invalid:"), text),
     )
-    return rows.withColumn("problem", F.coalesce("problem", unreadable)).withColumn(
-        "timestamp", parse_iso(text)
+    return rows.withColumn("problem", F.coalesce("problem", unreadable)).withColumns(
+        {"timestamp": parse_iso(text), "labels": distinct_labels("labels")}
     )
 
 
@@ -104,8 +109,9 @@ def scan_samples(
     end=None,
     labels: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Fact scan: day partitions are pruned, metric and time reach the parquet reader."""
-    found = read_table(spark, path, SAMPLES)
+    """Fact scan: other days are not even listed, metric and time reach the parquet reader."""
+    first, last = (None, None) if start is None else (day_of(start), day_of(end))
+    found = read_table(spark, path, SAMPLES, first, last)
     if metric_id is not None:
         found = filter_metric(found, metric_id)
     if start is not None:

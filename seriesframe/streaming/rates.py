@@ -2,19 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from seriesframe.operators import counters
 from seriesframe.schema import SAMPLES, SERIES
 from seriesframe.session import scratch
 from seriesframe.sources.files import delete, partitions
-from seriesframe.sources.tables import compact, read_table
+from seriesframe.sources.tables import compact
 from seriesframe.streaming.ingest import start
 
 LAST = StructType([SAMPLES[name] for name in ("time", "metric_id", "labels_key", "value")])
+COMPACT_AFTER = 20
+
+
+def _state(spark: SparkSession, state: str, batch_id: int) -> tuple[DataFrame, list[int], list[int]]:
+    """(last samples as of the batch before, states written whole, changes since the newest)."""
+    whole = [int(n) for n in partitions(spark, state, "base") if int(n) < batch_id]
+    changes = [int(n) for n in partitions(spark, state, "version") if int(n) < batch_id]
+    newest = max(whole, default=-1)
+    since = [n for n in changes if n > newest]
+    folders = [f"{state}/base={newest}"] * bool(whole) + [f"{state}/version={n}" for n in since]
+    if not folders:
+        return spark.createDataFrame([], LAST), whole, since
+    return spark.read.schema(LAST).parquet(*folders).select(*LAST.names), whole, since
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    found = rows.groupBy(*SERIES).agg(F.max("time").alias("time"), F.max_by("value", "time").alias("value"))
+    return found.select(*LAST.names)
+
+
+def late_samples(spark: SparkSession, state: str) -> DataFrame:
+    """Samples that came after a newer one of their series, by batch; they have no rate."""
+    schema = StructType([*LAST.fields, StructField("batch", LongType())])
+    if not partitions(spark, f"{state}/late", "batch"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", f"{state}/late").parquet(f"{state}/late/batch=*")
 
 
 def stream_rate(
@@ -23,36 +49,40 @@ def stream_rate(
 ) -> StreamingQuery:
     """Write the rate of every new sample below ``path``, one folder per batch.
 
-    ``state`` keeps the last sample of each series, one version per batch. A retried batch
-    starts from the version before it and replaces its own output, so nothing counts twice.
-    A sample older than the last one of its series has no place in the rate and is skipped.
+    ``state`` keeps the last sample of each series: a batch adds those of the series it has seen
+    and reads those alone; every ``COMPACT_AFTER`` batches they are written whole. A retried batch
+    starts from the state before it and replaces its own output, so nothing counts twice. A sample
+    that is not newer than the last one of its series goes to :func:`late_samples`.
     """
 
     def advance(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = [int(n) for n in partitions(spark, state, "version") if int(n) < batch_id]
-        before = f"{state}/version={max(known)}" if known else f"{state}/none"
-        last = read_table(spark, before, LAST)
-        newer = (
-            batch.select(*LAST.names)
-            .join(last.select(*SERIES, F.col("time").alias("since")), SERIES, "left")
-            .filter(F.col("since").isNull() | (F.col("time") > F.col("since"))).drop("since")
-        )
-        both = newer.withColumn("new", F.lit(True)).unionByName(last.withColumn("new", F.lit(False)))
+        held, whole, since = _state(spark, state, batch_id)
         with scratch(spark) as keep:
+            new = keep(batch.select(*LAST.names), "batch")
+            touched = new.select(*SERIES).distinct()
+            last = keep(_latest(held.join(touched, SERIES, "left_semi")), "last")
+            dated = new.join(last.select(*SERIES, F.col("time").alias("since")), SERIES, "left")
+            on_time = F.col("since").isNull() | (F.col("time") > F.col("since"))
+            late = dated.filter(~on_time).select(*LAST.names)
+            late.write.mode("overwrite").parquet(f"{state}/late/batch={batch_id}")
+            both = dated.filter(on_time).drop("since").withColumn("new", F.lit(True)).unionByName(
+                last.withColumn("new", F.lit(False))
+            )
             rows = keep(both, "rates")
             found = counters.rate(rows, max_series_rows).filter("new")
             found.select("time", *SERIES, "rate").write.mode("overwrite").parquet(
                 f"{path}/batch={batch_id}"
             )
-            latest = rows.groupBy(*SERIES).agg(
-                F.max("time").alias("time"), F.max_by("value", "time").alias("value")
-            )
-            compact(latest.select(*LAST.names), *SERIES).write.mode("overwrite").parquet(
-                f"{state}/version={batch_id}"
-            )
-        for old in known:
-            if old < max(known):
-                delete(spark, f"{state}/version={old}")
+            compact(_latest(rows), *SERIES).write.mode("overwrite").parquet(f"{state}/version={batch_id}")
+        if len(since) >= COMPACT_AFTER:
+            everything, _, _ = _state(spark, state, batch_id + 1)
+            compact(_latest(everything), *SERIES).write.mode("overwrite").parquet(f"{state}/base={batch_id}")
+        # What the newest whole state before this batch contains is not needed by a retry.
+        for number in whole[:-1]:
+            delete(spark, f"{state}/base={number}")
+        for number in [int(n) for n in partitions(spark, state, "version")] if whole else []:
+            if number <= max(whole):
+                delete(spark, f"{state}/version={number}")
 
     return start(samples.writeStream.foreachBatch(advance), checkpoint, available_now, every)

@@ -1,4 +1,4 @@
-"""Rollups as a stream: closed buckets are appended once the watermark has passed them."""
+"""Rollups as a stream: closed buckets are written once the watermark has passed them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from seriesframe.functions.times import stream_window, utc_day
 from seriesframe.operators.rollups import GRAINS
-from seriesframe.schema import SERIES
+from seriesframe.schema import ROLLUP, SERIES
+from seriesframe.session import scratch
+from seriesframe.sources import tables
 from seriesframe.streaming.ingest import start
 
 
@@ -35,8 +37,22 @@ def write_stream_rollup(
     samples: DataFrame, grain: str, path: str, checkpoint: str,
     available_now: bool = False, every: str | None = None,
 ) -> StreamingQuery:
-    """Append closed buckets to a rollup table, partitioned by day."""
+    """Lay closed buckets over a rollup table, the same that batch refreshes write.
+
+    A batch that is retried replaces its own buckets, and a later refresh corrects what came too
+    late for the watermark.
+    """
+
+    def lay(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        with scratch(spark) as keep:
+            made = keep(batch.select(*ROLLUP.names), "closed")
+            days = [row["day"] for row in made.select("day").distinct().collect()]
+            if days:
+                stored = tables.in_days(tables.read_table(spark, path, ROLLUP), days)
+                kept = stored.join(made.select("bucket", *SERIES), ["bucket", *SERIES], "left_anti")
+                tables.overwrite_days(kept.select(*ROLLUP.names).unionByName(made), path)
+
     rows = stream_rollup(samples, grain).withColumn("day", utc_day("bucket"))
-    writer = rows.writeStream.outputMode("append").format("parquet").option("path", path)
     every = every or f"{int(GRAINS[grain].refresh_end.total_seconds())} seconds"
-    return start(writer.partitionBy("day"), checkpoint, available_now, every)
+    return start(rows.writeStream.outputMode("append").foreachBatch(lay), checkpoint, available_now, every)

@@ -80,17 +80,33 @@ def test_ingest_is_visible_merged_and_idempotent(spark, store):
     assert values(store) == before
     assert store.ingest_totals().first()["total_accepted"] == 5
     # A later batch beats merged rows, and untouched days keep their files.
-    kept = glob.glob(f"{store.path('samples')}/day=2024-01-03/*.parquet")
+    kept = glob.glob(f"{store.path('samples')}/version=*/day=2024-01-03/*.parquet")
     store.ingest(incoming(spark, [gauge(0, 60, 6)]), at(2 * DAY), "b3")
     assert [v for *_, v in values(store)] == [3.0, 6.0, 7.0]
     store.merge_incoming()
     assert [v for *_, v in values(store)] == [3.0, 6.0, 7.0]
-    assert kept == glob.glob(f"{store.path('samples')}/day=2024-01-03/*.parquet") != []
+    assert kept == glob.glob(f"{store.path('samples')}/version=*/day=2024-01-03/*.parquet") != []
 
 
-def test_interrupted_merge_can_be_repeated(spark, store, monkeypatch):
+def lost(*args, **options):
+    raise OSError("lost")
+
+
+def failing_commit(monkeypatch, after: int):
+    """The change of a table after ``after`` others fails, once its files are written."""
+    count, commit = [0], tables.commit
+
+    def commit_or_fail(*args):
+        count[0] += 1
+        return lost() if count[0] > after else commit(*args)
+
+    monkeypatch.setattr(tables, "commit", commit_or_fail)
+
+
+@pytest.mark.parametrize("after", [0, 1, 2, 3])
+def test_interrupted_merge_can_be_repeated(spark, store, monkeypatch, after):
     store.ingest(incoming(spark, [gauge(0, 0, 1), gauge(1, DAY, 2)]), at(DAY), "b1")
-    monkeypatch.setattr(tables, "delete", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    failing_commit(monkeypatch, after)
     with pytest.raises(OSError):
         store.merge_incoming()
     monkeypatch.undo()
@@ -99,6 +115,37 @@ def test_interrupted_merge_can_be_repeated(spark, store, monkeypatch):
     assert [v for *_, v in values(store)] == [1.0, 2.0]
 
 
+def test_repeated_batch_does_not_beat_newer_values(spark, store):
+    one, two = (incoming(spark, [gauge(0, 0, v)]) for v in (100, 200))
+    store.ingest(one, at(5), "x1")
+    store.ingest(two, at(5), "x2")
+    store.ingest(one, at(5), "x1")
+    assert [v for *_, v in values(store)] == [200.0]
+    store.merge_incoming()
+    store.ingest(one, at(5), "x1")
+    assert [v for *_, v in values(store)] == [200.0]
+    store.ingest(incoming(spark, [gauge(0, 0, 300)]), at(5), "x3")
+    assert [v for *_, v in values(store)] == [300.0]
+
+
+def test_failed_catalogue_change_keeps_the_catalogue(spark, store, monkeypatch):
+    metric_id = store.resolve("temp")["id"]
+    failing_commit(monkeypatch, 0)
+    with pytest.raises(OSError):
+        store.update_metric(metric_id, at(9), retention_days=90)
+    monkeypatch.undo()
+    assert store.metrics().count() == 2 and store.resolve("temp")["retention_days"] == 60
+    store.update_metric(metric_id, at(9), retention_days=90)
+    store.vacuum()
+    assert store.resolve("temp")["retention_days"] == 90 and store.metrics().count() == 2
+
+
+def test_second_writer_is_refused(spark, store, monkeypatch):
+    monkeypatch.setattr(tables.files, "write_new", lambda *a: False)
+    with pytest.raises(RuntimeError):
+        store.deactivate_metric(store.resolve("temp")["id"], at(9))
+
+
 def test_rejects_and_auto_registration(spark, store):
     rows = [gauge(0, 0, 1), (1, "temp", 1, 0, {}, None), (2, "fresh", 4, 0, {}, "COUNTER")]
     done = store.ingest(incoming(spark, rows), at(5), "b1")
@@ -274,18 +321,83 @@ def test_archive_moves_and_unified_scan_restores(spark, filled, file_format):
     # Repeating changes nothing.
     filled.archive(at(35 * DAY), file_format)
     assert snapshot(filled.samples()) == hot and filled.manifest().count() == 10
-    # A late sample of an archived day stays in hot and is still found once.
+    # A corrected and a late sample of an archived day join what the archive holds.
     filled.ingest(incoming(spark, [gauge(0, 17, 555), gauge(1, 18, 1)]), at(40 * DAY), "late")
-    filled.archive(at(35 * DAY), file_format)
-    both = snapshot(filled.unified_samples("temp", at(0), at(40 * DAY)))
-    assert len(both) == len(mine) + 1 and 555.0 in [r[3] for r in both]
+    for _ in range(2):
+        both = snapshot(filled.unified_samples("temp", at(0), at(40 * DAY)))
+        assert len(both) == len(mine) + 1 and 555.0 in [r[3] for r in both]
+        filled.archive(at(35 * DAY), file_format)
+        assert snapshot(filled.samples()) == hot
     stats = archive.archive_stats(filled.manifest()).filter(F.col("metric_id") == metric_id).first()
-    assert (stats.file_count, stats.total_rows) == (5, 120)
+    assert (stats.file_count, stats.total_rows) == (5, 121)
+    assert filled.labels_index().agg(F.sum("row_count")).first()[0] == 241
+
+
+def answers(store):
+    """One answer of every kind over the whole range."""
+    end = at(12 * DAY)
+    return [
+        tuples(query(store, limit=10_000), "timestamp", "value"),
+        tuples(query(store, aggregation=Aggregation.AVG, interval="1h"), "timestamp", "value"),
+        tuples(store.routed_query(QueryRequest("temp", at(0), end, {}, Aggregation.SUM, "1d"), end), "timestamp", "value"),
+        [tuple(r) for r in store.statistics("temp", end, at(0), end).collect()],
+        tuples(store.counter_rate("hits", at(0), end), "time", "rate"),
+        tuples(store.instant("temp", at(HOUR + 20)), "timestamp", "value"),
+    ]
+
+
+def test_answers_do_not_depend_on_the_jobs_that_ran(spark, filled):
+    before = answers(filled)
+    filled.archive(at(35 * DAY))
+    assert answers(filled) == before
+    filled.refresh_rollups()
+    assert answers(filled) == before
+    assert filled.rollup("1d").count() == 12 * 3  # rollups of archived days stay
+
+
+def test_routing_trusts_only_complete_rollups(spark, registered, folder):
+    store = copied(spark, registered, folder)
+    rows = [gauge(i, i * HOUR, i) for i in range(44)]
+    store.ingest(incoming(spark, rows), at(3 * DAY), "b1")
+    request = QueryRequest("temp", at(0), at(2 * DAY), {}, Aggregation.COUNT, "1h")
+
+    def check():
+        want = tuples(store.query(request, at(3 * DAY)), "timestamp", "value")
+        assert tuples(store.routed_query(request, at(3 * DAY)), "timestamp", "value") == want
+        return len(want)
+
+    assert check() == 44 and store.valid_days("1h") == []  # never built
+    store.merge_incoming()
+    store.refresh_rollups()
+    assert check() == 44 and len(store.valid_days("1h")) == 2
+    store.ingest(incoming(spark, [gauge(0, 47 * HOUR, 7)]), at(3 * DAY), "b2")
+    assert check() == 45 and store.valid_days("1h") == [date(2024, 1, 1)]  # a late sample
+    store.merge_incoming()
+    assert check() == 45
+    store.refresh_band("1h", at(2 * DAY + HOUR))
+    assert check() == 45 and store.valid_days("1h") == [date(2024, 1, 1)]  # a part of the day
+    store.refresh_rollups()
+    assert check() == 45 and len(store.valid_days("1h")) == 2
+
+
+def test_failed_retention_and_purge_keep_their_tables(spark, filled, monkeypatch):
+    before = snapshot(filled.samples())
+    failing_commit(monkeypatch, 0)
+    with pytest.raises(OSError):
+        filled.apply_retention(at(12 * DAY))
+    monkeypatch.undo()
+    assert snapshot(filled.samples()) == before
+    filled.archive(at(35 * DAY))
+    failing_commit(monkeypatch, 0)
+    with pytest.raises(OSError):
+        filled.purge_manifest(at(60 * DAY))
+    monkeypatch.undo()
+    assert filled.manifest().count() == 10
 
 
 def test_archive_survives_a_crash_before_the_delete(spark, filled, monkeypatch):
     before = snapshot(filled.samples())
-    monkeypatch.setattr(tables, "replace_days", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    monkeypatch.setattr(tables, "drop_days", lost)
     with pytest.raises(OSError):
         filled.archive(at(35 * DAY))
     monkeypatch.undo()
@@ -374,10 +486,13 @@ def line(seconds, value, room="a", name="temp"):
 
 def test_ndjson(spark, folder):
     path = scratch_path(spark, "ndjson")
-    write_lines(path, "x.json", [line(0, 1), '{"name": "temp", "val', line(1, 2)])
+    twice = '{"name": "twin", "value": 1, "timestamp": "\\t\\n", "labels": {"a": "1", "b": "x", "a": "2"}}'
+    write_lines(path, "x.json", [line(0, 1), '{"name": "temp", "val', line(1, 2), twice])
     rows = read_samples_ndjson(spark, path).collect()
     assert sorted((r.problem or "", r.name) for r in rows) == [
-        ("", "temp"), ("", "temp"), ("malformed", '{"name": "temp", "val')]
+        ("", "temp"), ("", "temp"), ("", "twin"), ("malformed", '{"name": "temp", "val')]
+    twin = next(r for r in rows if r.name == "twin")
+    assert twin.labels == {"a": "2", "b": "x"} and twin.timestamp is None
 
 
 def test_stream_restarts_and_equals_batch(spark, store, folder):

@@ -5,9 +5,14 @@ import pytest
 from helpers import at, samples, tuples
 from seriesframe.operators import rollups
 from seriesframe.session import scratch_path, shared_dir
+from seriesframe.functions.times import utc_day
+from seriesframe.schema import ROLLUP
+from seriesframe.sources import tables
 from seriesframe.sources.files import partitions
+from seriesframe.sources.tables import read_table
 from seriesframe.streaming.ingest import dedup_first_wins, start
-from seriesframe.streaming.rates import stream_rate
+from seriesframe.streaming import rates
+from seriesframe.streaming.rates import late_samples, stream_rate
 from seriesframe.streaming.rollups import write_stream_rollup
 
 COLUMNS = ["time", "metric_id", "labels_key", "value"]
@@ -27,7 +32,7 @@ def source(spark):
     return add, stream
 
 
-def test_rate_continues_over_batches_and_skips_late_samples(spark, source, folder):
+def test_rate_continues_over_batches_and_sets_late_samples_aside(spark, source, folder):
     add, stream = source
     checkpoint = scratch_path(spark, "checkpoint")
 
@@ -42,7 +47,22 @@ def test_rate_continues_over_batches_and_skips_late_samples(spark, source, folde
     add([(40, "m", 5, {}), (15, "m", 30, {}), (10, "n", 25, {})])
     assert [r for _, r in run()] == [1.0, 2.0, 2.0, 1.0, 0.5]
     assert len(run()) == 5
-    assert len(partitions(spark, f"{folder}/last", "version")) <= 2
+    late = late_samples(spark, f"{folder}/last")
+    assert tuples(late, "metric_id", "value", "batch") == [("m", 30.0, 1)]
+
+
+def test_rate_state_is_written_whole_now_and_then(spark, source, folder, monkeypatch):
+    add, stream = source
+    checkpoint = scratch_path(spark, "checkpoint")
+    monkeypatch.setattr(rates, "COMPACT_AFTER", 2)
+    for i in range(7):
+        add([(10 * i, "m", 10 * i, {}), (10 * i, f"only{i}", 1, {})])
+        stream_rate(stream(), f"{folder}/out", f"{folder}/last", checkpoint, available_now=True).awaitTermination()
+    back = spark.read.schema("time timestamp, rate double").parquet(f"{folder}/out/batch=*")
+    assert [r for _, r in tuples(back, "time", "rate")] == [1.0] * 6
+    held, _, _ = rates._state(spark, f"{folder}/last", 99)
+    assert held.select("metric_id").distinct().count() == 8
+    assert len(partitions(spark, f"{folder}/last", "version")) <= 5
 
 
 def test_closed_buckets_equal_the_batch_rollup(spark, source, folder):
@@ -58,7 +78,11 @@ def test_closed_buckets_equal_the_batch_rollup(spark, source, folder):
     keys = ["bucket", "metric_id", "labels_key", "sum_value", "sample_count"]
     batch = rollups.rollup(samples(spark, rows), "5m")
     want = [r for r in tuples(batch, *keys) if r[0] <= closed.replace(tzinfo=None)]
-    assert tuples(spark.read.parquet(folder), *keys) == want
+    table = read_table(spark, folder, ROLLUP)
+    assert tuples(table, *keys) == want
+    # A batch refresh and the stream write the same table.
+    tables.overwrite_days(batch.withColumn("day", utc_day("bucket")), folder)
+    assert tuples(read_table(spark, folder, ROLLUP), *keys) == tuples(batch, *keys)
 
 
 def test_dedup(spark, source, folder):
