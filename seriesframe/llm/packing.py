@@ -57,12 +57,16 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     return max(best, over_half, int((alone + paired + extra).max()))
 
 
-def fillings(counts: np.ndarray, room: int, most: int, tries: int = 3000) -> list[dict[int, int]]:
-    """Undominated fillings of ``room``, fullest first, at most ``most`` of them.
+def fillings(
+    counts: np.ndarray, room: int, most: int, thrift: float = 0.0, tries: int = 600
+) -> list[dict[int, int]]:
+    """Undominated fillings of ``room``, at most ``most`` of them, the best one first.
+
+    Best is the least waste, with ``thrift`` tokens of waste taken for every piece saved.
 
     Lengths are tried from the longest down. A filling is dominated when a piece left out could
     take the place of some of its pieces, or of none, and still fit: the longer piece
-    in the sequence leaves the easier rest. A full filling ends the search for fuller ones.
+    in the sequence leaves the easier rest. Enough full fillings end the search.
     """
     sizes = [int(s) for s in np.flatnonzero(counts[: room + 1])[::-1]]
     found: list[tuple[int, dict[int, int]]] = []
@@ -70,7 +74,7 @@ def fillings(counts: np.ndarray, room: int, most: int, tries: int = 3000) -> lis
 
     def visit(at: int, left: int, chosen: dict[int, int]) -> None:
         budget[0] -= 1
-        if budget[0] < 0 or full[0] >= most:
+        if budget[0] < 0 or full[0] >= 2 * most:
             return
         while at < len(sizes) and sizes[at] > left:
             at += 1
@@ -96,7 +100,7 @@ def fillings(counts: np.ndarray, room: int, most: int, tries: int = 3000) -> lis
         )
 
     visit(0, room, {})
-    found.sort(key=lambda f: (f[0], sorted((-s for s in f[1]))))
+    found.sort(key=lambda f: (f[0] + thrift * sum(f[1].values()), sorted(-s for s in f[1])))
     return [chosen for _, chosen in found[:most]] or [_best_fit(counts, room)]
 
 
@@ -131,36 +135,51 @@ def best_fit_plan(counts: np.ndarray, capacity: int) -> list[Step]:
     return steps
 
 
-def plan(counts: np.ndarray, capacity: int, branches: int = 4, nodes: int = 4000) -> list[Step]:
+def plan(
+    counts: np.ndarray, capacity: int, branches: int = 4, nodes: int = 1000, turns: int = 16
+) -> list[Step]:
     """Steps that pack all pieces: bin completion, depth first, best filling first.
 
     Every level completes the sequence of the longest piece left, repeated while its pieces last.
-    A branch ends when its sequences and the bound of the rest reach the incumbent. ``nodes``
-    bounds the search; what it has found by then is a full packing.
+    A branch ends when its sequences and the bound of the rest reach the incumbent. Since a
+    depth-first search only revises its last choices, it starts anew some ``turns``, each time with
+    another price for using up small pieces. ``nodes`` bounds each turn; what has been found is a
+    full packing at any time, and it is optimal where it meets the bound or a turn ran to its end.
     """
     best = best_fit_plan(counts, capacity)
-    best_size = sum(s.times for s in best)
     target = lower_bound(counts, capacity)
-    left = [nodes]
-    stack: list[tuple[np.ndarray, list[Step], int, list]] = []
+    for turn in range(turns):
+        found, complete = _search(counts, capacity, best, target, branches, nodes, 0.75 * turn)
+        best = found
+        if complete or sum(s.times for s in best) <= target:
+            break
+    return best
+
+
+def _search(
+    counts: np.ndarray, capacity: int, best: list[Step], target: int, branches: int, nodes: int, thrift: float
+) -> tuple[list[Step], bool]:
+    """(the best packing, true if the search has seen all it branches to)."""
+    best_size = sum(s.times for s in best)
+    whole = [True]
 
     def options(rest: np.ndarray) -> list[tuple[int, dict[int, int], bool]]:
         size = _largest(rest)
         rest[size] -= 1
-        found = fillings(rest, capacity - size, branches)
+        found = fillings(rest, capacity - size, branches + 1, thrift)
         rest[size] += 1
-        many = [(size, f, False) for f in found]
-        return many + [(size, f, True) for f in found if _repeats(rest, size, f) > 1]
+        whole[0] &= len(found) <= branches
+        many = [(size, f, False) for f in found[:branches]]
+        return many + [(size, f, True) for f in found[:branches] if _repeats(rest, size, f) > 1]
 
-    if best_size > target:
-        stack.append((counts.copy(), [], 0, options(counts.copy())))
-    while stack and left[0] > 0 and best_size > target:
+    stack = [(counts.copy(), [], 0, options(counts.copy()))] if best_size > target else []
+    while stack and nodes > 0 and best_size > target:
         rest, steps, used, open_options = stack[-1]
         if not open_options:
             stack.pop()
             continue
         size, chosen, once = open_options.pop(0)
-        left[0] -= 1
+        nodes -= 1
         rest = rest.copy()
         step = _place(rest, size, chosen, once)
         now, taken = [*steps, step], used + step.times
@@ -169,7 +188,7 @@ def plan(counts: np.ndarray, capacity: int, branches: int = 4, nodes: int = 4000
                 best, best_size = now, taken
         elif taken + lower_bound(rest, capacity) < best_size:
             stack.append((rest, now, taken, options(rest)))
-    return best
+    return best, not stack and whole[0]
 
 
 def _repeats(counts: np.ndarray, first: int, chosen: dict[int, int]) -> int:
