@@ -11,7 +11,7 @@ from queries.registry import query
 from seriesframe.config import CardinalityLimits, Settings
 from seriesframe.functions import labels as label_functions
 from seriesframe.functions.times import tier as tier_of
-from seriesframe.operators import cardinality, catalog, rollups, validation
+from seriesframe.operators import cardinality, catalog, filters, rollups, validation
 from seriesframe.operators.filters import filter_metric
 from seriesframe.plans.ingest import validate_batch
 
@@ -114,10 +114,16 @@ def metrics_with_labels(spark, sf_dir):
     return _flat(catalog.with_label_keys(v.metrics(spark, sf_dir), v.metric_labels(spark, sf_dir)))
 
 
-@query("distinct_label_keys", views=v.V_METRICS, sql="""
-SELECT unnest(['band', 'shard']) AS label_key FROM v_metrics WHERE id = 'view'""")
+@query("distinct_label_keys", sql="""
+SELECT DISTINCT key AS label_key FROM (
+  SELECT p_type, unnest(['brand', p_brand]) AS key FROM part) k
+WHERE p_type = (SELECT min(p_type) FROM part)""")
 def distinct_label_keys(spark, sf_dir):
-    return catalog.distinct_label_keys(v.metric_labels(spark, sf_dir), "view")
+    """Parts as label rows of metrics named by their type; the keys of the first type."""
+    part = v.table(spark, sf_dir, "part")
+    keys = F.explode(F.array(F.lit("brand"), F.col("p_brand"))).alias("label_key")
+    rows = part.select(F.col("p_type").alias("metric_id"), keys)
+    return catalog.distinct_label_keys(rows, part.agg(F.min("p_type")).first()[0])
 
 
 @query("sample_metric_join", views=v.V_SAMPLES + "," + v.V_METRICS, sql="""
@@ -188,6 +194,74 @@ def series_limit(spark, sf_dir):
     )
 
 
+@query("series_limit_rejects", views=v.V_SAMPLES, sql="""
+, known AS (SELECT DISTINCT metric_id, labels_key FROM v_samples
+            WHERE time > TIMESTAMP '2024-01-04' AND time < TIMESTAMP '2024-01-05'),
+n AS (SELECT metric_id, count(*) AS n FROM known GROUP BY 1)
+SELECT mode, coalesce(CASE WHEN mode = 'strict_all' AND coalesce(n.n, 0) >= 15 THEN 'series_over_limit'
+                           WHEN mode = 'unseen' AND coalesce(n.n, 0) >= 15 AND k.labels_key IS NULL THEN 'series_over_limit'
+                      END, 'accepted') AS outcome, count(*) AS samples
+FROM v_samples s CROSS JOIN (SELECT unnest(['unseen', 'strict_all']) AS mode) m
+LEFT JOIN n ON n.metric_id = s.metric_id
+LEFT JOIN known k ON k.metric_id = s.metric_id AND k.labels_key = s.labels_key
+WHERE s.time >= TIMESTAMP '2024-01-05' AND s.time < TIMESTAMP '2024-01-06' GROUP BY 1, 2""")
+def series_limit_rejects(spark, sf_dir):
+    """One day of samples against the series of the day before, under both rules for full metrics."""
+    found = v.samples(spark, sf_dir)
+    stored = found.filter("time < '2024-01-05'")
+    day = found.filter("time >= '2024-01-05' AND time < '2024-01-06'").select(
+        F.col("arrival").alias("idx"), F.col("metric_id").alias("name"), "value",
+        F.col("time").alias("timestamp"), "labels", F.lit(None).cast("string").alias("type"),
+    )
+    registry = v.metrics(spark, sf_dir).withColumn("label_keys", F.array(F.lit("band"), F.lit("shard")))
+    counted = []
+    for mode in ("unseen", "strict_all"):
+        limits = CardinalityLimits(max_series_per_metric=15, at_limit=mode, check_window_hours=48)
+        checked = validate_batch(
+            day, registry, "2024-01-06", Settings(cardinality=limits), stored
+        ).validated
+        counted.append(checked.groupBy(
+            F.lit(mode).alias("mode"), F.coalesce("reason", F.lit("accepted")).alias("outcome")
+        ).agg(F.count(F.lit(1)).alias("samples")))
+    return counted[0].union(counted[1])
+
+
+@query("too_many_labels", views=v.V_SAMPLES, sql="""
+SELECT CASE WHEN arrival % 14 > 10 THEN 'label_count_over_limit' ELSE 'accepted' END AS outcome, count(*) AS samples
+FROM v_samples GROUP BY 1""")
+def too_many_labels(spark, sf_dir):
+    """Samples with none to thirteen labels; the limit is ten."""
+    keys = F.transform(F.sequence(F.lit(1), F.lit(13)), lambda n: F.concat(F.lit("key"), n.cast("string")))
+    count = (F.col("arrival") % 14).cast("int")
+    rows = v.samples(spark, sf_dir).withColumn("label_keys", F.slice(keys, 1, count))
+    rows = rows.withColumn("labels", F.map_from_arrays("label_keys", "label_keys"))
+    reason = F.coalesce(validation.cardinality_problem(Settings()), F.lit("accepted"))
+    return rows.groupBy(reason.alias("outcome")).agg(F.count(F.lit(1)).alias("samples"))
+
+
+@query("default_range", views=v.V_SAMPLES, sql="""
+SELECT 'none' AS given, count(*) AS samples FROM v_samples WHERE time BETWEEN TIMESTAMP '2024-01-29' AND TIMESTAMP '2024-01-30'
+UNION ALL SELECT 'end', count(*) FROM v_samples WHERE time BETWEEN TIMESTAMP '2024-01-09' AND TIMESTAMP '2024-01-10'
+UNION ALL SELECT 'start', count(*) FROM v_samples WHERE time BETWEEN TIMESTAMP '2024-01-12' AND TIMESTAMP '2024-01-30'
+UNION ALL SELECT 'too long', 0""")
+def default_range(spark, sf_dir):
+    """Missing ends of a range, and a range that is refused."""
+    as_of, parts = "2024-01-30", []
+    for name, start, end in (("none", None, None), ("end", None, "2024-01-10"), ("start", "2024-01-12", None)):
+        first, last = filters.default_range(start, end, as_of)
+        filters.check_range(first, last, 90)
+        parts.append(filters.filter_time(v.samples(spark, sf_dir), first, last).withColumn("given", F.lit(name)))
+    try:
+        filters.check_range(*filters.default_range("2023-10-01", "2024-01-30", as_of), 90)
+    except ValueError:
+        parts.append(v.samples(spark, sf_dir).filter("false").withColumn("given", F.lit("too long")))
+    counted = [
+        part.agg(F.count(F.lit(1)).alias("samples")).select(F.lit(name).alias("given"), "samples")
+        for part, name in zip(parts, ("none", "end", "start", "too long"))
+    ]
+    return counted[0].union(counted[1]).union(counted[2]).union(counted[3])
+
+
 # Validation and registration
 
 

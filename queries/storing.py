@@ -22,6 +22,7 @@ from seriesframe.plans.store import SeriesStore
 from seriesframe.schema import ROLLUP, SAMPLES
 from seriesframe.session import scratch_path
 from seriesframe.sources import export, tables
+from seriesframe.sources.archive import read_archive_days
 from seriesframe.sources.samples import read_samples_json, read_samples_ndjson
 from seriesframe.streaming.ingest import dedup_first_wins, start, stream_ingest
 from seriesframe.streaming.rates import stream_rate
@@ -194,6 +195,134 @@ def unified_overlap(spark, sf_dir):
     return v.tidy(archive.unified_scan(hot, cold))
 
 
+_IN_MONTH = "time BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-31'"
+
+
+def _half_archived(spark, sf_dir, change=None) -> SeriesStore:
+    """A store with the older days in the archive; ``change`` may alter its samples before."""
+    store = _store(spark, sf_dir, archive_after_days=20)
+    rows = v.with_day(v.samples(spark, sf_dir))
+    rows = rows if change is None else change(rows)
+    tables.append_days(rows.select(*SAMPLES.names), store.path("samples"))
+    store.archive(v.AS_OF)
+    return store
+
+
+@query("unified_query", views=v.V_SAMPLES, sql=f"""
+SELECT time_bucket(INTERVAL 1 HOUR, time) AS timestamp, round(avg(value) + 1e-9, 6) AS value
+FROM v_samples WHERE metric_id = 'click' AND {_IN_MONTH} GROUP BY 1""")
+def unified_query(spark, sf_dir):
+    """An aggregation over hot and archived days."""
+    request = QueryRequest("click", v.START, v.AS_OF, {}, Aggregation.AVG, "1h")
+    return v.tidy(_half_archived(spark, sf_dir).query(request, v.AS_OF).drop("labels"))
+
+
+@query("unified_statistics", views=v.V_SAMPLES, sql=f"""
+SELECT round(avg(value) + 1e-9, 4) AS avg, round(sum(value), 2) AS sum, min(value) AS min,
+       max(value) AS max, count(*) AS count, round(quantile_cont(value, 0.5) + 1e-9, 6) AS p50,
+       round(quantile_cont(value, 0.95) + 1e-9, 6) AS p95, round(quantile_cont(value, 0.99) + 1e-9, 6) AS p99
+FROM v_samples WHERE metric_id = 'view' AND {_IN_MONTH}""")
+def unified_statistics(spark, sf_dir):
+    found = _half_archived(spark, sf_dir).statistics("view", v.AS_OF, v.START, v.AS_OF)
+    return v.tidy(found.withColumn("sum", F.round("sum", 2)).withColumn("avg", F.round(F.col("avg") + 1e-9, 4)))
+
+
+@query("unified_rate", views=v.V_COUNTER, sql=f"""
+SELECT time, metric_id, labels_key, round(
+    CASE WHEN value < pv THEN value ELSE value - pv END / (epoch_us(time) - epoch_us(pt)) * 1e6 + 1e-9, 6) AS rate
+FROM (SELECT *, lag(value) OVER w AS pv, lag(time) OVER w AS pt FROM v_counter
+      WHERE metric_id = 'signup' AND {_IN_MONTH}
+      WINDOW w AS (PARTITION BY metric_id, labels_key ORDER BY time)) o
+WHERE pt IS NOT NULL""")
+def unified_rate(spark, sf_dir):
+    """Counter rates that continue over the border of the archive."""
+    store = _half_archived(
+        spark, sf_dir, lambda rows: v.with_day(v.counter_samples(spark, sf_dir))
+    )
+    found = store.counter_rate("signup", v.START, v.AS_OF)
+    return v.tidy(found.select("time", "metric_id", "labels_key", "rate"))
+
+
+@query("store_routed", views=v.V_UPSERT, sql="""
+SELECT time_bucket(INTERVAL 1 HOUR, time) AS timestamp, round(CAST(sum(value) AS DOUBLE), 4) AS sum_value FROM (
+  SELECT *, max(batch_id) OVER (PARTITION BY time, metric_id, labels_key) AS last FROM v_upsert) u
+WHERE metric_id = 'view' AND time BETWEEN TIMESTAMP '2024-01-02 03:17:11' AND TIMESTAMP '2024-01-28 21:44:59'
+  AND batch_id = CASE WHEN time >= TIMESTAMP '2024-01-20' THEN last ELSE 1 END
+GROUP BY 1""")
+def store_routed(spark, sf_dir):
+    """Rollups, then corrections of the later days and the archiving of the earlier ones."""
+    store = _filled(spark, sf_dir, named=True, archive_after_days=20)
+    store.refresh_rollups()
+    second = v.two_batches(spark, sf_dir).filter("batch_id = 2 AND time >= '2024-01-20'")
+    store.upsert_samples(second, ["arrival"])
+    store.archive(v.AS_OF)
+    request = QueryRequest("view", "2024-01-02 03:17:11", "2024-01-28 21:44:59", {}, Aggregation.SUM, "1h")
+    found = store.routed_query(request, v.AS_OF).drop("labels")
+    return v.tidy(found.withColumnRenamed("value", "sum_value"))
+
+
+@query("archive_late", views=v.V_UPSERT, sql=_LAST.format(
+    order="batch_id DESC", source="(SELECT * FROM v_upsert WHERE time < TIMESTAMP '2024-01-11') u"))
+def archive_late(spark, sf_dir):
+    """Corrections of archived days are folded into the archive; hot keeps nothing of them."""
+    store = _filled(spark, sf_dir, named=True, archive_after_days=20)
+    store.archive(v.AS_OF)
+    second = v.two_batches(spark, sf_dir).filter("batch_id = 2 AND time < '2024-01-11'")
+    store.upsert_samples(second, ["arrival"])
+    store.archive(v.AS_OF)
+    days = tables.days_of(spark, store.path("manifest"))
+    cold = read_archive_days(spark, store.path("archive"), store.manifest(), days)
+    left = store.samples().filter(F.col("day") < F.lit(CUTOFF))
+    return v.tidy(cold.unionByName(left).select(*KEY_VALUE))
+
+
+@query("store_metric_update", views=v.V_METRICS, sql="""
+SELECT id, CASE WHEN id = 'click' THEN 90 ELSE retention_days END AS retention_days,
+       CASE WHEN id = 'view' THEN false ELSE is_active END AS is_active FROM v_metrics""")
+def store_metric_update(spark, sf_dir):
+    """The catalogue after two changes in place."""
+    store = _store(spark, sf_dir)
+    store.update_metric("click", v.AS_OF, retention_days=90)
+    store.deactivate_metric("view", v.AS_OF)
+    return store.metrics().select("id", "retention_days", "is_active")
+
+
+@query("store_register", views=v.V_REGISTRATIONS, sql="""
+SELECT name, type, retention_days FROM v_registered WHERE reason IS NULL
+UNION ALL SELECT event_type, CASE WHEN event_type IN ('click', 'signup', 'view') THEN 'COUNTER' ELSE 'GAUGE' END,
+  CASE WHEN event_type IN ('click', 'signup', 'view') THEN 10 ELSE 20 END FROM (SELECT DISTINCT event_type FROM events) e""")
+def store_register(spark, sf_dir):
+    """Accepted registrations appended to a catalogue; sent twice, they count once."""
+    store = _store(spark, sf_dir)
+    for _ in range(2):
+        store.register(v.registrations(spark, sf_dir), v.AS_OF)
+    return store.metrics().select("name", "type", "retention_days")
+
+
+@query("store_purge", views=V_MANIFEST, sql=f"""
+SELECT {_MANIFEST} FROM v_manifest WHERE day >= DATE '2024-01-06'""")
+def store_purge(spark, sf_dir):
+    """Two archive runs; the manifest rows that the first one created are purged."""
+    store = _filled(spark, sf_dir, archive_after_days=20)
+    store.archive("2024-01-26")
+    store.archive(v.AS_OF)
+    store.purge_manifest("2024-01-28")
+    return _manifest(store.manifest())
+
+
+@query("ingest_totals", views=v.V_DIRTY, sql="""
+SELECT CAST(count(*) FILTER (WHERE reason IS NULL) AS BIGINT) AS total_accepted,
+       CAST(count(*) FILTER (WHERE reason IS NOT NULL) AS BIGINT) AS total_rejected FROM v_validated""")
+def ingest_totals(spark, sf_dir):
+    """Running totals over three batches, one of them sent twice."""
+    store = _store(spark, sf_dir)
+    tables.replace_table(store.metrics().filter("name <> 'error'"), store.path("metrics"))
+    for number in (0, 1, 2, 1):
+        part = v.dirty_samples(spark, sf_dir).filter(F.col("idx") % 3 == number)
+        store.ingest(part, v.AS_OF, batch=f"part-{number}").release()
+    return store.ingest_totals()
+
+
 @query("labels_index", views=v.V_SAMPLES, sql="""
 SELECT metric_id, day, labels_key, count(*) AS row_count FROM v_samples
 WHERE day < DATE '2024-01-11' GROUP BY 1, 2, 3""")
@@ -459,6 +588,26 @@ def stream_rollup(spark, sf_dir):
     return v.tidy(tables.read_table(spark, path, ROLLUP).drop("day"))
 
 
+@query("stream_then_refresh", views=v.V_SAMPLES, sql="""
+SELECT time_bucket(INTERVAL 1 HOUR, time) AS bucket, metric_id, labels_key,
+       round(sum(value), 4) AS sum_value, count(*) AS sample_count
+FROM v_samples GROUP BY 1, 2, 3""")
+def stream_then_refresh(spark, sf_dir):
+    """Rollups streamed in two arrivals, the earlier samples last and so too late for the
+    watermark; a refresh of the same table then corrects it."""
+    store = _filled(spark, sf_dir)
+    arrived, checkpoint = scratch_path(spark, "arrived"), scratch_path(spark, "checkpoint")
+    rows = v.samples(spark, sf_dir).select(*KEY_VALUE)
+    for part in (rows.filter("time >= '2024-01-05'"), rows.filter("time < '2024-01-05'")):
+        part.write.mode("append").parquet(arrived)
+        stream = spark.readStream.schema(rows.schema).parquet(arrived)
+        write_stream_rollup(
+            stream, "1h", store.path("rollup_1h"), checkpoint, available_now=True
+        ).awaitTermination()
+    store.refresh_rollups()
+    return v.tidy(store.rollup("1h").select("bucket", "metric_id", "labels_key", "sum_value", "sample_count"))
+
+
 @query("stream_rate", views=v.V_COUNTER, sql="""
 SELECT time, metric_id, labels_key, round(
     CASE WHEN value < pv THEN value ELSE value - pv END / (epoch_us(time) - epoch_us(pt)) * 1e6 + 1e-9, 6) AS rate
