@@ -25,6 +25,8 @@ from seriesframe.session import materialize
 ACCURACY = 10_000
 MARGIN = 3.0 / ACCURACY
 SIDE_BY_SIDE = 8
+# NaN is the largest value in Spark's order, so it is the open upper end of a bracket.
+LOWEST, HIGHEST = float("-inf"), float("nan")
 
 
 def exact_percentiles(
@@ -37,7 +39,8 @@ def exact_percentiles(
 ) -> DataFrame:
     """``keys, percentiles array<double>`` plus any ``extra`` aggregates of the same groups.
 
-    ``max_group_rows`` bounds what one task sorts in memory, not what the result covers.
+    ``max_group_rows`` bounds what one task sorts in memory, not what the result covers. NaN counts
+    as the largest value, whichever way a group takes.
     """
     keys = list(keys)
     if keys:
@@ -93,7 +96,7 @@ def _ranked_percentiles(
     )
     if not missed.isEmpty():
         opened = materialize(
-            missed.withColumn("lo", F.lit(float("-inf"))).withColumn("hi", F.lit(float("inf"))),
+            missed.withColumn("lo", F.lit(LOWEST)).withColumn("hi", F.lit(HIGHEST)),
             "percentile-targets",
         )
         again = _pick(rows, keys, opened)
@@ -115,8 +118,8 @@ def _targets(rows: DataFrame, keys: list[str], fractions: Sequence[float]) -> Da
     )
     parts = []
     for i, fraction in enumerate(fractions):
-        lo = F.lit(float("-inf")) if fraction - MARGIN <= 0 else F.col("q")[2 * i]
-        hi = F.lit(float("inf")) if fraction + MARGIN >= 1 else F.col("q")[2 * i + 1]
+        lo = F.lit(LOWEST) if fraction - MARGIN <= 0 else F.col("q")[2 * i]
+        hi = F.lit(HIGHEST) if fraction + MARGIN >= 1 else F.col("q")[2 * i + 1]
         at = F.lit(float(fraction)) * (F.col("n") - 1)
         parts.append(F.struct(
             F.lit(i).alias("i"), lo.alias("lo"), hi.alias("hi"),

@@ -50,3 +50,15 @@ def test_empty_and_null(spark):
     df = spark.createDataFrame([(None,), (1.0,), (3.0,)], "v double")
     for limit in (100, 1):
         assert percentiles.exact_percentiles(df, [], "v", [0.5], limit).first().percentiles == [2.0]
+
+
+@pytest.mark.parametrize("fractions", [[0.5, 0.9999], [0.9999], [0.0, 0.97, 1.0]])
+def test_nan_is_the_largest_value_at_every_group_size(spark, fractions):
+    rows = [(g, float("nan") if i < 20 else float(i)) for g in "ab" for i in range(1000)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    found = [
+        {r.g: [str(p) for p in r.percentiles] for r in percentiles.exact_percentiles(df, ["g"], "v", fractions, most).collect()}
+        for most in (100_000, 800)
+    ]
+    assert found[0] == found[1] and set(found[0]) == {"a", "b"}
+    assert all(len(p) == len(fractions) for p in found[0].values())
