@@ -12,14 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seriesframe.llm.bits import among
 from seriesframe.llm.components import components
 from seriesframe.session import materialize
 
 EDITS = 2
 MIN_CHARS = 24
 # Letters whose counts tell most candidates apart before the edit distance is computed.
-COUNTED = "etaonird"
-_FILTER_WORDS = 1 << 17
+COUNTED = "etaonirdshlwgbcf"
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -48,17 +48,16 @@ def segment_keys(edits: int) -> tuple[Column, Column]:
 
     def key(delta, segment, shift):
         length, parts = F.col("chars") - delta, edits + 1
-        size = F.floor(length / parts).cast("int")
-        longer = F.pmod(length, F.lit(parts)) + segment - parts
+        size = (length / parts).cast("int")
+        longer = length % parts + segment - parts
         start = size * segment + F.greatest(longer, F.lit(0)) + shift
         width = size + F.when(longer >= 0, 1).otherwise(0)
-        return F.xxhash64(length, segment, F.substring("line", start + 1, width))
+        return F.xxhash64(length, F.lit(segment), F.substring("line", start + 1, width))
 
-    def keys(specs):
-        literal = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip("dps", s))) for s in specs))
-        return F.transform(literal, lambda s: key(s["d"], s["p"], s["s"]))
-
-    return keys([(0, p, 0) for p in range(edits + 1)]), keys(probes(edits))
+    return (
+        F.array(*(key(0, segment, 0) for segment in range(edits + 1))),
+        F.array(*(key(*probe) for probe in probes(edits))),
+    )
 
 
 def _let(value: Column, body) -> Column:
@@ -127,44 +126,86 @@ def edit_distance(a: Column, b: Column, edits: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.size(b)), start, advance, lambda s: s["d"])
 
 
+def _shared(a: Column, b: Column, most: Column) -> Column:
+    """Length of the longest common prefix, at most ``most``: a search by halves."""
+    def longer(length: Column, step: Column) -> Column:
+        fits = (length + step <= most) & (
+            F.substring(a, length + 1, step) == F.substring(b, length + 1, step)
+        )
+        return F.when(fits, length + step).otherwise(length)
+
+    return F.aggregate(F.array(*(F.lit(1 << k) for k in range(24, -1, -1))), F.lit(0), longer)
+
+
+def _cores(a: Column, b: Column, edits: int) -> Column:
+    """The two lines without their common start and end, but for ``edits`` + 1 characters each."""
+    keep = edits + 1
+    shorter = F.least(F.length(a), F.length(b))
+
+    def cut(ends: Column) -> Column:
+        start, end = (F.greatest(ends[n] - keep, F.lit(0)) for n in ("prefix", "suffix"))
+        return F.struct(*(
+            F.substring(line, start + 1, F.length(line) - start - end).alias(name)
+            for line, name in ((a, "a"), (b, "b"))
+        ))
+
+    def with_suffix(prefix: Column) -> Column:
+        suffix = _shared(F.reverse(a), F.reverse(b), shorter - prefix)
+        return _let(F.struct(prefix.alias("prefix"), suffix.alias("suffix")), cut)
+
+    return _let(_shared(a, b, shorter), with_suffix)
+
+
 def within(a: Column, b: Column, edits: int) -> Column:
     """True if two lines are at most ``edits`` apart; their characters are taken out once."""
     def characters(line: Column) -> Column:
         return F.regexp_extract_all(line, F.lit("(?s)."), 0)
 
-    return _let(
-        F.struct(characters(a).alias("a"), characters(b).alias("b")),
+    return _let(_cores(a, b, edits), lambda core: _let(
+        F.struct(characters(core["a"]).alias("a"), characters(core["b"]).alias("b")),
         lambda pair: edit_distance(pair["a"], pair["b"], edits) <= edits,
-    )
+    ))
+
+
+def letter_counts(line: Column) -> Column:
+    """Counts of the letters in ``COUNTED``, modulo 16, four bits each."""
+    packed = _bits(0)
+    for k, letter in enumerate(COUNTED):
+        count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
+        packed = packed.bitwiseOR(F.shiftleft(F.pmod(count, F.lit(16)).cast("long"), 4 * k))
+    return packed
+
+
+def _letters_near(x: Column, y: Column, edits: int) -> Column:
+    """False only for lines more than ``edits`` apart: an edit changes two counts by one at most."""
+    apart = F.lit(0).cast("long")
+    for k in range(len(COUNTED)):
+        own, other = (F.shiftrightunsigned(c, 4 * k).bitwiseAND(_bits(15)) for c in (x, y))
+        gap = F.pmod(own - other, _bits(16))
+        apart = apart + F.least(gap, _bits(16) - gap)
+    return apart <= 2 * edits
 
 
 def candidates(lines: DataFrame, edits: int) -> DataFrame:
-    """(a, b), a < b: ids of different lines that share a segment within the allowed shift.
+    """(a, b), a < b: ids of different lines that share a segment within the allowed shift and whose
+    letter counts do not rule it out.
 
     Copies of a line are taken once before its keys spread; tasks combine their own copies first.
     """
     index, probe = segment_keys(edits)
-    once = lines.select("line_id", index.alias("index"), probe.alias("probe")).groupBy("line_id").agg(
-        F.first("index").alias("index"), F.first("probe").alias("probe")
+    keys = lines.select(
+        "line_id", index.alias("index"), probe.alias("probe"),
+        letter_counts(F.col("line")).alias("letters"),
     )
-    left = once.select(F.col("line_id").alias("x"), F.explode("index").alias("key"))
-    right = once.select(F.col("line_id").alias("y"), F.explode("probe").alias("key"))
-    pairs = left.join(right, "key").filter("x <> y")
+    once = keys.groupBy("line_id").agg(*(F.first(c).alias(c) for c in ("index", "probe", "letters")))
+    once = materialize(once, "line-keys")
+    left = once.select(F.col("line_id").alias("x"), F.col("letters").alias("lx"), F.explode("index").alias("key"))
+    right = once.select(F.col("line_id").alias("y"), F.col("letters").alias("ly"), F.explode("probe").alias("key"))
+    near = _letters_near(F.col("lx"), F.col("ly"), edits)
+    pairs = left.join(right, "key").filter((F.col("x") != F.col("y")) & near)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _among(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """The lines of ``ids`` and few others, without a shuffle of the lines.
-
-    A bit table over hashed ids is broadcast; it has ``_FILTER_WORDS`` rows at most (2 MB).
-    """
-    word = F.pmod("line_id", F.lit(_FILTER_WORDS)).alias("word")
-    mark = F.call_function("shiftleft", _bits(1), F.pmod(F.shiftright("line_id", 17), F.lit(64)).cast("int"))
-    table = ids.select(word, mark.alias("mark")).groupBy("word").agg(F.bit_or("mark").alias("marks"))
-    marked = lines.withColumns({"word": word, "mark": mark}).join(F.broadcast(table), "word")
-    return marked.filter(F.col("mark").bitwiseAND(F.col("marks")) != 0).select(*lines.columns)
-
-
 def edit_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """(a, b): ids of different lines at most ``edits`` apart.
 
@@ -174,18 +215,12 @@ def edit_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     ids = materialize(
         pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct(), "line-ids"
     )
-    counts = [F.octet_length("line") - F.octet_length(F.replace("line", F.lit(c), F.lit(""))) for c in COUNTED]
-    wanted = _among(lines, ids).join(ids, "line_id", "left_semi")
-    texts = wanted.groupBy("line_id").agg(F.first("line").alias("line")).select(
-        "line_id", "line", F.array(*counts).alias("letters")
-    )
-    texts = materialize(texts, "line-texts")
-    one = texts.select(F.col("line_id").alias("a"), F.col("line").alias("la"), F.col("letters").alias("ca"))
-    two = texts.select(F.col("line_id").alias("b"), F.col("line").alias("lb"), F.col("letters").alias("cb"))
-    differ = F.aggregate(
-        F.zip_with("ca", "cb", lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x
-    )
-    near = pairs.join(one, "a").join(two, "b").filter(differ <= 2 * edits).filter(
+    # An inner join with distinct ids: a semi join would be moved before the bit table.
+    wanted = among(lines, ids, "line_id").join(ids, "line_id")
+    texts = materialize(wanted.groupBy("line_id").agg(F.first("line").alias("line")), "line-texts")
+    one = texts.select(F.col("line_id").alias("a"), F.col("line").alias("la"))
+    two = texts.select(F.col("line_id").alias("b"), F.col("line").alias("lb"))
+    near = pairs.join(one, "a").join(two, "b").filter(
         F.abs(F.length("la") - F.length("lb")) <= edits
     )
     return near.filter(within(F.col("la"), F.col("lb"), edits)).select("a", "b")
