@@ -84,7 +84,7 @@ def test_near_duplicates_against_all_pairs(spark):
 
 def test_large_group_of_near_copies(spark, monkeypatch):
     """Star turns first; a chain of copies that only its neighbours link is still one class."""
-    monkeypatch.setattr(neardup, "_ROOM_PER_MEMBER", 0.5)
+    monkeypatch.setattr(neardup, "_ROOM_PER_MEMBER", 0.1)
     rng = random.Random(16)
     words = [f"v{i}" for i in range(100)]
     rows = []

@@ -82,7 +82,7 @@ def test_masking(spark):
     odd = documents(spark, [(1, None), (2, ""), (2, ""), (None, "a@b.cc +1 22 33 44 55 1.2.3.4"), (3, "x" * 500_000)])
     kept = pii.mask_pii(odd).collect()
     assert Counter((r.doc_id, (r.text or "")[:60]) for r in kept) == Counter(
-        [(1, ""), (2, ""), (2, ""), (None, "<email> <phone>.2.3.4"), (3, "x" * 60)])
+        [(1, ""), (2, ""), (2, ""), (None, "<email> <phone>"), (3, "x" * 60)])
     assert pii.mask_pii(odd.limit(0)).collect() == []
 
 
