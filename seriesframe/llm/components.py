@@ -21,15 +21,16 @@ def components(edges: DataFrame) -> DataFrame:
     )
     while True:
         near = both.join(labels, both["b"] == labels["node"]).select(F.col("a").alias("node"), "label")
-        lowest = near.union(labels.select("node", "label")).groupBy("node").agg(F.min("label").alias("label"))
+        own = labels.select("node", "label", F.col("label").alias("old"))
+        lowest = near.withColumn("old", F.lit(None).cast(labels.schema["label"].dataType)).unionByName(own)
+        lowest = lowest.groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
         jump = lowest.select(F.col("node").alias("label"), F.col("label").alias("further"))
         moved = materialize(
             lowest.join(jump, "label", "left").select(
-                "node", F.least("label", F.coalesce("further", "label")).alias("label")
+                "node", F.least("label", F.coalesce("further", "label")).alias("label"), "old"
             ),
             "labels",
         )
-        before = labels.select("node", F.col("label").alias("old"))
-        if moved.join(before, "node").filter(F.col("label") != F.col("old")).isEmpty():
-            return moved
-        labels = moved
+        labels = moved.select("node", "label")
+        if moved.filter(F.col("label") != F.col("old")).isEmpty():
+            return labels

@@ -18,16 +18,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesframe.llm.arrow import map_arrow, text_chunks, texts_of
+from seriesframe.llm.bits import among
 from seriesframe.llm.components import components
 from seriesframe.session import materialize
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-REGISTERS = 64
-BAND_ROWS = 4
+REGISTERS = 256
+BAND_ROWS, BANDS = 4, 16
+SPREADS = 4.5
+HUBS = 2
+BLOCK = 500
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-_ROOM_PER_MEMBER = 8
-_STAR_TURNS = 6
+_ROOM_PER_MEMBER = 4
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -36,12 +39,19 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+class _WordHashes(dict):
+    def __missing__(self, word: str) -> int:
+        data = word.encode("utf-8", "surrogatepass")
+        self[word] = value = zlib.crc32(data) | zlib.adler32(data[::-1]) << 32
+        return value
+
+
 class Shingler:
     """Hashed shingles of texts with their counts; word hashes are kept."""
 
     def __init__(self, words: int = SHINGLE_WORDS):
         self.words = words
-        self.hashes: dict[str, int] = {}
+        self.hashes = _WordHashes()
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(sorted distinct shingle hashes, counts). A shorter text is one shingle, an empty one none."""
@@ -50,12 +60,7 @@ class Shingler:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if len(self.hashes) > 1_000_000:
             self.hashes.clear()
-        known = self.hashes
-        for word in words:
-            if word not in known:
-                data = word.encode("utf-8", "surrogatepass")
-                known[word] = zlib.crc32(data) | zlib.adler32(data[::-1]) << 32
-        numbers = np.array([known[w] for w in words], np.uint64)
+        numbers = np.array([*map(self.hashes.__getitem__, words)], np.uint64)
         size = min(self.words, len(numbers))
         count = len(numbers) - size + 1
         value = np.full(count, size, np.uint64)
@@ -100,15 +105,27 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], registers: int = REGIS
     return winner.reshape(n, registers)
 
 
-def bands_of(signature: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
+def bands_of(signature: np.ndarray, rows: int = BAND_ROWS, bands: int = BANDS) -> np.ndarray:
     """One hash per band of ``rows`` registers, for each signature."""
-    bands = signature.reshape(len(signature), -1, rows)
+    bands = signature[:, : rows * bands].reshape(len(signature), -1, rows)
     value = np.broadcast_to(np.arange(1, bands.shape[1] + 1, dtype=np.uint64), bands.shape[:2]).copy()
     for k in range(rows):
         value = _mixed(value * _STEP + bands[:, :, k])
     return value.astype(np.int64)
 
 
+def sketch_of(signature: np.ndarray) -> np.ndarray:
+    """One bit of every register, as 64-bit integers: unlike registers differ in half of their bits."""
+    bits = (_mixed(signature + _STEP) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
+def most_unlike_bits(similarity: float, registers: int) -> int:
+    """Unlike sketch bits that a pair of this similarity exceeds by ``SPREADS`` deviations only."""
+    share = (1 - similarity) / 2
+    return int(registers * share + SPREADS * (registers * share * (1 - share)) ** 0.5)
+
+
 def similarities(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
     """(probability Jaccard of the weighted sets, plain Jaccard of the sets)."""
     every = np.union1d(a[0], b[0])
@@ -135,22 +152,58 @@ def _node():
     return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
 
 
-def _signed(texts: DataFrame, registers: int, rows: int) -> DataFrame:
-    """doc_id, node (a digest of the text) and bands (null for a text without words)."""
+def _signed(texts: DataFrame) -> DataFrame:
+    """doc_id, node (a digest of the text), bands and sketch (null for a text without words)."""
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def sign(batches):
         shingler = Shingler()
         for chunk, own in text_chunks(batches):
             bags = [shingler(t) for t in own]
-            bands = bands_of(signatures(bags, registers), rows).tolist()
+            made = signatures(bags)
+            bands, sketches = bands_of(made).tolist(), sketch_of(made).tolist()
+            lists = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [chunk.column("doc_id"), pa.array([node_of(t) for t in own], pa.binary()),
-                 pa.array([v if len(b[0]) else None for v, b in zip(bands, bags)], pa.list_(pa.int64()))],
-                ["doc_id", "node", "bands"],
+                 *(pa.array([v if len(b[0]) else None for v, b in zip(values, bags)], lists)
+                   for values in (bands, sketches))],
+                ["doc_id", "node", "bands", "sketch"],
             )
 
-    return map_arrow(texts, sign, f"doc_id {kind}, node binary, bands array<long>")
+    return map_arrow(texts, sign, f"doc_id {kind}, node binary, bands array<long>, sketch array<long>")
+
+
+def _alike(similarity: float):
+    """True for pairs of sketches ``sx``, ``sy`` that may come from texts this similar."""
+    unlike = F.lit(0)
+    for k in range(REGISTERS // 64):
+        unlike = unlike + F.bit_count(F.get("sx", F.lit(k)).bitwiseXOR(F.get("sy", F.lit(k))))
+    return unlike <= most_unlike_bits(similarity, REGISTERS)
+
+
+def _linked(a: tuple, b: tuple, similarity: float) -> bool:
+    """``a`` and ``b`` are (shingles, counts), sorted; counts are None where all are 1."""
+    if a[1] is None and b[1] is None:
+        # Without repeated shingles both similarities are the plain one.
+        shared = len(np.intersect1d(a[0], b[0], assume_unique=True))
+        return shared >= (similarity - 1e-9) * (len(a[0]) + len(b[0]) - shared) and shared > 0
+    sets = [(keys, np.ones(len(keys)) if counts is None else counts) for keys, counts in (a, b)]
+    return max(similarities(*sets)) >= similarity - 1e-9
+
+
+def _bags(table, shingles: str, counts: str) -> list[tuple]:
+    return [
+        (s.values.to_numpy(), c.values.to_numpy() if c.is_valid else None)
+        for s, c in zip(table.column(shingles), table.column(counts))
+    ]
+
+
+_PAIR = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+
+def _pairs(found: list[tuple[bytes, bytes]]) -> pa.Table:
+    columns = list(zip(*((min(p), max(p)) for p in found))) or [(), ()]
+    return pa.table([pa.array(c, pa.binary()) for c in columns], schema=_PAIR)
 
 
 class _Links:
@@ -158,19 +211,14 @@ class _Links:
 
     def __init__(self, members: DataFrame, shingles: DataFrame, similarity: float):
         self.members, self.shingles, self.similarity = members, shingles, similarity
-        schema = "a binary, b binary"
-        spark = members.sparkSession
-        self.tested = spark.createDataFrame([], schema)
-        self.links = spark.createDataFrame([], schema)
-        self.labels = spark.createDataFrame([], "node binary, label binary")
-
-    def placed(self) -> DataFrame:
-        """bucket, node and the label of its component so far."""
-        return self.members.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        self.links = members.sparkSession.createDataFrame([], "a binary, b binary")
+        self.labels = members.sparkSession.createDataFrame([], "node binary, label binary")
+        # Members of buckets with the label of their component so far.
+        self.placed = members.withColumn("label", F.col("node"))
 
     def open_pairs(self) -> tuple[int, int]:
         """(pairs of one bucket but two components, rows of such buckets)."""
-        by_label = self.placed().groupBy("bucket", "label").agg(F.count("*").cast("double").alias("n"))
+        by_label = self.placed.groupBy("bucket", "label").agg(F.count("*").cast("double").alias("n"))
         row = by_label.groupBy("bucket").agg(
             F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares")
         ).filter(F.col("n") * F.col("n") > F.col("squares")).agg(
@@ -179,86 +227,138 @@ class _Links:
         return int(row[0] or 0), int(row[1] or 0)
 
     def star(self, turn: int) -> None:
-        """Test one member of each bucket against the members that are in other components."""
-        placed = self.placed()
-        hubs = placed.groupBy("bucket").agg(
-            F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("hub"),
-            F.min("label").alias("low"), F.max("label").alias("high"),
-        ).filter("low <> high").select("bucket", "hub")
-        pairs = placed.join(hubs, "bucket").filter(F.col("label") != F.col("hub.label"))
-        self.test(pairs.select(
-            F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")
-        ))
-
-    def rest(self) -> None:
-        """Test all pairs of one bucket that are in different components."""
-        left = self.placed().select("bucket", F.col("node").alias("x"), F.col("label").alias("lx"))
-        right = self.placed().select("bucket", F.col("node").alias("y"), F.col("label").alias("ly"))
-        pairs = left.join(right, "bucket").filter("lx < ly")
-        self.test(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-
-    def test(self, pairs: DataFrame) -> None:
-        new = materialize(pairs.distinct().join(self.tested, ["a", "b"], "left_anti"), "pairs")
+        """Test some members of each bucket against its members that are in other components."""
+        drawn = [
+            F.min_by(
+                F.struct(F.col("node").alias("y"), F.col("label").alias("ly"), F.col("sketch").alias("sy")),
+                F.xxhash64("node", "bucket", F.lit(turn * HUBS + k)),
+            )
+            for k in range(HUBS)
+        ]
+        hubs = self.placed.groupBy("bucket").agg(
+            F.array(*drawn).alias("hubs"), F.min("label").alias("low"), F.max("label").alias("high"),
+        ).filter("low <> high").select("bucket", "hubs")
+        met = self.placed.withColumnsRenamed({"node": "x", "label": "lx", "sketch": "sx"}).join(hubs, "bucket")
+        near = F.filter("hubs", lambda h: (h["ly"] != F.col("lx")))
+        pairs = met.select("x", "sx", F.explode(near).alias("hub")).select("x", "sx", "hub.y", "hub.sy")
+        ends = pairs.filter(_alike(self.similarity)).select(
+            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
+        )
+        new = materialize(ends.distinct(), "pairs")
         one = self.shingles.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("counts").alias("ca"))
         two = self.shingles.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("counts").alias("cb"))
         similarity = self.similarity
 
         def verify(batches):
             for batch in batches:
-                sets = [[batch.column(c)[i].values.to_numpy() for c in ("sa", "ca", "sb", "cb")] for i in range(len(batch))]
-                good = [max(similarities((sa, ca), (sb, cb))) >= similarity - 1e-9 for sa, ca, sb, cb in sets]
+                good = [
+                    _linked(a, b, similarity)
+                    for a, b in zip(_bags(batch, "sa", "ca"), _bags(batch, "sb", "cb"))
+                ]
                 yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-        found = map_arrow(new.join(one, "a").join(two, "b"), verify, "a binary, b binary")
+        self._add(map_arrow(new.join(one, "a").join(two, "b"), verify, "a binary, b binary"))
+
+    def _add(self, found: DataFrame) -> None:
         self.links = materialize(found.union(self.links), "links")
-        self.tested = materialize(new.union(self.tested), "tested")
         self.labels = components(self.links)
 
+    def place(self) -> None:
+        placed = self.members.join(self.labels, "node", "left")
+        self.placed = materialize(placed.withColumn("label", F.coalesce("label", "node")), "placed")
+
+    def rest(self) -> None:
+        """Test all pairs of one bucket that are in different components.
+
+        A bucket is cut into blocks of about ``BLOCK`` members and a task gets two blocks, so rows
+        are copied once per block and no pair is ever a row. A pair is tested in the first band that
+        it shares.
+        """
+        sizes = self.placed.groupBy("bucket").agg(
+            F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")
+        ).filter("low <> high").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        own = F.pmod(F.xxhash64("node", F.lit(0)), F.col("blocks")).cast("int")
+        dealt = self.placed.join(sizes, "bucket").withColumn("own", own).join(self.shingles, "node")
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+        rows = dealt.select("bucket", "band", "own", other, "node", "label", "sketch", "bands", "shingles", "counts")
+        rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
+        similarity, most = self.similarity, most_unlike_bits(self.similarity, REGISTERS)
+
+        def compare(table: pa.Table) -> pa.Table:
+            i, j, band = (table.column(c)[0].as_py() for c in ("i", "j", "band"))
+            block = table.column("own").to_numpy()
+            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            nodes, labels = table.column("node").to_pylist(), table.column("label").to_pylist()
+            number = {label: k for k, label in enumerate(dict.fromkeys(labels))}
+            label = np.array([number[x] for x in labels])
+            sketch = np.array(table.column("sketch").to_pylist(), np.int64).view(np.uint64)
+            bands = np.array(table.column("bands").to_pylist(), np.int64)
+            bags, found = _bags(table, "shingles", "counts"), []
+            for x in left:
+                ys = right[right > x] if i == j else right
+                ys = ys[label[ys] != label[x]]
+                ys = ys[np.bitwise_count(sketch[ys] ^ sketch[x]).sum(1) <= most]
+                ys = ys[(bands[ys] == bands[x]).argmax(1) == band]
+                found += ((nodes[x], nodes[y]) for y in ys if _linked(bags[x], bags[y], similarity))
+            return _pairs(found)
+
+        self._add(rows.groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, b binary"))
+
 
 def near_classes(
-    docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text",
-    registers: int = REGISTERS, band_rows: int = BAND_ROWS,
+    docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, node (a digest of the text) and label: texts are in one class if links join them.
 
     Two texts are linked if their probability Jaccard over counted shingles, or their plain Jaccard
-    over shingles, is at least ``similarity``; candidates are texts that share a band. Equal
-    texts are one node. Within a band's bucket one member at a time is tested against those in other
-    components, so a bucket of many copies costs a few rows per member; once few pairs are left
-    between components they are all tested, so no candidate link is left out.
+    over shingles, is at least ``similarity``; candidates are texts that share a band and whose
+    sketches, a bit per register, do not rule it out. Equal texts are one node. Within a band's
+    bucket a few members at a time are tested against those in other components, so a bucket of
+    many copies costs a few rows per member. When few pairs are left between components, or
+    another turn would not halve them, they are all tested in blocks: no candidate link is left out.
     """
     texts = texts_of(docs, id_col, text_col)
-    signed = materialize(_signed(texts, registers, band_rows), "signed")
-    nodes = signed.filter("bands IS NOT NULL").groupBy("node").agg(F.min("bands").alias("bands"))
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "hash")).select(
-        "node", F.xxhash64("band", "hash").alias("bucket")
+    signed = materialize(_signed(texts), "signed")
+    nodes = signed.filter("bands IS NOT NULL").groupBy("node").agg(
+        F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+    )
+    banded = nodes.select("node", "sketch", F.posexplode("bands").alias("band", "hash")).select(
+        "node", "sketch", "band", F.xxhash64("band", "hash").alias("bucket")
     )
     shared = banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     shared = shared.filter("low <> high").select("bucket")
     members = materialize(banded.join(shared, "bucket", "left_semi"), "members")
-    wanted = materialize(members.select("node").distinct(), "wanted")
+    wanted = materialize(
+        members.select("node").distinct().withColumn("hash", F.xxhash64("node")), "wanted"
+    )
 
     def shingle(batches):
         shingler = Shingler()
         for chunk, own in text_chunks(batches):
             bags = [shingler(t) for t in own]
+            bands = bands_of(signatures(bags)).tolist()
             yield pa.RecordBatch.from_arrays(
-                [chunk.column("node"), pa.array([b[0].astype(np.int64) for b in bags], pa.list_(pa.int64())),
-                 pa.array([b[1].astype(np.int32) for b in bags], pa.list_(pa.int32()))],
-                ["node", "shingles", "counts"],
+                [chunk.column("node"), pa.array(bands, pa.list_(pa.int64())),
+                 pa.array([np.sort(b[0].astype(np.int64)) if b[1].max(initial=1) == 1 else b[0].astype(np.int64) for b in bags], pa.list_(pa.int64())),
+                 pa.array([b[1].astype(np.int32) if b[1].max(initial=1) > 1 else None for b in bags], pa.list_(pa.int32()))],
+                ["node", "bands", "shingles", "counts"],
             )
 
-    chosen = texts.withColumn("node", _node()).join(wanted, "node", "left_semi")
+    keyed = texts.withColumn("node", _node()).withColumn("hash", F.xxhash64("node"))
+    chosen = among(keyed, wanted, "hash").join(wanted.select("node"), "node")
     once = chosen.groupBy("node").agg(F.first("text").alias("text"))
     shingles = materialize(
-        map_arrow(once, shingle, "node binary, shingles array<long>, counts array<int>"), "shingles"
+        map_arrow(once, shingle, "node binary, bands array<long>, shingles array<long>, counts array<int>"),
+        "shingles",
     )
     links = _Links(members, shingles, similarity)
-    for turn in range(_STAR_TURNS):
-        pairs, rows = links.open_pairs()
-        if pairs <= _ROOM_PER_MEMBER * rows:
-            break
+    pairs, rows = links.open_pairs()
+    turn, before = 0, None
+    while pairs > _ROOM_PER_MEMBER * rows and (before is None or pairs <= before / 2):
         links.star(turn)
+        links.place()
+        before, turn = pairs, turn + 1
+        pairs, rows = links.open_pairs()
     if pairs:
         links.rest()
     return signed.join(links.labels, "node", "left").select(
