@@ -4,7 +4,9 @@ A document is its five-word shingles, weighted by their counts. Every shingle se
 arrivals into the registers of the signature, each register once, in an order of its own; the
 earlier an arrival the sooner the larger the weight. A register keeps its first shingle, and a
 shingle whose next arrival is later than every register's first one is finished. Two documents
-agree in a register with a probability equal to their probability Jaccard similarity.
+agree in a register with a probability equal to their probability Jaccard similarity. With all
+weights 1 that is the plain Jaccard similarity, so a text that repeats shingles has a second
+signature of its plain set; both are banded alike, and in a text without repeats they are the same.
 """
 
 from __future__ import annotations
@@ -148,6 +150,21 @@ def node_of(text: str | None) -> bytes:
     return hashlib.md5((text or "").encode("utf-8", "surrogatepass")).digest()
 
 
+def _banded(bags: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list, list]:
+    """(bands, sketch) of every bag: those of the counted shingles, then, where shingles repeat,
+    those of the plain set."""
+    counted = signatures(bags)
+    repeats = [k for k, (_, counts) in enumerate(bags) if counts.max(initial=1) > 1]
+    plain = signatures([(bags[k][0], np.ones_like(bags[k][1])) for k in repeats])
+    made = []
+    for values in (bands_of, sketch_of):
+        lists = values(counted).tolist()
+        for k, more in zip(repeats, values(plain).tolist() if repeats else []):
+            lists[k] += more
+        made.append(lists)
+    return made[0], made[1]
+
+
 def _node():
     return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
 
@@ -160,8 +177,7 @@ def _signed(texts: DataFrame) -> DataFrame:
         shingler = Shingler()
         for chunk, own in text_chunks(batches):
             bags = [shingler(t) for t in own]
-            made = signatures(bags)
-            bands, sketches = bands_of(made).tolist(), sketch_of(made).tolist()
+            bands, sketches = _banded(bags)
             lists = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [chunk.column("doc_id"), pa.array([node_of(t) for t in own], pa.binary()),
@@ -174,11 +190,27 @@ def _signed(texts: DataFrame) -> DataFrame:
 
 
 def _alike(similarity: float):
-    """True for pairs of sketches ``sx``, ``sy`` that may come from texts this similar."""
-    unlike = F.lit(0)
-    for k in range(REGISTERS // 64):
-        unlike = unlike + F.bit_count(F.get("sx", F.lit(k)).bitwiseXOR(F.get("sy", F.lit(k))))
-    return unlike <= most_unlike_bits(similarity, REGISTERS)
+    """True for pairs of sketches ``sx``, ``sy`` that may come from texts this similar, counted or plain."""
+    words = REGISTERS // 64
+
+    def near(word):
+        unlike = F.lit(0)
+        for k in range(words):
+            unlike = unlike + F.bit_count(word("sx", k).bitwiseXOR(word("sy", k)))
+        return unlike <= most_unlike_bits(similarity, REGISTERS)
+
+    def counted(sketch, k):
+        return F.get(sketch, F.lit(k))
+
+    def plain(sketch, k):
+        return F.coalesce(F.get(sketch, F.lit(words + k)), F.get(sketch, F.lit(k)))
+
+    return near(counted) | near(plain)
+
+
+def _both(lists: list[list[int]], size: int) -> np.ndarray:
+    """Bands or sketches as (texts, 2, size): counted and plain, the same in a text without repeats."""
+    return np.array([x if len(x) > size else x + x for x in lists], np.int64).reshape(-1, 2, size)
 
 
 def _linked(a: tuple, b: tuple, similarity: float) -> bool:
@@ -272,7 +304,7 @@ class _Links:
 
         A bucket is cut into blocks of about ``BLOCK`` members and a task gets two blocks, so rows
         are copied once per block and no pair is ever a row. A pair is tested in the first band that
-        it shares.
+        it shares, counted or plain.
         """
         sizes = self.placed.groupBy("bucket").agg(
             F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")
@@ -291,14 +323,15 @@ class _Links:
             nodes, labels = table.column("node").to_pylist(), table.column("label").to_pylist()
             number = {label: k for k, label in enumerate(dict.fromkeys(labels))}
             label = np.array([number[x] for x in labels])
-            sketch = np.array(table.column("sketch").to_pylist(), np.int64).view(np.uint64)
-            bands = np.array(table.column("bands").to_pylist(), np.int64)
+            sketch = _both(table.column("sketch").to_pylist(), REGISTERS // 64).view(np.uint64)
+            bands = _both(table.column("bands").to_pylist(), BANDS)
             bags, found = _bags(table, "shingles", "counts"), []
             for x in left:
                 ys = right[right > x] if i == j else right
                 ys = ys[label[ys] != label[x]]
-                ys = ys[np.bitwise_count(sketch[ys] ^ sketch[x]).sum(1) <= most]
-                ys = ys[(bands[ys] == bands[x]).argmax(1) == band]
+                ys = ys[np.bitwise_count(sketch[ys] ^ sketch[x]).sum(2).min(1) <= most]
+                shared = (bands[ys] == bands[x]) | (bands[ys] == bands[x, ::-1])
+                ys = ys[shared.any(1).argmax(1) == band]
                 found += ((nodes[x], nodes[y]) for y in ys if _linked(bags[x], bags[y], similarity))
             return _pairs(found)
 
@@ -311,8 +344,8 @@ def near_classes(
     """doc_id, node (a digest of the text) and label: texts are in one class if links join them.
 
     Two texts are linked if their probability Jaccard over counted shingles, or their plain Jaccard
-    over shingles, is at least ``similarity``; candidates are texts that share a band and whose
-    sketches, a bit per register, do not rule it out. Equal texts are one node. Within a band's
+    over shingles, is at least ``similarity``; candidates are texts that share a band of either
+    signature and whose sketches, a bit per register, do not rule out both. Equal texts are one node. Within a band's
     bucket a few members at a time are tested against those in other components, so a bucket of
     many copies costs a few rows per member. When few pairs are left between components, or
     another turn would not halve them, they are all tested in blocks: no candidate link is left out.
@@ -322,7 +355,10 @@ def near_classes(
     nodes = signed.filter("bands IS NOT NULL").groupBy("node").agg(
         F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
     )
-    banded = nodes.select("node", "sketch", F.posexplode("bands").alias("band", "hash")).select(
+    # A plain band that is also the counted one is the same bucket.
+    banded = nodes.select("node", "sketch", "bands", F.posexplode("bands").alias("at", "hash")).filter(
+        (F.col("at") < BANDS) | (F.col("hash") != F.get("bands", F.col("at") - BANDS))
+    ).withColumn("band", F.col("at") % BANDS).select(
         "node", "sketch", "band", F.xxhash64("band", "hash").alias("bucket")
     )
     shared = banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"))
@@ -336,7 +372,7 @@ def near_classes(
         shingler = Shingler()
         for chunk, own in text_chunks(batches):
             bags = [shingler(t) for t in own]
-            bands = bands_of(signatures(bags)).tolist()
+            bands, _ = _banded(bags)
             yield pa.RecordBatch.from_arrays(
                 [chunk.column("node"), pa.array(bands, pa.list_(pa.int64())),
                  pa.array([np.sort(b[0].astype(np.int64)) if b[1].max(initial=1) == 1 else b[0].astype(np.int64) for b in bags], pa.list_(pa.int64())),

@@ -98,6 +98,37 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert {made[i] for i in range(120)} == {0} and {made[500 + i] for i in range(40)} == {500}
 
 
+def repeated_passages(rng):
+    """(id, text): pairs that only plain Jaccard links, and one group of them, beside loose texts."""
+    vocabulary, rows = [f"r{i}" for i in range(5000)], []
+    for i, (length, block, times) in enumerate([(100, 40, 10), (504, 54, 12), (504, 54, 12), (100, 40, 20)] * 3):
+        base = rng.choices(vocabulary, k=length)
+        rows.append((2 * i, " ".join(base)))
+        rows.append((2 * i + 1, " ".join(base[:block] * times + base[block:])))
+    base = rng.choices(vocabulary, k=100)
+    for i in range(24):
+        at = rng.randrange(60)
+        rows.append((500 + i, " ".join(base[:at] + base[at : at + 40] * rng.randint(1, 12) + base[at + 40 :])))
+    return rows + [(1000 + i, " ".join(rng.choices(vocabulary, k=80))) for i in range(20)]
+
+
+def test_repeated_passages_against_all_pairs(spark, monkeypatch):
+    """Plain Jaccard links are found in star turns and in blocks."""
+    rows = repeated_passages(random.Random(23))
+    texts = sorted({t for _, t in rows})
+    links = [(a, b) for i, a in enumerate(texts) for b in texts[:i] if plain_similarity(a, b) >= 0.8]
+    of, first = classes_of(links, texts), {}
+    for i, t in rows:
+        first[of[t]] = min(first.get(of[t], i), i)
+    want = {i: first[of[t]] for i, t in rows}
+    assert [want[i] for i in range(0, 24)] == [i - i % 2 for i in range(24)]
+    for room, block in ((4, 500), (0, 500), (10**9, 7)):
+        monkeypatch.setattr(neardup, "_ROOM_PER_MEMBER", room)
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        made = neardup.near_duplicates(documents(spark, rows)).collect()
+        assert {r.doc_id: r.class_id for r in made} == want
+
+
 def test_signatures_agree_as_probability_jaccard():
     rng, errors = random.Random(17), []
     for turn in range(80):
