@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each line at its first place only; documents of repeated lines alone go."""
-    return _counted(lines.drop_repeated(docs))
+    return _counted(lines.drop_repeated(docs, min_chars=lines.ALL_LINES))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

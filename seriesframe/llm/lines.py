@@ -18,6 +18,8 @@ from seriesframe.session import materialize
 
 EDITS = 2
 MIN_CHARS = 24
+# With this as ``min_chars``, every line that is not blank takes part.
+ALL_LINES = 1
 # Letters whose counts tell most candidates apart before the edit distance is computed.
 COUNTED = "etaonirdshlwgbcf"
 
@@ -233,14 +235,17 @@ def line_classes(
     """One row per line of at least ``min_chars`` characters: doc_id, line_no, line_id, class_id
     and first (true for the line of the class with the smallest document id and number).
 
-    Lines are in one class if equal or joined by links of at most ``edits`` edits. Null and empty
+    Lines are in one class if equal or joined by links of at most ``edits`` edits; such links are
+    between lines of more than 2 * ``edits`` + 1 characters, shorter ones are compared for equality.
+    Blank lines are left out where ``min_chars`` is that small. Null and empty
     texts have no such lines; a null id comes last; rows alike in id and line number are first
     together. Lines are known by a 64-bit hash.
     """
-    if min_chars <= 2 * edits + 1:
-        raise ValueError("min_chars must be larger than 2 * edits + 1")
     lines = lines_of(docs, id_col, text_col).filter(F.col("chars") >= min_chars)
-    labels = components(edit_links(lines, edits)).withColumnRenamed("node", "line_id")
+    if min_chars <= 2 * edits + 1:
+        lines = lines.filter(F.col("line").rlike(r"\S"))
+    long_lines = lines.filter(F.col("chars") > 2 * edits + 1)
+    labels = components(edit_links(long_lines, edits)).withColumnRenamed("node", "line_id")
     placed = lines.select("doc_id", "line_no", "line_id").join(labels, "line_id", "left").select(
         "doc_id", "line_no", "line_id", F.coalesce("label", "line_id").alias("class_id")
     )

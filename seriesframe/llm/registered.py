@@ -139,5 +139,5 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op9_line_dedup")
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class of every line that is long enough, and which line of each class comes first."""
-    return lines.line_classes(table(spark, sf_dir, "documents"))
+    """Class of every line that is not blank, and which line of each class comes first."""
+    return lines.line_classes(table(spark, sf_dir, "documents"), min_chars=lines.ALL_LINES)

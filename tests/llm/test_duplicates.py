@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -228,6 +229,33 @@ def test_lines_against_all_pairs(spark):
     assert lines.line_classes(docs.limit(0)).collect() == [] == lines.drop_repeated(docs.limit(0)).collect()
 
 
+def test_every_line_that_is_not_blank_takes_part(spark, tmp_path):
+    rng = random.Random(24)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 14))) for _ in range(40)]
+    rows = [(900, None), (901, ""), (902, " \n\t\n"), (903, "All rights reserved.\nLes.\nLet."), (904, "All rights reserved!\n\nLes.")]
+    for i in range(60):
+        own = [rng.choice(["", " ", mutated(rng, rng.choice(words), rng.choice([0, 0, 0, 1, 2]))]) for _ in range(5)]
+        rows.append((i, "\n".join(own)))
+    every = [(i, k, x) for i, t in rows for k, x in enumerate((t or "").split("\n")) if x.strip()]
+    texts = sorted({x for _, _, x in every})
+    links = [(a, b) for i, a in enumerate(texts) for b in texts[:i]
+             if min(len(a), len(b)) >= 6 and levenshtein(a, b) <= 2]
+    of, firsts = classes_of(links, texts), {}
+    for i, k, x in every:
+        firsts[of[x]] = min(firsts.get(of[x], (i, k)), (i, k))
+    want = {(i, k): firsts[of[x]] == (i, k) for i, k, x in every}
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    made = registered.QUERIES["op9_line_dedup"](spark, str(tmp_path)).collect()
+    assert len(made) == len(want) and {(r.doc_id, r.line_no): r.first for r in made} == want
+    by_class, own = defaultdict(set), {(i, k): of[x] for i, k, x in every}
+    for r in made:
+        by_class[r.class_id].add(own[r.doc_id, r.line_no])
+    assert all(len(v) == 1 for v in by_class.values()) and len(by_class) == len(set(of.values()))
+    kept = corpus_pipeline.line_dedup(spark, documents(spark, rows), str(tmp_path))
+    left = {r.doc_id: r.text for r in kept.filter("doc_id >= 903").collect()}
+    assert left == {903: "All rights reserved.\nLes.\nLet."}
+
+
 def test_line_dedup_is_native(spark):
     docs = documents(spark, line_rows(random.Random(21)))
     for made in (lines.line_classes(docs), lines.drop_repeated(docs), lines.edit_links(lines.lines_of(docs))):
