@@ -24,12 +24,21 @@ ALL_LINES = 1
 COUNTED = "etaonirdshlwgbcf"
 
 
+def _text(text_col: str) -> Column:
+    return F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+
+
+def _text_key(text_col: str) -> Column:
+    return F.xxhash64(_text(text_col))
+
+
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line_no (from 0), line, chars and line_id (a 64-bit hash) of every line."""
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    lines = docs.select(
-        F.col(f"`{id_col}`").alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("line_no", "line")
+    """doc_id, text_key (a hash, which with the id names the text), line_no (from 0), line, chars and
+    line_id (a 64-bit hash) of every line."""
+    texts = docs.select(
+        F.col(f"`{id_col}`").alias("doc_id"), _text_key(text_col).alias("text_key"), _text(text_col).alias("text")
     )
+    lines = texts.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return lines.withColumns({"chars": F.length("line"), "line_id": F.xxhash64("line")})
 
 
@@ -238,23 +247,29 @@ def line_classes(
     Lines are in one class if equal or joined by links of at most ``edits`` edits; such links are
     between lines of more than 2 * ``edits`` + 1 characters, shorter ones are compared for equality.
     Blank lines are left out where ``min_chars`` is that small. Null and empty
-    texts have no such lines; a null id comes last; rows alike in id and line number are first
-    together. Lines are known by a 64-bit hash.
+    texts have no such lines; a null id comes last; of different texts under one id, or without an
+    id, the hash of the text decides between equal line numbers; rows alike in id, text and line
+    number are first together. Lines are known by a 64-bit hash.
     """
+    return _placed(docs, edits, min_chars, id_col, text_col).drop("text_key")
+
+
+def _placed(docs: DataFrame, edits: int, min_chars: int, id_col: str, text_col: str) -> DataFrame:
+    """The rows of :func:`line_classes` with their text_key."""
     lines = lines_of(docs, id_col, text_col).filter(F.col("chars") >= min_chars)
     if min_chars <= 2 * edits + 1:
         lines = lines.filter(F.col("line").rlike(r"\S"))
     long_lines = lines.filter(F.col("chars") > 2 * edits + 1)
     labels = components(edit_links(long_lines, edits)).withColumnRenamed("node", "line_id")
-    placed = lines.select("doc_id", "line_no", "line_id").join(labels, "line_id", "left").select(
-        "doc_id", "line_no", "line_id", F.coalesce("label", "line_id").alias("class_id")
+    placed = lines.select("doc_id", "text_key", "line_no", "line_id").join(labels, "line_id", "left").select(
+        "doc_id", "text_key", "line_no", "line_id", F.coalesce("label", "line_id").alias("class_id")
     )
-    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("line_no"))
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("line_no"), F.col("text_key"))
     firsts = placed.groupBy("class_id").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     several = firsts.filter("n > 1").select("class_id", "first")
     joined = placed.join(several, "class_id", "left")
     return joined.select(
-        "doc_id", "line_no", "line_id", "class_id",
+        "doc_id", "text_key", "line_no", "line_id", "class_id",
         (F.col("first").isNull() | (F.col("first") == place)).alias("first"),
     )
 
@@ -266,15 +281,21 @@ def drop_repeated(
     """The documents with all columns, each class of lines kept at its first place only.
 
     Lines shorter than ``min_chars`` stay. A document that loses all its lines but blank ones is
-    left out; one that loses none is returned as it was.
+    left out; one that loses none is returned as it was. Rows without an id, or with one id and
+    different texts, are documents of their own.
     """
-    classes = line_classes(docs, edits, min_chars, id_col, text_col)
-    repeats = classes.filter(~F.col("first")).groupBy("doc_id").agg(
+    classes = _placed(docs, edits, min_chars, id_col, text_col)
+    repeats = classes.filter(~F.col("first")).groupBy("doc_id", "text_key").agg(
         F.collect_set("line_no").alias("gone")
     )
     flags = F.array_sort("gone")
-    repeats = materialize(repeats.select(F.col("doc_id").alias("ld_id"), flags.alias("ld_gone")), "repeats")
-    marked = docs.join(repeats, F.col(f"`{id_col}`").eqNullSafe(F.col("ld_id")), "left")
+    repeats = materialize(
+        repeats.select(F.col("doc_id").alias("ld_id"), F.col("text_key").alias("ld_key"), flags.alias("ld_gone")),
+        "repeats",
+    )
+    marked = docs.join(
+        repeats, F.col(f"`{id_col}`").eqNullSafe(F.col("ld_id")) & (_text_key(text_col) == F.col("ld_key")), "left"
+    )
     pieces = F.split(F.col(f"`{text_col}`").cast("string"), "\n")
     # Runs between dropped lines: linear in the lines, where a search per line would not be.
     ends = F.concat(F.col("ld_gone"), F.array(F.size(pieces)))

@@ -256,6 +256,27 @@ def test_every_line_that_is_not_blank_takes_part(spark, tmp_path):
     assert left == {903: "All rights reserved.\nLes.\nLet."}
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    """Several null ids, and one id with different texts: each row loses its own repeats only."""
+    def line(k):
+        return f"{k} " + chr(97 + k) * 30
+
+    known = [(1, line(0))]
+    shared = [line(0) + "\n" + line(1), line(2) + "\n" + line(3), line(4) + "\n" + line(5), line(4) + "\n" + line(6)]
+    alone = [line(10 + k) + "\n" + line(0) for k in range(8)]
+    for key in (None, 7):
+        rows = known + [(key, t) for t in shared + alone + [alone[0]]]
+        docs = documents(spark, rows)
+        made = sorted((r.doc_id or 0, r.text) for r in lines.drop_repeated(docs).collect())
+        texts = [t for i, t in made if i == (key or 0)]
+        of = Counter(x for t in set(texts) for x in t.split("\n"))
+        assert (1, line(0)) in made and len(made) == len(rows)
+        assert of == Counter(line(k) for k in (*range(1, 7), *range(10, 18)))
+        assert texts.count(line(10)) == 2 and shared[1] in texts
+        first = [r for r in lines.line_classes(docs).collect() if r.first]
+        assert len(first) == 16
+
+
 def test_line_dedup_is_native(spark):
     docs = documents(spark, line_rows(random.Random(21)))
     for made in (lines.line_classes(docs), lines.drop_repeated(docs), lines.edit_links(lines.lines_of(docs))):
