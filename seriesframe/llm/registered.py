@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesframe.llm import bpe, fingerprints, langid, lines, neardup, packing, pii, rules, sites, urls
+from seriesframe.llm import (
+    bpe, fingerprints, langid, lines, neardup, packing, pii, rules, sites, spelling, substrings, urls, vectorcodes,
+)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -141,3 +143,138 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of every line that is not blank, and which line of each class comes first."""
     return lines.line_classes(table(spark, sf_dir, "documents"), min_chars=lines.ALL_LINES)
+
+
+def _codes_sql(rounds: int) -> str:
+    """Rounds of assignment and averaging, each as two common tables."""
+
+    def near(k: int) -> str:
+        return f"""
+        near{k} AS MATERIALIZED (
+            SELECT vec_id, x.p, arg_min(e, apart * {vectorcodes.ENTRIES} + e) AS e, min(apart)::BIGINT AS apart
+            FROM (SELECT vec_id, parts.p, e, list_inner_product(x, x) + list_inner_product(y, y)
+                      - 2 * list_inner_product(x, y) AS apart
+                  FROM parts JOIN book{k} USING (p)) x GROUP BY vec_id, x.p
+        )"""
+
+    def book(k: int) -> str:
+        return f"""
+        sums{k} AS MATERIALIZED (
+            SELECT p, e, i, sum(x[i])::BIGINT AS s, count(*) AS n
+            FROM near{k} JOIN parts USING (vec_id, p), range(1, len(x) + 1) r(i) GROUP BY ALL
+        ), new{k} AS (
+            SELECT p, e, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS y FROM sums{k} GROUP BY p, e
+        ), book{k + 1} AS MATERIALIZED (
+            SELECT p, e, coalesce(new{k}.y, book{k}.y) AS y FROM book{k} LEFT JOIN new{k} USING (p, e)
+        )"""
+
+    steps = ",".join(f"{near(k)},{book(k)}" for k in range(rounds))
+    return f"""
+        WITH kept AS MATERIALIZED (
+            SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+            WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), parts AS MATERIALIZED (
+            SELECT vec_id, p::INT AS p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] AS x
+            FROM kept, range({vectorcodes.PARTS}) r(p)
+        ), firsts AS (
+            SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept
+            QUALIFY row_number() OVER (ORDER BY vec_id) <= {vectorcodes.ENTRIES}
+        ), book0 AS MATERIALIZED (SELECT p, e, x AS y FROM firsts JOIN parts USING (vec_id)
+        ),{steps},{near(rounds)}, coded AS (
+            SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(apart)::BIGINT AS error
+            FROM near{rounds} GROUP BY vec_id
+        )
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+            (SELECT sha256(string_agg(c::BIGINT::VARCHAR, ',' ORDER BY p, e, i))
+             FROM (SELECT p, e, unnest(y) AS c, generate_subscripts(y, 1) AS i FROM book{rounds}))
+            AS codebooks_sha256
+        FROM coded JOIN kept USING (vec_id)"""
+
+
+@register("op11_vector_codes", _codes_sql(vectorcodes.ROUNDS))
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and errors of every vector, and a digest of the codebooks."""
+    made, books = vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return made.select(
+        "vec_id", code.alias("code"), "error", "label_error",
+        F.lit(vectorcodes.digest(books)).alias("codebooks_sha256"),
+    )
+
+
+@register("op12_substrings", f"""
+    WITH words AS MATERIALIZED (
+        SELECT doc_id, pos, word FROM (
+            SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos
+            FROM (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM documents))
+    ), windows AS MATERIALIZED (
+        SELECT doc_id, pos, sha256(array_to_string(list(word) OVER w, ' ')) AS h FROM words
+        WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {substrings.WINDOW - 1} FOLLOWING)
+        QUALIFY count(*) OVER w = {substrings.WINDOW}
+    ), firsts AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h
+    ), again AS (SELECT doc_id, pos, true AS again FROM windows JOIN firsts USING (h) WHERE first < doc_id
+    ), marked AS (
+        SELECT doc_id, pos, word, count(again) OVER (PARTITION BY doc_id ORDER BY pos
+            ROWS BETWEEN {substrings.WINDOW - 1} PRECEDING AND CURRENT ROW) > 0 AS gone
+        FROM words LEFT JOIN again USING (doc_id, pos)
+    )
+    SELECT d.doc_id, count(m.pos) AS n_words, count(*) FILTER (m.gone) AS n_removed,
+        sha256(coalesce(string_agg(m.word, ' ' ORDER BY m.pos) FILTER (NOT m.gone), '')) AS kept_sha256
+    FROM documents d LEFT JOIN marked m USING (doc_id) GROUP BY d.doc_id
+""")
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every text, those in passages of 50 words seen before, and a digest of the others."""
+    made = substrings.drop_repeats(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
+    return made.select("doc_id", "n_words", "n_removed", digest)
+
+
+# One in so many runs of a document loses a letter before they are counted.
+MISSPELL = 199
+
+
+@register("op13_spelling", f"""
+    WITH RECURSIVE tab AS (
+        SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k:
+            CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+    ), runs AS (
+        SELECT coalesce(doc_id::VARCHAR, '') AS doc, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+        FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents)
+        GROUP BY ALL
+    ), hashed AS (
+        SELECT run, n, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(
+            string_split(doc || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT]
+            ELSE [(192 | (unicode(c) >> 6))::BIGINT, (128 | (unicode(c) & 63))::BIGINT] END))),
+            lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+        FROM runs, tab
+    ), words AS MATERIALIZED (
+        SELECT word, sum(n)::BIGINT AS n FROM (
+            SELECT CASE WHEN h % {MISSPELL} = 0 THEN substr(run, 1, (h % length(run))::INT)
+                || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM hashed)
+        WHERE length(word) >= {spelling.MIN_CHARS} GROUP BY word HAVING sum(n) >= {spelling.MIN_COUNT}
+    ), cut AS MATERIALIZED (
+        SELECT word, n, substr(word, 1, i - 1) || '_' || substr(word, i + 1) AS hole,
+            substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+        FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM words)
+    ), pairs AS (
+        SELECT a.word, b.word AS near, b.n FROM cut a JOIN cut b USING (hole) WHERE a.word <> b.word
+        UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+        UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+    ), best AS (
+        SELECT word, count(*) AS n_near, (list(near ORDER BY n DESC, near))[1] AS near, max(n) AS top
+        FROM pairs GROUP BY word
+    ), formed AS MATERIALIZED (
+        SELECT word, words.n, coalesce(n_near, 0)::BIGINT AS n_near,
+            CASE WHEN top >= {spelling.RATIO} * words.n THEN near END AS form,
+            CASE WHEN top >= {spelling.RATIO} * words.n THEN top END AS form_n
+        FROM words LEFT JOIN best USING (word)
+    ), chain(word, root) AS (
+        SELECT word, word FROM formed WHERE form IS NULL
+        UNION ALL SELECT f.word, c.root FROM formed f JOIN chain c ON f.form = c.word
+    )
+    SELECT word, form, root, n, n_near, form_n FROM formed JOIN chain USING (word)
+""")
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word, the more frequent word it may be a misspelling of, and the end of that chain."""
+    return spelling.variants(table(spark, sf_dir, "documents"), misspell=MISSPELL)
