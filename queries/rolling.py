@@ -226,6 +226,50 @@ def series_limit_rejects(spark, sf_dir):
     return counted[0].union(counted[1])
 
 
+@query("series_quota", views=v.V_SAMPLES, sql="""
+, known AS (SELECT DISTINCT metric_id, labels_key FROM v_samples
+            WHERE time >= TIMESTAMP '2024-01-04' AND time < TIMESTAMP '2024-01-05' AND CAST(shard AS INTEGER) < 5),
+n AS (SELECT metric_id, count(*) AS n FROM known GROUP BY 1),
+fresh AS (SELECT metric_id, labels_key, min(arrival) AS first FROM v_samples ANTI JOIN known USING (metric_id, labels_key)
+          WHERE time >= TIMESTAMP '2024-01-05' AND time < TIMESTAMP '2024-01-06' AND shard <> '9' GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY metric_id ORDER BY first, labels_key) AS rank,
+                  count(*) OVER (PARTITION BY metric_id) AS wanted FROM fresh),
+sized AS (SELECT limit_, m.metric_id, coalesce(n.n, 0) AS n, coalesce(max(r.wanted), 0) AS wanted
+          FROM (SELECT unnest([12, 14, 40]) AS limit_) l, (SELECT DISTINCT metric_id FROM v_samples) m
+          LEFT JOIN n USING (metric_id) LEFT JOIN ranked r USING (metric_id) GROUP BY 1, 2, 3),
+after AS (SELECT *, n + least(wanted, greatest(limit_ - n, 0)) AS series FROM sized)
+SELECT a.limit_ AS max_series, s.metric_id, s.labels_key, a.series,
+       CASE WHEN s.shard = '9' THEN 'missing_labels' WHEN r.rank > greatest(a.limit_ - a.n, 0) THEN 'series_over_limit'
+            ELSE 'accepted' END AS outcome,
+       a.series > a.limit_ * 0.8 AND a.series < a.limit_ AS near_limit, count(*) AS samples
+FROM v_samples s JOIN after a USING (metric_id) LEFT JOIN ranked r USING (metric_id, labels_key)
+WHERE s.time >= TIMESTAMP '2024-01-05' AND s.time < TIMESTAMP '2024-01-06' GROUP BY ALL""")
+def series_quota(spark, sf_dir):
+    """A day with more new series than fit: the first to arrive get the places, for three limits.
+
+    Rejected samples take none: those of the last shard lack a label.
+    """
+    found = v.samples(spark, sf_dir)
+    stored = found.filter("time >= '2024-01-04' AND time < '2024-01-05' AND CAST(labels.shard AS INT) < 5")
+    labels = F.when(F.col("labels")["shard"] == "9", F.map_filter("labels", lambda k, _: k != "shard")).otherwise(F.col("labels"))
+    day = found.filter("time >= '2024-01-05' AND time < '2024-01-06'").select(
+        F.col("arrival").alias("idx"), F.col("metric_id").alias("name"), "value", F.col("time").alias("timestamp"),
+        labels.alias("labels"), F.lit(None).cast("string").alias("type"), F.col("labels_key").alias("series_key"),
+    )
+    registry = v.metrics(spark, sf_dir).withColumn("label_keys", F.array(F.lit("band"), F.lit("shard")))
+    made = None
+    for most in (12, 14, 40):
+        limits = CardinalityLimits(max_series_per_metric=most, at_limit="quota", check_window_hours=48)
+        checked = validate_batch(day, registry, "2024-01-06", Settings(cardinality=limits), stored).validated
+        rows = checked.groupBy(
+            F.lit(most).alias("max_series"), "metric_id", F.col("series_key").alias("labels_key"), "series",
+            F.coalesce("reason", F.lit("accepted")).alias("outcome"),
+            F.array_contains("warnings", "series_near_limit").alias("near_limit"),
+        ).agg(F.count(F.lit(1)).alias("samples"))
+        made = rows if made is None else made.unionByName(rows)
+    return made
+
+
 @query("too_many_labels", views=v.V_SAMPLES, sql="""
 SELECT CASE WHEN arrival % 14 > 10 THEN 'label_count_over_limit' ELSE 'accepted' END AS outcome, count(*) AS samples
 FROM v_samples GROUP BY 1""")

@@ -23,6 +23,7 @@ class CardinalityLimits:
     check_window_hours: int = 24
     # "unseen": a full metric still takes samples of series it already has.
     # "strict_all": a full metric takes nothing.
+    # "quota": as "unseen", and a batch's new series are admitted in order of arrival until full.
     at_limit: str = "unseen"
 
 

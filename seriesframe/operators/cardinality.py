@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from seriesframe.config import CardinalityLimits
 from seriesframe.functions.times import day_of, ts_lit, utc
 from seriesframe.schema import SERIES
+from seriesframe.session import materialize
 
 
 def recent(samples: DataFrame, as_of, hours: int = 24) -> DataFrame:
@@ -62,13 +64,19 @@ def label_cardinality(samples: DataFrame) -> DataFrame:
 
 
 def mark_series_limit(
-    incoming: DataFrame, samples: DataFrame, as_of, limits: CardinalityLimits = CardinalityLimits()
+    incoming: DataFrame, samples: DataFrame, as_of, limits: CardinalityLimits = CardinalityLimits(),
+    order: str = "idx", eligible: Column | None = None,
 ) -> DataFrame:
     """Adds ``series`` (current count of the metric) and ``over_limit`` to incoming samples.
 
     With ``at_limit="unseen"`` only samples of new series are over the limit of a full metric;
-    with ``"strict_all"`` every sample of it is.
+    with ``"strict_all"`` every sample of it is. With ``"quota"`` the limit holds within the batch:
+    of a metric's new series the first by ``order`` are admitted until it is full, all others are
+    over the limit, and ``series`` counts the admitted ones. Rows that are not ``eligible``,
+    being rejected anyway, take no place.
     """
+    if limits.at_limit == "quota":
+        return _mark_quota(incoming, samples, as_of, limits, order, eligible)
     counts = cardinality(samples, as_of, limits.check_window_hours)
     marked = incoming.join(counts, "metric_id", "left").withColumn(
         "series", F.coalesce("series", F.lit(0).cast("long"))
@@ -88,3 +96,50 @@ def mark_series_limit(
         .withColumn("over_limit", full & F.col("known").isNull())
         .drop("known")
     )
+
+
+def refused_series(fresh: DataFrame, room: DataFrame) -> DataFrame:
+    """metric_id, labels_key of the new series that find no place.
+
+    ``fresh`` holds each new series once with its ``first`` arrival, ``room`` the places left by
+    metric. Arrivals are ranked without sorting a metric in one task: the series are dealt by
+    ranges of (metric, first arrival) and written, each range ranks its own, and the number of a
+    metric's series in earlier ranges is added.
+    """
+    by_range = ["metric_id", "first", "labels_key"]
+    dealt = fresh.repartitionByRange(*by_range).withColumn("range", F.spark_partition_id())
+    dealt = materialize(dealt, "new-series")
+    inside = Window.partitionBy("range", "metric_id").orderBy("first", "labels_key")
+    earlier = Window.partitionBy("metric_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt.groupBy("metric_id", "range").count().select(  # one row per metric and range
+        "metric_id", "range", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before")
+    )
+    ranked = dealt.withColumn("rank", F.row_number().over(inside)).join(before, ["metric_id", "range"])
+    return ranked.join(room, "metric_id").filter(F.col("before") + F.col("rank") > F.col("room")).select(*SERIES)
+
+
+def _mark_quota(
+    incoming: DataFrame, samples: DataFrame, as_of, limits: CardinalityLimits, order: str, eligible: Column | None
+) -> DataFrame:
+    most = limits.max_series_per_metric
+    known = materialize(recent(samples, as_of, limits.check_window_hours).select(*SERIES).distinct(), "known-series")
+    counts = known.groupBy("metric_id").agg(F.count("*").alias("current"))
+    asking = incoming if eligible is None else incoming.filter(eligible)
+    fresh = asking.groupBy(*SERIES).agg(F.min(order).alias("first")).join(known, SERIES, "left_anti")
+    fresh = materialize(fresh, "asking-series")
+    wanted = fresh.groupBy("metric_id").agg(F.count("*").alias("wanted"))
+    current = F.coalesce("current", F.lit(0).cast("long"))
+    state = counts.join(wanted, "metric_id", "full_outer").select(
+        "metric_id", F.coalesce("wanted", F.lit(0).cast("long")).alias("wanted"),
+        current.alias("current"), F.greatest(F.lit(most) - current, F.lit(0)).alias("room"),
+    )
+    state = materialize(state, "series-room")
+    contested = state.filter(F.col("wanted") > F.col("room")).select("metric_id", "room")
+    refused = refused_series(fresh.join(contested.select("metric_id"), "metric_id", "left_semi"), contested)
+    series = (F.col("current") + F.least("wanted", "room")).alias("series")
+    marked = incoming.join(state.select("metric_id", series), "metric_id", "left").withColumn(
+        "series", F.coalesce("series", F.lit(0).cast("long"))
+    )
+    return marked.join(refused.withColumn("refused", F.lit(True)), SERIES, "left").withColumn(
+        "over_limit", F.col("refused").isNotNull() & (F.lit(True) if eligible is None else eligible)
+    ).drop("refused")

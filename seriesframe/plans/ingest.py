@@ -82,7 +82,12 @@ def validate_batch(
     if stored is None:
         full, series = None, None
     else:
-        rows = cardinality.mark_series_limit(rows, stored, as_of, settings.cardinality)
+        eligible = F.coalesce(
+            "reason", validation.schema_problem(settings), validation.cardinality_problem(settings)
+        ).isNull()
+        rows = cardinality.mark_series_limit(
+            rows, stored, as_of, settings.cardinality, order="idx", eligible=eligible
+        )
         full, series = F.col("over_limit"), F.col("series")
     rows = rows.withColumn("reason", F.coalesce(
         "reason",

@@ -14,7 +14,7 @@ from seriesframe.config import Settings
 from seriesframe.functions.labels import from_key, literal_map
 from seriesframe.functions.times import day_of, utc, utc_day
 from seriesframe.operators import (
-    aggregates, archive, cardinality, catalog, counters, lifecycle, rollups, upsert,
+    aggregates, archive, cardinality, catalog, changes, counters, lifecycle, rollups, upsert,
 )
 from seriesframe.operators.filters import (
     check_range, default_range, filter_labels, filter_metric, filter_time,
@@ -300,6 +300,38 @@ class SeriesStore:
             self._note_series(fresh, days)
             tables.overwrite_days(upsert.upsert(stored, fresh), self.path("samples"))
 
+    def upsert_and_refresh(self, rows: DataFrame, order: list[str]) -> None:
+        """:meth:`upsert_samples`, and the rollups brought up to date by what it changed.
+
+        Days whose rollups were complete before take the changes cell by cell; samples are read
+        again only where an extreme was taken back. Other touched days are rolled up from samples.
+        """
+        kept = upsert.last_wins(rows, order).withColumn("day", utc_day("time"))
+        with self._scratch() as keep:
+            fresh = keep(kept.withColumn("landed", F.lit(0).cast("long")), "upsert")
+            days = [row["day"] for row in fresh.select("day").distinct().collect()]
+            stored = tables.in_days(scan_samples(self.spark, self.path("samples")), days)
+            changed = keep(changes.sample_changes(stored, fresh), "changes")
+            complete = {grain: set(self.valid_days(grain)) for grain in rollups.GRAINS}
+            self._note_series(fresh, days)
+            tables.overwrite_days(upsert.upsert(stored, fresh), self.path("samples"))
+            state = self._state_of_days()
+            after = tables.in_days(scan_samples(self.spark, self.path("samples")), days)
+            for grain in rollups.GRAINS:
+                whole = [day for day in days if day in complete[grain]]
+                others = [day for day in days if day not in complete[grain]]
+                deltas = keep(
+                    changes.bucket_deltas(changed.filter(utc_day("time").isin(whole)), grain), f"deltas-{grain}"
+                )
+                made = changes.refresh(tables.in_days(self.rollup(grain), whole), deltas, after, grain)
+                if others:
+                    made = made.unionByName(rollups.rollup(tables.in_days(after, others), grain).select(*made.columns))
+                tables.replace_days(made.withColumn("day", utc_day("bucket")), self.path(f"rollup_{grain}"), days)
+                tables.commit(
+                    self.spark, self.path(f"rollup_{grain}_state"),
+                    {day.isoformat(): state.get(day.isoformat(), []) for day in days},
+                )
+
     # Queries
 
     def query(self, request: QueryRequest, as_of) -> DataFrame:
