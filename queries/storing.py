@@ -15,7 +15,7 @@ from queries import views as v
 from queries.registry import query
 from seriesframe.config import Settings
 from seriesframe.functions.labels import canonical_key
-from seriesframe.operators import archive, lifecycle, upsert
+from seriesframe.operators import archive, lifecycle, postings, upsert
 from seriesframe.operators.filters import filter_metric
 from seriesframe.plans.request import Aggregation, QueryRequest, raw_points
 from seriesframe.plans.store import SeriesStore
@@ -217,6 +217,34 @@ def unified_query(spark, sf_dir):
     return v.tidy(_half_archived(spark, sf_dir).query(request, v.AS_OF).drop("labels"))
 
 
+_SPARSE = "(shard <> '3' OR day(day) % 3 = 0)"
+
+
+def _sparse_label(spark, sf_dir) -> SeriesStore:
+    """A half archived store in which one label value occurs on every third day only."""
+    return _half_archived(spark, sf_dir, lambda rows: rows.filter(
+        (F.col("labels")["shard"] != "3") | (F.dayofmonth("day") % 3 == 0)
+    ))
+
+
+@query("archive_read_labels", views=v.V_SAMPLES, sql=f"""
+SELECT time, metric_id, labels_key, round(value + 1e-9, 6) AS value FROM v_samples
+WHERE metric_id = 'view' AND day < DATE '2024-01-11' AND shard = '3' AND band = 'low' AND {_SPARSE}""")
+def archive_read_labels(spark, sf_dir):
+    """An archive read by labels; it opens the files of every third day."""
+    found = _sparse_label(spark, sf_dir).read_archive("view", v.START, v.AS_OF, {"shard": "3", "band": "low"})
+    return v.tidy(found.select(*KEY_VALUE))
+
+
+@query("archive_label_days", views=v.V_SAMPLES, sql=f"""
+SELECT metric_id, CAST(day AS DATE) AS day FROM v_samples WHERE day < DATE '2024-01-11' AND {_SPARSE}
+GROUP BY 1, 2 HAVING bool_or(shard = '3') AND bool_or(band = 'low')""")
+def archive_label_days(spark, sf_dir):
+    """The archived (metric, day) files that such a read of any metric would open."""
+    store = _sparse_label(spark, sf_dir)
+    return postings.days_with(store.manifest(), store.postings(), {"shard": "3", "band": "low"}).select("metric_id", "day")
+
+
 @query("unified_statistics", views=v.V_SAMPLES, sql=f"""
 SELECT round(avg(value) + 1e-9, 4) AS avg, round(sum(value), 2) AS sum, min(value) AS min,
        max(value) AS max, count(*) AS count, round(quantile_cont(value, 0.5) + 1e-9, 6) AS p50,
@@ -394,6 +422,26 @@ def manifest_for_ranges(spark, sf_dir):
     )
 
 
+@query("manifest_for_long_ranges", views=V_MANIFEST, sql="""
+SELECT e.event_id AS query_id, count(*) AS files, CAST(sum(m.row_count) AS BIGINT) AS row_count
+FROM events e JOIN v_manifest m ON m.metric_id = e.event_type
+  AND m.start_time <= e.ts + to_hours(e.event_id % 90000) AND m.end_time >= e.ts - to_hours(e.event_id % 70000)
+GROUP BY 1""")
+def manifest_for_long_ranges(spark, sf_dir):
+    """One range per event, from hours to eighteen years long."""
+    span = F.col("arrival") % 70_000, F.col("arrival") % 90_000
+    start, end = (
+        F.timestamp_micros(F.unix_micros("time") + sign * hours * 3_600_000_000) for sign, hours in zip((-1, 1), span)
+    )
+    ranges = v.samples(spark, sf_dir).select(
+        F.col("arrival").alias("query_id"), "metric_id", start.alias("start"), end.alias("end")
+    )
+    found = archive.manifest_for_ranges(_old_manifest(spark, sf_dir), ranges)
+    return found.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("row_count").alias("row_count")
+    )
+
+
 @query("purge_manifest", views=V_MANIFEST, sql=f"""
 SELECT {_MANIFEST} FROM v_manifest WHERE start_time + INTERVAL 20 DAY >= TIMESTAMP '2024-01-26'""")
 def purge_manifest(spark, sf_dir):
@@ -501,21 +549,25 @@ def _sample_json() -> F.Column:
 
 
 @query("read_ndjson", views=v.V_DIRTY, sql="""
-SELECT CASE WHEN kind = 39 THEN '{"name": "' || event_type ELSE name END AS name,
+SELECT row_number() OVER (PARTITION BY idx % 4 ORDER BY idx) - 1 AS idx,
+       CASE WHEN kind = 39 THEN '{"name": "' || event_type ELSE name END AS name,
        CASE WHEN kind < 39 THEN time END AS timestamp,
        CASE WHEN kind < 39 AND NOT isnan(value) AND NOT isinf(value) THEN round(value, 6) END AS value,
        CASE WHEN kind = 39 THEN 'malformed' END AS problem
 FROM v_dirty""")
 def read_ndjson(spark, sf_dir):
+    """Four files of lines, each line with its position in its file."""
     path = scratch_path(spark, "ndjson")
     rows = v.dirty_samples(spark, sf_dir)
     broken = F.concat(F.lit('{"name": "'), "name")
     line = F.when(F.col("idx") % 40 == 39, broken).otherwise(F.to_json(_sample_json()))
-    rows.select(line.alias("line")).write.text(path)
+    lines = rows.select(line.alias("line"), (F.col("idx") % 4).alias("part"), "idx")
+    lines = lines.repartition("part").sortWithinPartitions("part", "idx").drop("idx")
+    lines.write.partitionBy("part").text(path)
     back = read_samples_ndjson(spark, path)
     finite = ~F.isnan("value") & (F.abs("value") != float("inf"))
     return v.tidy(back.select(
-        "name", "timestamp", F.when(finite, F.col("value")).alias("value"), "problem"
+        "idx", "name", "timestamp", F.when(finite, F.col("value")).alias("value"), "problem"
     ))
 
 

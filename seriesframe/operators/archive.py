@@ -84,23 +84,55 @@ def manifest_overlap(manifest: DataFrame, metric_id: str, start, end) -> DataFra
     return manifest.filter((F.col("metric_id") == metric_id) & days & touching).orderBy("start_time")
 
 
-def manifest_for_ranges(manifest: DataFrame, ranges: DataFrame, max_days: int = 90) -> DataFrame:
-    """Manifest rows touching any of many ranges ``query_id, metric_id, start, end``.
+# Days are numbered from here, so that none of the calendar is negative.
+_DAY_ZERO = 1 << 20
 
-    A range longer than ``max_days`` fails the job.
 
-    A manifest row covers one day, so each range is unfolded into its days (their number is
-    bounded by the range limit) and joined on (metric, day): an equi-join instead of a range
-    join. The day before is added because a file's end touches the next midnight.
+def _day_number(time: Column) -> Column:
+    return F.unix_date(F.to_date(time)) + _DAY_ZERO
+
+
+def dyadic_cover(first: Column, last: Column, levels: int) -> Column:
+    """The fewest aligned blocks of 1, 2, 4, ... days that tile the days ``first`` to ``last``.
+
+    An array of (level, block): block b of level k holds the days b * 2^k up to (b + 1) * 2^k - 1.
+    There are at most two of each level.
+    """
+    def of_level(level: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1), level.cast("int"))
+        low = F.floor((first + size - 1) / size).cast("int")
+        high = F.floor((last + 1) / size).cast("int")
+        inside = low < high
+
+        def block(number: Column) -> Column:
+            return F.struct(level.cast("int").alias("level"), number.cast("int").alias("block"))
+
+        return F.array(F.when(inside & (low % 2 == 1), block(low)), F.when(inside & (high % 2 == 1), block(high - 1)))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), of_level)))
+
+
+def manifest_for_ranges(manifest: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Manifest rows touching any of many ranges ``query_id, metric_id, start, end``, of any length.
+
+    A manifest row covers one day. A range is cut into aligned blocks of days, at most two of each
+    power of two, and a manifest row is a key of the one block per level that its day lies in. So an
+    equi-join finds each pair once, and rows grow with the logarithm of a range's length. The
+    day before is added because a file's end touches the next midnight. Looks at the longest
+    range first, since that gives the number of levels.
     """
-    length = F.unix_micros(F.col("end").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))
-    checked = F.when(length <= max_days * 86_400_000_000, F.col("end")).otherwise(
-        F.raise_error(F.lit(f"a range is longer than {max_days} days"))
+    days = ranges.withColumns({
+        "first_day": _day_number(F.col("start")) - 1, "last_day": _day_number(F.col("end")),
+    })
+    longest = days.agg(F.max(F.col("last_day") - F.col("first_day"))).first()[0] or 0
+    levels = max(0, longest + 1).bit_length()
+    blocks = days.withColumn("at", F.explode(dyadic_cover(F.col("first_day"), F.col("last_day"), levels)))
+    blocks = blocks.select(*ranges.columns, "at.level", "at.block")
+    level = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
+    keyed = manifest.select("*", level).withColumn(
+        "block", F.call_function("shiftright", _day_number(F.col("day")), F.col("level"))
     )
-    days = ranges.withColumn("end", checked).withColumn("day", F.explode(F.sequence(
-        F.date_sub(F.to_date("start"), 1), F.to_date("end")
-    )))
-    return days.join(manifest, METRIC_DAY).filter(
+    return blocks.join(keyed, ["metric_id", "level", "block"]).drop("level", "block").filter(
         (F.col("start_time") <= F.col("end")) & (F.col("end_time") >= F.col("start"))
     )
 

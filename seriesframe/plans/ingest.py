@@ -86,7 +86,8 @@ def validate_batch(
             "reason", validation.schema_problem(settings), validation.cardinality_problem(settings)
         ).isNull()
         rows = cardinality.mark_series_limit(
-            rows, stored, as_of, settings.cardinality, order="idx", eligible=eligible
+            rows, stored, as_of, settings.cardinality,
+            order="arrival" if "arrival" in incoming.columns else "idx", eligible=eligible,
         )
         full, series = F.col("over_limit"), F.col("series")
     rows = rows.withColumn("reason", F.coalesce(

@@ -14,7 +14,8 @@ from seriesframe.config import Settings
 from seriesframe.functions.labels import from_key, literal_map
 from seriesframe.functions.times import day_of, utc, utc_day
 from seriesframe.operators import (
-    aggregates, archive, cardinality, catalog, changes, counters, lifecycle, rollups, upsert,
+    aggregates, archive, cardinality, catalog, changes, counters, lifecycle, postings, rollups,
+    upsert,
 )
 from seriesframe.operators.filters import (
     check_range, default_range, filter_labels, filter_metric, filter_time,
@@ -23,7 +24,7 @@ from seriesframe.plans import request as queries
 from seriesframe.plans.ingest import Ingested, batch_rows, validate_batch
 from seriesframe.plans.request import Aggregation, QueryRequest
 from seriesframe.schema import (
-    INCOMING, LABELS_INDEX, MANIFEST, METRIC_LABELS, METRICS, ROLLUP, RUNS, SAMPLES,
+    INCOMING, LABELS_INDEX, MANIFEST, METRIC_LABELS, METRICS, POSTINGS, ROLLUP, RUNS, SAMPLES,
     SERIES_SEEN,
 )
 from seriesframe.session import configure, scratch
@@ -92,6 +93,9 @@ class SeriesStore:
     def labels_index(self) -> DataFrame:
         return self._read("labels_index", LABELS_INDEX)
 
+    def postings(self) -> DataFrame:
+        return self._read("postings", POSTINGS)
+
     def runs(self) -> DataFrame:
         return self._read("runs", RUNS)
 
@@ -132,7 +136,7 @@ class SeriesStore:
         cold_days = {d for d in tables.days_of(self.spark, self.path("manifest")) if first <= d <= last}
         if not cold_days:
             return hot
-        cold = filter_labels(self.read_archive(metric_id, start, end), labels)
+        cold = self.read_archive(metric_id, start, end, labels)
         return archive.unified_scan(hot, cold, cold_days & self._hot_days())
 
     def _hot_days(self) -> set[date]:
@@ -501,6 +505,9 @@ class SeriesStore:
             other.select(*LABELS_INDEX.names).unionByName(index), self.path("labels_index"),
             tables.keyed("day", "metric_id"),
         )
+        tables.replace_table(
+            postings.merge_postings(self.postings(), postings.label_postings(index)), self.path("postings")
+        )
         # The manifest follows from the index, which has a row per series and not per sample.
         index = tables.in_days(self.labels_index(), days).join(pairs, key, "left_semi")
         sizes = archive_files.folder_sizes(self.spark, self.path("archive"), base, days)
@@ -511,9 +518,9 @@ class SeriesStore:
             self.path("manifest"), tables.keyed("day"),
         )
 
-    def read_archive(self, metric_id: str, start, end) -> DataFrame:
+    def read_archive(self, metric_id: str, start, end, labels: Mapping[str, str] | None = None) -> DataFrame:
         return archive_files.read_archive(
-            self.spark, self.path("archive"), self.manifest(), metric_id, start, end
+            self.spark, self.path("archive"), self.manifest(), metric_id, start, end, labels, self.postings()
         )
 
     def unified_samples(self, name: str, start, end, labels=None) -> DataFrame:

@@ -41,6 +41,8 @@ MANIFEST = _struct(
     compression_ratio=T.DecimalType(5, 4), series_count=_L, created_at=_TS,
 )
 LABELS_INDEX = _struct(metric_id=_S, day=_DATE, labels_key=_S, row_count=_L)
+# Bitmaps over day numbers: the archived days of a metric that hold a label pair.
+POSTINGS = _struct(metric_id=_S, label_key=_S, label_value=_S, bucket=_L, bitmap=T.BinaryType())
 RUNS = _struct(
     id=_S, job_type=_S, status=_S, start_time=_TS, end_time=_TS, metrics_processed=_I,
     rows_migrated=_L, error_message=_S, created_at=_TS, updated_at=_TS,

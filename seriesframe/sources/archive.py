@@ -6,7 +6,7 @@ archive grows, and a metric query opens just the folders its manifest rows name.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from seriesframe.functions.labels import from_key
 from seriesframe.operators.archive import manifest_overlap
-from seriesframe.operators.filters import filter_time
+from seriesframe.operators.filters import filter_labels, filter_time
+from seriesframe.operators.postings import days_with
 from seriesframe.schema import ARCHIVE_JSON, SAMPLES
 from seriesframe.sources.files import exists, names
 from seriesframe.sources.tables import balanced
@@ -101,15 +102,20 @@ def read_archive_days(
 
 
 def read_archive(
-    spark: SparkSession, root: str, manifest: DataFrame, metric_id: str, start, end
+    spark: SparkSession, root: str, manifest: DataFrame, metric_id: str, start, end,
+    labels: Mapping[str, str] | None = None, postings: DataFrame | None = None,
 ) -> DataFrame:
-    """Archived samples of a metric in [start, end], found through the manifest.
+    """Archived samples of a metric in [start, end] with these labels, found through the manifest.
 
-    Only the folder names of one metric reach the driver: one per day of the range.
+    With ``postings`` only the files of days that hold every label pair are opened. Only the
+    folder names of one metric reach the driver: one per day of the range.
     """
-    found = manifest_overlap(manifest, metric_id, start, end).select("storage_path").collect()
-    whole = _read_all(spark, root, [row["storage_path"] for row in found]).select(*SAMPLES.names)
-    return filter_time(whole.filter(F.col("metric_id") == metric_id), start, end)
+    found = manifest_overlap(manifest, metric_id, start, end)
+    if postings is not None:
+        found = days_with(found, postings.filter(F.col("metric_id") == metric_id), labels)
+    paths = [row["storage_path"] for row in found.select("storage_path").collect()]
+    whole = _read_all(spark, root, paths).select(*SAMPLES.names)
+    return filter_labels(filter_time(whole.filter(F.col("metric_id") == metric_id), start, end), labels)
 
 
 def folder_sizes(spark: SparkSession, root: str, base: str, days: Iterable[date]) -> DataFrame:

@@ -7,12 +7,14 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 from seriesframe.functions.labels import distinct_labels
 from seriesframe.functions.times import day_of, parse_iso
 from seriesframe.operators.filters import filter_labels, filter_metric, filter_time
 from seriesframe.operators.validation import is_blank
 from seriesframe.schema import BATCH_REQUEST, SAMPLE_REQUEST, SAMPLES
+from seriesframe.session import materialize
 from seriesframe.sources.tables import read_table
 
 CORRUPT = "_corrupt"
@@ -95,10 +97,37 @@ def ndjson_schema() -> StructType:
     return _with_corrupt(SAMPLE_REQUEST)
 
 
+def number_lines(rows: DataFrame) -> DataFrame:
+    """``rows`` of a scan of files, with ``idx``: the position of a row in its file, from 0.
+
+    Rows of a file split stand in one task, in order. A first pass counts the rows of every split, and
+    a row's position is its place in the split after those of the splits before it: one small
+    row per split is all that is gathered. Both passes must see the same splits, as they do
+    while the session's settings and its cores stay; if not, the job fails.
+    """
+    split = [F.col("_metadata.file_path").alias("split_file"), F.col("_metadata.file_block_start").alias("split_start")]
+    placed = rows.select("*", *split, F.monotonically_increasing_id().alias("split_place"))
+    counts = placed.groupBy("split_file", "split_start").agg(
+        F.count("*").alias("split_rows"), F.min("split_place").alias("split_first")
+    )
+    counts = materialize(counts, "line-counts")
+    earlier = Window.partitionBy("split_file").orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(
+        "split_file", "split_start",
+        (F.coalesce(F.sum("split_rows").over(earlier), F.lit(0)) - F.col("split_first")).alias("split_base"),
+    )
+    found = placed.join(bases, ["split_file", "split_start"], "left")
+    idx = F.coalesce(
+        F.col("split_base") + F.col("split_place"),
+        F.raise_error(F.lit("the files were split otherwise than when their lines were counted")).cast("long"),
+    )
+    return found.withColumn("idx", idx).drop("split_file", "split_start", "split_place", "split_base")
+
+
 def read_samples_ndjson(spark: SparkSession, path: str) -> DataFrame:
-    """One sample per line."""
+    """One sample per line; ``idx`` is the line's position in its file, blank lines not counted."""
     raw = spark.read.schema(ndjson_schema()).option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    return ndjson_rows(raw)
+    return number_lines(ndjson_rows(raw).drop("idx"))
 
 
 def scan_samples(
