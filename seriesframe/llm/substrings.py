@@ -185,7 +185,7 @@ def _anchors(texts: DataFrame, window: int, anchor: int) -> DataFrame:
     def find(batches):
         hashes = _WordHashes()
         for rows, own in text_chunks(batches):
-            if len(hashes) > 1_000_000:
+            if len(hashes) > 200_000:
                 hashes.clear()
             words = [words_of(t) for t in own]
             numbers = np.array([h for w in words for h in map(hashes.__getitem__, w)], np.uint64)
@@ -206,12 +206,11 @@ def _anchors(texts: DataFrame, window: int, anchor: int) -> DataFrame:
     )
 
 
-_SEGMENT = "owner long, text_key long, start int, windows int, before int, low int, high int, key long, content binary"
+_SEGMENT = "owner long, text_key long, start int, windows int, before int, key long, content binary"
 
 
-def _cut_out(marked: DataFrame, window: int, anchor: int) -> DataFrame:
+def _cut_out(marked: DataFrame, window: int) -> DataFrame:
     """The segments of ``marked`` texts with their words."""
-    names = [part.split()[0] for part in _SEGMENT.split(", ")]
 
     def cut(batches):
         for rows, own in text_chunks(batches):
@@ -221,16 +220,19 @@ def _cut_out(marked: DataFrame, window: int, anchor: int) -> DataFrame:
                 words = words_of(text)
                 for m in marks:
                     content = b" ".join(words[m["start"] : m["start"] + m["windows"] + window - 1])
-                    made.append((owner, text_key, m["start"], m["windows"], m["before"], 0, window - anchor, m["key"], content))
-            yield _batch(made, names)
+                    made.append((owner, text_key, m["start"], m["windows"], m["before"], m["key"], content))
+            yield _batch(made, _SEGMENT)
 
     return map_arrow(marked, cut, _SEGMENT)
 
 
-def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.int64(), pa.binary()]
-    columns = list(zip(*rows)) or [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [part.split() for part in schema.split(", ")]
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields]
+    )
 
 
 def halves(
@@ -250,47 +252,65 @@ def halves(
     return made
 
 
-def _refine(segments: DataFrame, window: int) -> DataFrame:
-    names = [part.split()[0] for part in _SEGMENT.split(", ")]
+def _content_key() -> Column:
+    return F.xxhash64("content").alias("content_key")
+
+
+_PIECE = (
+    "root_key long, root_content long, shift int, windows int, before int, low int, high int, first long, "
+    "last long, key long, content binary"
+)
+
+
+def _refine(pieces: DataFrame, window: int) -> DataFrame:
+    """The two parts of every piece."""
 
     def split(batches):
         for batch in batches:
             made = []
             for r in batch.to_pylist():
                 parts = halves(r["content"].split(), r["windows"], r["before"], r["low"], r["high"], window)
-                for first, windows, before, low, high, key, content in parts:
-                    made.append((r["owner"], r["text_key"], r["start"] + first, windows, before, low, high, key, content))
-            yield _batch(made, names)
-
-    return map_arrow(segments.select(*names), split, _SEGMENT)
+                made += (
+                    (r["root_key"], r["root_content"], r["shift"] + first, windows, before, low, high, r["first"],
+                     r["last"], key, content)
+                    for first, windows, before, low, high, key, content in parts
+                )
+            yield _batch(made, _PIECE)
 
+    return map_arrow(pieces.select(*(part.split()[0] for part in _PIECE.split(", "))), split, _PIECE)
 
-def _content_key() -> Column:
-    return F.xxhash64("content").alias("content_key")
 
+def _bounded(segments: DataFrame, window: int, anchor: int, key_words: int) -> tuple[DataFrame, DataFrame]:
+    """(contents, places): distinct contents (key, content, first and last owner, words), refined until
+    no key has more than ``key_words`` words, and where each stands in which distinct segments.
 
-def _contents(segments: DataFrame, window: int) -> DataFrame:
-    """Each distinct segment once: key, content, its smallest and largest owner, and its words."""
-    return segments.groupBy("key", "content").agg(
-        F.min("owner").alias("first"), F.max("owner").alias("last"),
-        (F.max("windows") + (window - 1)).cast("long").alias("words"),
-    )
-
-
-def _bounded(segments: DataFrame, window: int, key_words: int) -> tuple[DataFrame, DataFrame]:
-    """(segments, their distinct contents), refined until no key has more than ``key_words`` words."""
-    settled, contents = [], []
+    Each distinct segment is refined once, however many documents hold it.
+    """
+    once = segments.groupBy("key", "content").agg(
+        F.min("owner").alias("first"), F.max("owner").alias("last"), F.max("windows").alias("windows"),
+        F.max("before").alias("before"),
+    ).withColumns({
+        "root_key": F.col("key"), "root_content": F.xxhash64("content"), "shift": F.lit(0), "low": F.lit(0),
+        "high": F.lit(window - anchor),
+    })
+    pieces = materialize(once, "pieces")
+    key_words = max(key_words, window)  # a single window is not refined
+    contents, places = [], []
     while True:
-        distinct = materialize(_contents(segments, window), "contents")
+        distinct = pieces.groupBy("key", "content").agg(
+            F.min("first").alias("first"), F.max("last").alias("last"),
+            (F.max("windows") + (window - 1)).cast("long").alias("words"),
+        )
+        distinct = materialize(distinct, "contents") if contents else pieces.select(
+            "key", "content", "first", "last", (F.col("windows") + (window - 1)).cast("long").alias("words")
+        )
         hot = distinct.groupBy("key").agg(F.sum("words").alias("all")).filter(F.col("all") > key_words)
         hot = materialize(hot.select("key"), "hot-keys")
+        contents.append(distinct.join(hot, "key", "left_anti"))
+        places.append(pieces.join(hot, "key", "left_anti"))
         if hot.isEmpty():
-            settled.append(segments)
-            contents.append(distinct)
             break
-        settled.append(segments.join(hot, "key", "left_anti"))
-        contents.append(distinct.join(hot, "key", "left_anti"))
-        segments = materialize(_refine(segments.join(hot, "key", "left_semi"), window), "segments")
+        pieces = materialize(_refine(pieces.join(hot, "key", "left_semi"), window), "pieces")
 
     def every(frames: list[DataFrame]) -> DataFrame:
         out = frames[0]
@@ -298,7 +318,8 @@ def _bounded(segments: DataFrame, window: int, key_words: int) -> tuple[DataFram
             out = out.unionByName(frame)
         return out
 
-    return every(settled), every(contents)
+    names = ["root_key", "root_content", "shift", "key", _content_key()]
+    return every(contents), every([p.select(*names) for p in places])
 
 
 def _search(contents: DataFrame, window: int, shard_words: int) -> DataFrame:
@@ -306,31 +327,26 @@ def _search(contents: DataFrame, window: int, shard_words: int) -> DataFrame:
     document ``first``, for spans that matter to some owner of the content."""
     total = contents.agg(F.sum("words")).first()[0] or 0
     shards = max(1, -(-total // shard_words))
+    schema = "key long, content_key long, begin int, end int, first long"
     rows = contents.select(
         F.pmod(F.xxhash64("key", F.lit(1)), F.lit(shards)).alias("shard"), "key", "content", _content_key(), "first", "last"
     )
-    names = ["key", "content_key", "begin", "end", "first"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
 
     def report(table: pa.Table) -> pa.Table:
         texts = [c.split() for c in table.column("content").to_pylist()]
         owners, last = table.column("first").to_numpy(), table.column("last").to_numpy()
+        keys, content_keys = table.column("key").to_numpy(), table.column("content_key").to_numpy()
         made = []
         for row, firsts in enumerate(matches(texts, owners, window)):
             cuts = [0, *(np.flatnonzero(np.diff(firsts)) + 1).tolist(), len(firsts)]
             made += (
-                (row, begin, end + window - 1, firsts[begin])
+                (keys[row], content_keys[row], begin, end + window - 1, firsts[begin])
                 for begin, end in zip(cuts, cuts[1:]) if firsts[begin] < last[row]
             )
-        row, *rest = list(zip(*made)) or [()] * 4
-        took = pa.array(row, pa.int64())
-        columns = [table.column("key").take(took), table.column("content_key").take(took), *rest]
-        return pa.table([c if k == pa.int64() and i < 2 else pa.array(c, k) for i, (c, k) in enumerate(zip(columns, kinds))], names)
+        return pa.Table.from_batches([_batch(made, schema)])
 
     ship(contents.sparkSession)
-    return rows.groupBy("shard").applyInArrow(
-        report, "key long, content_key long, begin int, end int, first long"
-    )
+    return rows.groupBy("shard").applyInArrow(report, schema)
 
 
 def repeats(
@@ -360,13 +376,20 @@ def repeats(
         "marks",
     )
     marked = among(texts.drop("doc_id"), marks, "text_key").join(marks, ["owner", "text_key"])
-    segments = materialize(_cut_out(marked.select("owner", "text_key", "text", "marks"), window, anchor), "segments")
-    segments, contents = _bounded(segments, window, key_words)
-    spans = materialize(_search(contents, window, shard_words), "spans")
-    places = segments.select("owner", "text_key", "start", "key", _content_key())
-    gone = places.join(spans, ["key", "content_key"]).filter(F.col("first") < F.col("owner")).groupBy(
-        "owner", "text_key"
-    ).agg(F.collect_set(F.struct((F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("end")).alias("end"))).alias("gone"))
+    segments = materialize(_cut_out(marked.select("owner", "text_key", "text", "marks"), window), "segments")
+    contents, places = _bounded(segments, window, anchor, key_words)
+    found_in = materialize(_search(contents, window, shard_words), "spans").join(places, ["key", "content_key"])
+    spans = materialize(
+        found_in.select(
+            F.col("root_key").alias("key"), F.col("root_content").alias("content_key"), "first",
+            (F.col("shift") + F.col("begin")).alias("begin"), (F.col("shift") + F.col("end")).alias("end"),
+        ),
+        "segment-spans",
+    )
+    held = segments.select("owner", "text_key", "start", "key", _content_key())
+    span = F.struct((F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("end")).alias("end"))
+    gone = held.join(spans, ["key", "content_key"]).filter(F.col("first") < F.col("owner"))
+    gone = gone.groupBy("owner", "text_key").agg(F.collect_set(span).alias("gone"))
     return texts.join(materialize(gone, "gone"), ["owner", "text_key"], "left").select("doc_id", "text", "gone")
 
 
