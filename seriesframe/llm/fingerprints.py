@@ -11,18 +11,19 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NumericType
 
-from seriesframe.llm.arrow import map_arrow, ship, text_chunks, texts_of
+from seriesframe.llm.arrow import map_arrow, text_chunks, texts_of
 
 SAMPLES = 64
-_MOST_TERMS = 150_000
+# Terms whose draws are kept, and terms that are looked up at once.
+_MOST_TERMS, _TOGETHER = 120_000, 20_000
+_MOST_RUNS = 10_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -54,43 +55,69 @@ def _variates(terms: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray,
 
 
 class Sampler:
-    """Signatures of bags of terms; a term's variates are drawn once per call."""
+    """Signatures of bags of terms; what a term and its count come to is computed once and kept."""
 
     def __init__(self, samples: int = SAMPLES):
         self.samples = samples
-        self.names: dict[str, int] = {}
+        self.index: dict[tuple[str, int], int] = {}
+        self.early = np.empty((0, samples), np.float32)
+        self.marks = np.empty((0, samples), np.uint32)
 
     def term(self, word: str) -> int:
         data = word.encode("utf-8", "surrogatepass")
         return zlib.crc32(data) | (zlib.adler32(data[::-1]) ^ len(data) * 0x9E3779B1 & 0xFFFFFFFF) << 32
 
-    def signatures(self, bags: list[Counter]) -> np.ndarray:
-        """One row of 32-bit samples per bag; an empty bag has all zeros."""
-        out = np.zeros((len(bags), self.samples), np.uint32)
-        index: dict[tuple[str, int], int] = {}
-        at = [[index.setdefault(pair, len(index)) for pair in bag.items()] for bag in bags]
-        if len(index) > _MOST_TERMS and len(bags) > 1:
-            middle = len(bags) // 2
-            return np.concatenate([self.signatures(bags[:middle]), self.signatures(bags[middle:])])
-        if not index:
-            return out
-        terms = np.array([self.term(word) for word, _ in index], np.uint64)
-        logs = np.log(np.array([n for _, n in index], np.float32))
-        early = np.empty((len(index), self.samples), np.float32)
-        marks = np.empty((len(index), self.samples), np.uint32)
-        for lo in range(0, len(index), 4096):
-            hi = lo + 4096
+    def _places(self, bags: list[list[tuple[str, int]]]) -> list[np.ndarray]:
+        """Rows of the terms of each bag in ``early`` and ``marks``, new terms added."""
+        index, known = self.index, len(self.index)
+        at = [np.array([index.setdefault(pair, len(index)) for pair in bag], np.int64) for bag in bags]
+        if len(index) > len(self.early):
+            for name in ("early", "marks"):
+                old = getattr(self, name)
+                new = np.empty((max(len(index), 2 * len(old)), self.samples), old.dtype)
+                new[:known] = old[:known]
+                setattr(self, name, new)
+        pairs = list(index)[known:]
+        terms = np.array([self.term(word) for word, _ in pairs], np.uint64)
+        logs = np.log(np.array([n for _, n in pairs], np.float32))
+        for lo in range(0, len(pairs), 4096):
+            hi = min(lo + 4096, len(pairs))
             r, log_c, beta = _variates(terms[lo:hi], self.samples)
             level = np.floor(logs[lo:hi, None] / r + beta)
-            early[lo:hi] = log_c - r * (level - beta) - r
-            marks[lo:hi] = _mixed(
+            self.early[known + lo : known + hi] = log_c - r * (level - beta) - r
+            self.marks[known + lo : known + hi] = _mixed(
                 terms[lo:hi, None] + level.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             ) >> np.uint64(32)
+        return at
+
+    def signatures(self, bags: list[Counter]) -> np.ndarray:
+        """One row of 32-bit samples per bag; an empty bag has all zeros.
+
+        Bags share their terms' draws, some bags at a time; a bag of very many terms is taken in parts.
+        """
+        out = np.zeros((len(bags), self.samples), np.uint32)
+        first = np.full((len(bags), self.samples), np.inf, np.float32)
         columns = np.arange(self.samples)
-        for row, own in zip(out, at):
-            if own:
-                own = np.array(own)
-                row[:] = marks[own[early[own].argmin(0)], columns]
+        group: list[tuple[int, list]] = []
+
+        def take() -> None:
+            if len(self.index) + sum(len(pairs) for _, pairs in group) > _MOST_TERMS:
+                self.index.clear()
+            for (row, _), own in zip(group, self._places([pairs for _, pairs in group])):
+                early = self.early[own]
+                best = early.argmin(0)
+                least = early[best, columns]
+                won = least < first[row]
+                first[row, won], out[row, won] = least[won], self.marks[own[best], columns][won]
+            group.clear()
+
+        for row, bag in enumerate(bags):
+            pairs = list(bag.items())
+            for at in range(0, len(pairs), _TOGETHER):
+                group.append((row, pairs[at : at + _TOGETHER]))
+                if sum(len(own) for _, own in group) >= _TOGETHER:
+                    take()
+        take()
         return out
 
 
@@ -125,56 +152,84 @@ def to_text(signature: np.ndarray) -> str:
     return signature.astype(">u4").tobytes().hex()
 
 
-@dataclass(frozen=True)
-class _Runs:
-    """Cuts of the ids into runs, highest ids first, and the highest id of each run."""
+def _constant(values: list, kind: str) -> Column:
+    """An array literal of any length."""
+    return F.filter(F.split(F.lit(" ".join(map(repr, values))), " "), lambda v: v != "").cast(f"array<{kind}>")
 
-    bounds: np.ndarray
-    tops: np.ndarray
 
-    def of(self, order: np.ndarray) -> np.ndarray:
-        return len(self.bounds) - np.searchsorted(self.bounds, order, "right")
+def _place(bounds: Column, number: int, value: Column, equal: bool) -> Column:
+    """How many of the sorted ``bounds`` are smaller than ``value``, or not larger: a search by halves."""
 
+    def step(found: Column, more: Column) -> Column:
+        bound = F.get(bounds, found + more - 1)
+        return F.when(F.coalesce((bound <= value) if equal else (bound < value), F.lit(False)), found + more).otherwise(found)
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, chars_per_run: int = 8_000_000) -> DataFrame:
+    steps = [1 << k for k in range(number.bit_length() - 1, -1, -1)] or [1]
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
+
+
+def _head(text: Column) -> Column:
+    """The first bytes of a text as a number, in the order of the texts."""
+    return F.conv(F.rpad(F.hex(F.substring(text.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+
+
+def with_next(docs: DataFrame, id_col: str, text_col: str, chars_per_run: int = 2_000_000) -> DataFrame:
     """Rows dealt into runs of ids, so that the row after each row stands below it in its partition.
 
-    Columns: doc_id, text, run, place (0: a row of the run, 1: the first row of the run after it).
-    Order: highest id first, a null id last, rows of one id by text; the first row follows the
-    last. Runs are cut at quantiles of the ids: their number, and nothing else, is what
-    the driver holds, and no window or task spans the table.
+    Columns: doc_id, text, order, run, place (0: a row of the run, 1: the first row of the run after
+    it). Order: highest id first, in the id's own type, null ids last, rows of one id by text; the
+    first row follows the last. Runs are cut at quantiles of the ids; an id with very many
+    rows, or the rows without one, also at quantiles of the texts' first bytes. Their number,
+    at most ``_MOST_RUNS``, is what the driver holds, and no window or task spans the table.
     """
     texts = texts_of(docs, id_col, text_col)
-    texts = texts.withColumns({
-        "text": F.coalesce("text", F.lit("")),
-        "order": F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))),
+    kind = texts.schema["doc_id"].dataType
+    if isinstance(kind, IntegralType):
+        order, name, lowest = F.col("doc_id").cast("long"), "long", -(1 << 63)
+    elif isinstance(kind, NumericType):
+        order, name, lowest = F.col("doc_id").cast("double"), "double", float("-inf")
+    else:
+        order, name, lowest = _head(F.col("doc_id").cast("string")), "long", -(1 << 63)
+    texts = texts.withColumn("text", F.coalesce("text", F.lit(""))).withColumns({
+        "order": F.coalesce(order, F.lit(lowest)), "head": _head(F.col("text")),
     })
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    number = max(1, -(-chars // chars_per_run))
-    shares = [k / number for k in range(1, number)] or [0.5]
-    cuts = texts.agg(F.percentile_approx("order", shares, 10_000)).first()[0] or []
-    bounds = np.array(sorted(set(cuts)) if number > 1 else [])
-    plain = _Runs(bounds, np.zeros(0))
-
-    @F.pandas_udf("int")
-    def run_of(order: pd.Series) -> pd.Series:
-        return pd.Series(plain.of(order.to_numpy()))
+    number = int(min(_MOST_RUNS, max(1, -(-chars // chars_per_run))))
 
-    ship(docs.sparkSession)
-    found = texts.select("order", run_of("order").alias("run")).groupBy("run").agg(F.max("order").alias("top"))
-    tops = sorted((row["run"], row["top"]) for row in found.collect())
-    before = {run: tops[i - 1][0] for i, (run, _) in enumerate(tops)}
-    top_of = dict(tops)
+    def quantiles(rows: DataFrame, column: str, number: int) -> list:
+        shares = [k / number for k in range(1, number)]
+        return sorted((rows.agg(F.percentile_approx(column, shares, 10_000)).first()[0] if shares else None) or [])
 
-    @F.pandas_udf("array<int>")
-    def places(order: pd.Series) -> pd.Series:
-        """Its run and, for a run's highest id, the run before that one."""
-        runs = plain.of(order.to_numpy()).tolist()
-        return pd.Series([
-            [run, before[run]] if top_of[run] == value else [run] for run, value in zip(runs, order)
-        ])
-
-    return texts.select("doc_id", "text", "order", F.posexplode(places("order")).alias("place", "run"))
+    cuts = quantiles(texts, "order", number)
+    bounds = _constant(cuts, name)
+    texts = texts.withColumns({
+        "below": _place(bounds, len(cuts), F.col("order"), False), "upto": _place(bounds, len(cuts), F.col("order"), True)
+    })
+    # An id that is several quantiles has as many runs, if only rows of that id have its order.
+    several, part = F.lit(False), F.lit(0)
+    if isinstance(kind, NumericType) and len(set(cuts)) < len(cuts):
+        # The smallest id may share its order with rows without an id; it comes before them all.
+        alone = F.col("doc_id").isNull() | (F.col("order") != F.lit(lowest))
+        several = (F.col("upto") > F.col("below") + 1) & alone
+        heads = quantiles(texts.filter(several), "head", 256)
+        at = _place(_constant(heads, "long"), len(heads), F.col("head"), True)
+        part = F.floor(at * (F.col("upto") - F.col("below")) / F.lit(len(heads) + 1)).cast("int")
+    texts = texts.withColumn("run", F.lit(len(cuts)) - F.col("upto") + F.when(several, part).otherwise(F.lit(0)))
+    first = F.struct("order", F.col("doc_id").isNotNull().alias("known"), "doc_id", (-F.col("head")).alias("less"))
+    tops = texts.groupBy("run").agg(F.max(first).alias("top")).select("run", "top.doc_id", -F.col("top.less")).collect()
+    tops.sort(key=lambda row: row["run"])
+    before = [row["run"] for row in (tops[-1:] + tops[:-1])]
+    of_runs = docs.sparkSession.createDataFrame(
+        [(*row, last) for row, last in zip(tops, before)],
+        f"run int, top_id {kind.simpleString()}, top_head long, before int",
+    )
+    is_top = (F.col("head") == F.col("top_head")) & F.col("doc_id").eqNullSafe(F.col("top_id"))
+    own = F.struct(F.col("run").alias("run"), F.lit(0).alias("place"))
+    copy = F.struct(F.col("before").alias("run"), F.lit(1).alias("place"))
+    dealt = texts.join(F.broadcast(of_runs), "run").select(  # one row per run
+        "doc_id", "text", "order", F.explode(F.when(is_top, F.array(own, copy)).otherwise(F.array(own))).alias("at")
+    )
+    return dealt.select("doc_id", "text", "order", "at.run", "at.place")
 
 
 def compare_edited(
@@ -185,45 +240,45 @@ def compare_edited(
     Edited: the last half of the characters, rounded down, gives way to as many first characters
     of the next document, highest id first (all if it has fewer); the last one's next is the first.
     Columns: id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next.
-    A null text counts as empty; rows of one id follow each other by text.
+    A null text counts as empty; a null id comes last; rows of one id follow each other by text.
+    Repeated rows are rows each.
     """
     dealt = with_next(docs, id_col, text_col)
     kind = dealt.schema["doc_id"].dataType.simpleString()
     sorted_rows = dealt.repartition("run").sortWithinPartitions(
-        "run", "place", F.col("order").desc(), F.col("text")
+        "run", "place", F.col("order").desc(), F.col("doc_id").desc_nulls_last(), "text"
     ).select("doc_id", "text", "run", "place")
 
     def compare(batches):
         sampler = Sampler(samples)
-        held: list[tuple] = []
-
-        def done(rows):
-            """Every row but the last one, whose next row is not known yet."""
-            own = sampler.signatures([Counter(r[1].split()) for r in rows])
-            edited = []
-            for (_, text, *_), (_, after, *_) in zip(rows, rows[1:]):
-                half = len(text) // 2
-                edited.append(text[: len(text) - half] + after[:half])
-            changed = sampler.signatures([Counter(t.split()) for t in edited])
-            kept = [i for i in range(len(edited)) if rows[i][3] == 0]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([rows[i][0] for i in kept], id_type),
-                 pa.array([len(rows[i][1]) for i in kept], pa.int64()),
+        held = None  # the last row, whose next row was not known yet
+
+        def bag(text: str) -> Counter:
+            return Counter(text.split())
+
+        for rows, texts in text_chunks(batches):
+            own = list(zip(rows.column("doc_id").to_pylist(), texts, rows.column("place").to_pylist()))
+            met = ([held[0]] if held else []) + own
+            edited = [
+                text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+                for (_, text, _), (_, after, _) in zip(met, met[1:])
+            ]
+            made = sampler.signatures([bag(r[1]) for r in own] + [bag(t) for t in edited])
+            signed = np.concatenate([held[1][None], made[: len(own)]]) if held else made[: len(own)]
+            changed = made[len(own) :]
+            held = met[-1], signed[-1]
+            kept = [i for i in range(len(edited)) if met[i][2] == 0]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([met[i][0] for i in kept], rows.schema.field("doc_id").type),
+                 pa.array([len(met[i][1]) for i in kept], pa.int64()),
                  pa.array([edited[i] for i in kept], pa.string()),
-                 pa.array([to_text(own[i]) for i in kept], pa.string()),
+                 pa.array([to_text(signed[i]) for i in kept], pa.string()),
                  pa.array([to_text(changed[i]) for i in kept], pa.string()),
-                 pa.array([likeness(own[i], changed[i]) for i in kept], pa.float64()),
-                 pa.array([likeness(own[i], own[i + 1]) for i in kept], pa.float64())],
+                 pa.array([likeness(signed[i], changed[i]) for i in kept], pa.float64()),
+                 pa.array([likeness(signed[i], signed[i + 1]) for i in kept], pa.float64())],
                 names,
             )
 
-        for rows, texts in text_chunks(batches):
-            id_type = rows.schema.field("doc_id").type
-            held += zip(rows.column("doc_id").to_pylist(), texts, rows.column("run").to_pylist(), rows.column("place").to_pylist())
-            if len(held) > 1:
-                yield done(held)
-                held = held[-1:]
-
     names = ["doc_id", "n_chars", "edited_text", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     made = map_arrow(
         sorted_rows, compare,

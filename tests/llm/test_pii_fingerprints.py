@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from llm_helpers import documents
@@ -162,6 +163,31 @@ def test_edited_texts(spark):
     assert [(r.edited_text, r.near_next) for r in one] == [("a b a b", 1.0)]
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_next_document_of_odd_ids(spark, kind):
+    rng = random.Random(14)
+    ids = [2**60 + i for i in range(1, 9)] + [-(2**60), -3, 0, 2**63 - 1, -(2**63)] + [None] * 200 + [5] * 150
+    rows = [(i, "".join(rng.choices("aé\n b", k=rng.randint(0, 40)))) for i in ids]
+    rng.shuffle(rows)
+    docs = documents(spark, rows).repartition(5)
+    if kind == "string":
+        docs, rows = docs.withColumn("doc_id", F.col("doc_id").cast("string")), [(i if i is None else str(i), t) for i, t in rows]
+    # The order of the ids as such; rows of one id by text.
+    order = sorted(rows, key=lambda r: r[1])
+    order = sorted((r for r in order if r[0] is not None), key=lambda r: r[0], reverse=True) + [r for r in order if r[0] is None]
+    want = Counter()
+    for (doc_id, text), (_, after) in zip(order, [*order[1:], *order[:1]]):
+        want[doc_id, text[: len(text) - len(text) // 2] + after[: len(text) // 2]] += 1
+    original, fingerprints.with_next.__defaults__ = fingerprints.with_next.__defaults__, (200,)
+    try:
+        made = fingerprints.compare_edited(docs).collect()
+        runs = fingerprints.with_next(docs, "doc_id", "text").filter("doc_id IS NULL AND place = 0")
+        assert kind == "string" or runs.select("run").distinct().count() > 3
+    finally:
+        fingerprints.with_next.__defaults__ = original
+    assert Counter((r.doc_id, r.edited_text) for r in made) == want
+
+
 def test_fingerprint_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
