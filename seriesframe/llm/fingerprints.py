@@ -153,8 +153,10 @@ def to_text(signature: np.ndarray) -> str:
 
 
 def _constant(values: list, kind: str) -> Column:
-    """An array literal of any length."""
-    return F.filter(F.split(F.lit(" ".join(map(repr, values))), " "), lambda v: v != "").cast(f"array<{kind}>")
+    """An array literal of any length, which Spark evaluates once."""
+    if not values:
+        return F.array().cast(f"array<{kind}>")
+    return F.split(F.lit(" ".join(map(repr, values))), " ").cast(f"array<{kind}>")
 
 
 def _place(bounds: Column, number: int, value: Column, equal: bool) -> Column:
