@@ -25,7 +25,7 @@ from tokenizers import Tokenizer
 from seriesframe.llm.arrow import gather, map_arrow, text_chunks, texts_of
 
 BLOCK_CHARS = 32_000_000
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 200_000
 MARK = "￿"
 FIRST, ESCAPED = MARK + "0", MARK + "1"
 _SPACE_RUN = re.compile(r"\s ")

@@ -57,51 +57,71 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     return max(best, over_half, int((alone + paired + extra).max()))
 
 
+class Fillings(list):
+    """Fillings, best first; ``complete`` is false if the search for them was cut off."""
+
+    complete = True
+
+
+def _dominated(chosen: dict[int, int], waste: int, left_out: int) -> bool:
+    """True if a piece left out (a bit set of lengths) could replace some of the filling's, or none,
+    and fit: lengths that exceed a sum of chosen pieces by at most the waste."""
+    sums = 1
+    for size, times in chosen.items():
+        for _ in range(times):
+            sums |= sums << size
+    spread, width = sums << 1, 1
+    while width < waste:
+        more = min(width, waste - width)
+        spread, width = spread | spread << more, width + more
+    return bool(spread & left_out)
+
+
 def fillings(
     counts: np.ndarray, room: int, most: int, thrift: float = 0.0, tries: int = 600
-) -> list[dict[int, int]]:
+) -> Fillings:
     """Undominated fillings of ``room``, at most ``most`` of them, the best one first.
 
     Best is the least waste, with ``thrift`` tokens of waste taken for every piece saved.
 
     Lengths are tried from the longest down. A filling is dominated when a piece left out could
     take the place of some of its pieces, or of none, and still fit: the longer piece
-    in the sequence leaves the easier rest. Enough full fillings end the search.
+    in the sequence leaves the easier rest. Enough full fillings, or ``tries`` places tried, end
+    the search; the result is then marked as not complete.
     """
-    sizes = [int(s) for s in np.flatnonzero(counts[: room + 1])[::-1]]
+    lengths = np.flatnonzero(counts[: room + 1])
+    number = dict(zip(lengths.tolist(), counts[lengths].tolist()))
+    there = sum(1 << s for s in number)
     found: list[tuple[int, dict[int, int]]] = []
-    budget, full = [tries], [0]
+    chosen: dict[int, int] = {}
+    open_tries, full = tries, 0
 
-    def visit(at: int, left: int, chosen: dict[int, int]) -> None:
-        budget[0] -= 1
-        if budget[0] < 0 or full[0] >= 2 * most:
+    def visit(below: int, left: int) -> None:
+        """All ways to go on with lengths under ``below``."""
+        nonlocal open_tries, full
+        open_tries -= 1
+        if open_tries < 0 or full >= 2 * most:
             return
-        while at < len(sizes) and sizes[at] > left:
-            at += 1
-        if at == len(sizes):
-            if not dominated(chosen, left):
+        fitting = there & ((1 << min(below, left + 1)) - 1)
+        if not fitting:
+            used_up = sum(1 << s for s, k in chosen.items() if k == number[s])
+            if not left or not _dominated(chosen, left, there & ~used_up):
                 found.append((left, dict(chosen)))
-                full[0] += left == 0
+                full += not left
             return
-        for i in range(at, len(sizes)):
-            size = sizes[i]
-            for times in range(min(left // size, int(counts[size])), 0, -1):
+        while fitting and open_tries >= 0 and full < 2 * most:
+            size = fitting.bit_length() - 1
+            fitting ^= 1 << size
+            for times in range(min(left // size, number[size]), 0, -1):
                 chosen[size] = times
-                visit(i + 1, left - times * size, chosen)
+                visit(size, left - times * size)
                 del chosen[size]
 
-    def dominated(chosen: dict[int, int], waste: int) -> bool:
-        sums = {0}
-        for size, times in chosen.items():
-            for _ in range(times if waste and len(sizes) <= 200 else 0):
-                sums |= {s + size for s in sums}
-        return waste > 0 and any(
-            s < x <= s + waste for x in sizes if counts[x] > chosen.get(x, 0) for s in sums
-        )
-
-    visit(0, room, {})
+    visit(room + 1, room)
     found.sort(key=lambda f: (f[0] + thrift * sum(f[1].values()), sorted(-s for s in f[1])))
-    return [chosen for _, chosen in found[:most]] or [_best_fit(counts, room)]
+    made = Fillings([filling for _, filling in found[:most]] or [_best_fit(counts, room)])
+    made.complete = len(found) <= most and open_tries >= 0 and full < 2 * most
+    return made
 
 
 def _best_fit(counts: np.ndarray, room: int) -> dict[int, int]:
@@ -136,21 +156,23 @@ def best_fit_plan(counts: np.ndarray, capacity: int) -> list[Step]:
 
 
 def plan(
-    counts: np.ndarray, capacity: int, branches: int = 4, nodes: int = 1000, turns: int = 16
+    counts: np.ndarray, capacity: int, branches: int = 4, prices: tuple[float, ...] = (0.0, 1.5, 6.0),
+    nodes: int | None = None,
 ) -> list[Step]:
     """Steps that pack all pieces: bin completion, depth first, best filling first.
 
     Every level completes the sequence of the longest piece left, repeated while its pieces last.
     A branch ends when its sequences and the bound of the rest reach the incumbent. Since a
-    depth-first search only revises its last choices, it starts anew some ``turns``, each time with
-    another price for using up small pieces. ``nodes`` bounds each turn; what has been found is a
-    full packing at any time, and it is optimal where it meets the bound or a turn ran to its end.
+    depth-first search only revises its last choices, it starts anew with other ``prices`` for using
+    up small pieces. ``nodes`` bounds each start, by default a quarter more than the incumbent has
+    steps, and 200: enough to go down once and to revise. What has been found is a full packing
+    at any time, and it is optimal where it meets the bound or a start saw all its branches.
     """
     best = best_fit_plan(counts, capacity)
     target = lower_bound(counts, capacity)
-    for turn in range(turns):
-        found, complete = _search(counts, capacity, best, target, branches, nodes, 0.75 * turn)
-        best = found
+    for price in prices:
+        limit = nodes or len(best) * 5 // 4 + 200
+        best, complete = _search(counts, capacity, best, target, branches, limit, price)
         if complete or sum(s.times for s in best) <= target:
             break
     return best
@@ -168,7 +190,7 @@ def _search(
         rest[size] -= 1
         found = fillings(rest, capacity - size, branches + 1, thrift)
         rest[size] += 1
-        whole[0] &= len(found) <= branches
+        whole[0] &= found.complete and len(found) <= branches
         many = [(size, f, False) for f in found[:branches]]
         return many + [(size, f, True) for f in found[:branches] if _repeats(rest, size, f) > 1]
 
