@@ -288,23 +288,27 @@ def drop_repeated(
     repeats = classes.filter(~F.col("first")).groupBy("doc_id", "text_key").agg(
         F.collect_set("line_no").alias("gone")
     )
-    flags = F.array_sort("gone")
     repeats = materialize(
-        repeats.select(F.col("doc_id").alias("ld_id"), F.col("text_key").alias("ld_key"), flags.alias("ld_gone")),
-        "repeats",
+        repeats.select(F.col("doc_id").alias("of_id"), "text_key", F.array_sort("gone").alias("gone")), "repeats"
     )
-    marked = docs.join(
-        repeats, F.col(f"`{id_col}`").eqNullSafe(F.col("ld_id")) & (_text_key(text_col) == F.col("ld_key")), "left"
+    # Rows travel as one struct, so that their columns cannot clash with these.
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").alias("doc_id"),
+        _text_key(text_col).alias("text_key"), F.col(f"`{text_col}`").alias("text"),
     )
-    pieces = F.split(F.col(f"`{text_col}`").cast("string"), "\n")
+    marked = rows.join(
+        repeats.withColumnRenamed("text_key", "of_key"),
+        F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")), "left",
+    )
+    pieces = F.split(F.col("text").cast("string"), "\n")
     # Runs between dropped lines: linear in the lines, where a search per line would not be.
-    ends = F.concat(F.col("ld_gone"), F.array(F.size(pieces)))
-    begins = F.concat(F.array(F.lit(0)), F.transform("ld_gone", lambda g: g + 1))
+    ends = F.concat(F.col("gone"), F.array(F.size(pieces)))
+    begins = F.concat(F.array(F.lit(0)), F.transform("gone", lambda g: g + 1))
     runs = F.flatten(F.zip_with(begins, ends, lambda x, y: F.slice(pieces, x + 1, F.greatest(y - x, F.lit(0)))))
-    kept = F.when(F.col("ld_gone").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(runs, "\n"))
-    out = marked.withColumn("ld_text", kept).filter(
-        F.col("ld_gone").isNull() | (F.trim(F.regexp_replace("ld_text", r"\s+", " ")) != "")
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(runs, "\n"))
+    out = marked.withColumn("kept", kept).filter(
+        F.col("gone").isNull() | (F.trim(F.regexp_replace("kept", r"\s+", " ")) != "")
     )
     return out.select(*(
-        F.col("ld_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns
+        F.col("kept").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns
     ))

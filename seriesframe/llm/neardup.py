@@ -60,7 +60,7 @@ class Shingler:
         words = (text or "").split()
         if not words:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        if len(self.hashes) > 1_000_000:
+        if len(self.hashes) > 200_000:
             self.hashes.clear()
         numbers = np.array([*map(self.hashes.__getitem__, words)], np.uint64)
         size = min(self.words, len(numbers))
@@ -259,11 +259,15 @@ class _Links:
         return int(row[0] or 0), int(row[1] or 0)
 
     def star(self, turn: int) -> None:
-        """Test some members of each bucket against its members that are in other components."""
+        """Test some members of each bucket against its members that are in other components.
+
+        Hubs have the least hashes of their bucket, whatever the bucket, so texts that share many
+        buckets meet few different hubs in them.
+        """
         drawn = [
             F.min_by(
                 F.struct(F.col("node").alias("y"), F.col("label").alias("ly"), F.col("sketch").alias("sy")),
-                F.xxhash64("node", "bucket", F.lit(turn * HUBS + k)),
+                F.xxhash64("node", F.lit(turn * HUBS + k)),
             )
             for k in range(HUBS)
         ]
@@ -425,16 +429,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     ).filter("size > 1")
     several = classes.join(sizes, "label").groupBy("label", "node", "first").agg(F.lit(1))
     several = materialize(
-        several.select(F.col("node").alias("nd_node"), F.col("first.doc_id").alias("nd_id"), F.col("first.node").alias("nd_first")),
-        "several",
+        several.select("node", F.col("first.doc_id").alias("first_id"), F.col("first.node").alias("first_node")), "several"
     )
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
-    marked = docs.withColumn("nd_key", F.unhex(F.md5(text))).join(
-        several, F.col("nd_key") == F.col("nd_node"), "left"
+    # Rows travel as one struct, so that their columns cannot clash with these.
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.unhex(F.md5(text)).alias("node"),
+        F.col(f"`{id_col}`").alias("own_id"),
     )
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    alone = marked.filter("nd_node IS NULL").select(*columns)
-    firsts = marked.filter(
-        (F.col("nd_key") == F.col("nd_first")) & F.col(f"`{id_col}`").eqNullSafe(F.col("nd_id"))
-    ).dropDuplicates(["nd_first"]).select(*columns)
-    return alone.union(firsts)
+    marked = rows.join(several, "node", "left")
+    alone = marked.filter("first_node IS NULL").select("row.*")
+    firsts = marked.filter((F.col("node") == F.col("first_node")) & F.col("own_id").eqNullSafe(F.col("first_id")))
+    return alone.union(firsts.dropDuplicates(["first_node"]).select("row.*"))
