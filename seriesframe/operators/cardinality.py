@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seriesframe.config import CardinalityLimits
-from seriesframe.functions.times import day_of, ts_lit, utc
+from seriesframe.functions.times import day_of, time_bucket, ts_lit, utc
 from seriesframe.schema import SERIES
 from seriesframe.session import materialize
 
@@ -35,6 +35,20 @@ def cardinality(samples: DataFrame, as_of, hours: int = 24, approximate: bool =
     )
 
 
+def sliding_cardinality(samples: DataFrame, hours: int = 24) -> DataFrame:
+    """Exact series per metric for every window of whole hours that holds a sample.
+
+    Rows collapse to one per series and hour, then to one per series and window, before the count.
+    """
+    hour = F.unix_micros(time_bucket("time", 3_600))
+    ends = F.transform(
+        F.sequence(F.lit(1), F.lit(hours)), lambda k: F.timestamp_micros(F.col("hour") + k * F.lit(3_600_000_000))
+    )
+    seen = samples.select(*SERIES, hour.alias("hour")).distinct()
+    sent = seen.select(*SERIES, F.explode(ends).alias("window_end")).distinct()
+    return sent.groupBy("metric_id", "window_end").agg(F.count("*").alias("exact_series"))
+
+
 def cardinality_stats(
     samples: DataFrame, as_of, limits: CardinalityLimits = CardinalityLimits()
 ) -> DataFrame:
