@@ -119,10 +119,10 @@ def _in_pieces(table: DataFrame, pieces: list[Piece], column: str) -> DataFrame:
     return table.filter(wanted)
 
 
-def covered_parts(samples: DataFrame, rollup_tables: Mapping[str, DataFrame], pieces: list[Piece]) -> DataFrame:
+def covered_parts(samples: DataFrame | None, rollup_tables: Mapping[str, DataFrame], pieces: list[Piece]) -> DataFrame:
     """Partial aggregates of a cover: one scan per grain it names, none of the others.
 
-    All tables hold one metric, already filtered by labels.
+    All tables hold one metric, already filtered by labels; ``samples`` may be missing where no piece is raw.
     """
     named = {piece.grain for piece in pieces}
     made = None
@@ -130,7 +130,7 @@ def covered_parts(samples: DataFrame, rollup_tables: Mapping[str, DataFrame], pi
         mine = [piece for piece in pieces if piece.grain == grain]
         rows = _in_pieces(rollup_tables[grain], mine, "bucket").select(*_PARTS)
         made = rows if made is None else made.unionByName(rows)
-    if RAW in named or made is None:
+    if RAW in named:
         finest = min(grain.seconds for grain in GRAINS.values())
         rest = _in_pieces(samples, [piece for piece in pieces if piece.grain == RAW], "time")
         rows = rest.groupBy(time_bucket("time", finest).alias("bucket")).agg(
@@ -142,7 +142,7 @@ def covered_parts(samples: DataFrame, rollup_tables: Mapping[str, DataFrame], pi
 
 
 def covered_buckets(
-    samples: DataFrame, rollup_tables: Mapping[str, DataFrame], pieces: list[Piece], width_seconds: int
+    samples: DataFrame | None, rollup_tables: Mapping[str, DataFrame], pieces: list[Piece], width_seconds: int
 ) -> DataFrame:
     """Bucket statistics over a cover, equal to those from the samples."""
     if width_seconds % min(grain.seconds for grain in GRAINS.values()):
@@ -151,7 +151,7 @@ def covered_buckets(
 
 
 def covered_total(
-    samples: DataFrame, rollup_tables: Mapping[str, DataFrame], pieces: list[Piece], start
+    samples: DataFrame | None, rollup_tables: Mapping[str, DataFrame], pieces: list[Piece], start
 ) -> DataFrame:
     """Statistics of the whole range as one row at its start; no row when it is empty."""
     made = covered_parts(samples, rollup_tables, pieces).agg(

@@ -14,8 +14,8 @@ from seriesframe.config import Settings
 from seriesframe.functions.labels import from_key, literal_map
 from seriesframe.functions.times import day_of, utc, utc_day
 from seriesframe.operators import (
-    aggregates, archive, cardinality, catalog, changes, counters, lifecycle, postings, rollups,
-    upsert,
+    aggregates, archive, cardinality, catalog, changes, counters, cover, lifecycle, postings,
+    rollups, upsert,
 )
 from seriesframe.operators.filters import (
     check_range, default_range, filter_labels, filter_metric, filter_time,
@@ -149,13 +149,13 @@ class SeriesStore:
             state[day.isoformat()] = [*state.get(day.isoformat(), []), folder]
         return state
 
-    def valid_days(self, grain: str) -> list[date]:
+    def valid_days(self, grain: str, now: dict[str, list[str]] | None = None) -> list[date]:
         """Days whose rollups hold all their samples: nothing has changed since they were made.
 
         Archived days count as changed, since the archive may have been corrected.
         """
         made = tables.snapshot(self.spark, self.path(f"rollup_{grain}_state"))
-        now = self._state_of_days()
+        now = self._state_of_days() if now is None else now
         return [date.fromisoformat(day) for day, state in made.items() if now.get(day) == state]
 
     def series_seen(self) -> DataFrame:
@@ -348,28 +348,42 @@ class SeriesStore:
     def routed_query(self, request: QueryRequest, as_of, fresh_until=None) -> DataFrame:
         """Like :meth:`query`, answering plain bucket aggregates from the rollups.
 
-        Only days whose rollups are known to be complete come from them, all others from samples.
+        Days come from daily rollups where the answer allows it, the rest of the range from hourly
+        and 5-minute ones, and its edges from samples; only days whose rollups are known to be
+        complete come from them. Without an interval the whole range is one answer.
         """
         start, end, width = queries.check_request(request, self.settings, as_of)
-        grain = rollups.pick_grain(width) if width else None
         plain = request.aggregation and request.aggregation.value in aggregates.PLAIN_AGGREGATES
-        if grain is None or not plain:
-            return self.query(request, as_of)
+        grains = cover.fitting_grains(width)
         first, last = day_of(start), day_of(end)
-        valid = [day for day in self.valid_days(grain) if first <= day <= last]
-        if not valid:
+        if not (plain and grains):
+            return self.query(request, as_of)
+        state = self._state_of_days()
+        valid = {grain: [day for day in self.valid_days(grain, state) if first <= day <= last] for grain in grains}
+        if not any(valid.values()):
             return self.query(request, as_of)
         metric_id = self.resolve(request.metric)["id"]
-        rows = filter_metric(
-            tables.read_table(self.spark, self.path(f"rollup_{grain}"), ROLLUP, first, last), metric_id
-        )
-        if request.labels:
-            rows = filter_labels(rows.withColumn("labels", from_key("labels_key")), request.labels)
-        buckets = rollups.routed_buckets(
-            self.points(metric_id, start, end, request.labels), rows, grain, width, start, end,
-            fresh_until, valid,
-        )
-        made = rollups.routed_agg(buckets, request.aggregation.value, self.settings.query.max_buckets)
+        pieces = cover.range_cover(start, end, grains, valid, fresh_until)
+        rows = {}
+        for grain in {piece.grain for piece in pieces} - {cover.RAW}:
+            mine = [piece for piece in pieces if piece.grain == grain]
+            table = filter_metric(
+                tables.read_table(
+                    self.spark, self.path(f"rollup_{grain}"), ROLLUP, mine[0].begin.date(), mine[-1].end.date()
+                ), metric_id,
+            )
+            if request.labels:
+                table = filter_labels(table.withColumn("labels", from_key("labels_key")), request.labels)
+            rows[grain] = table
+        raw = [piece for piece in pieces if piece.grain == cover.RAW]
+        points = None
+        if raw:
+            points = self.points(metric_id, raw[0].begin, raw[-1].end - timedelta(microseconds=1), request.labels)
+        if width:
+            made = cover.covered_buckets(points, rows, pieces, width)
+        else:
+            made = cover.covered_total(points, rows, pieces, start)
+        made = rollups.routed_agg(made, request.aggregation.value, self.settings.query.max_buckets)
         return made.select(
             F.col("bucket").alias("timestamp"), "value", literal_map(request.labels).alias("labels")
         )

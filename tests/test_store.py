@@ -257,6 +257,7 @@ def test_bucket_cap(spark, frozen):
 
 @pytest.mark.parametrize("aggregation, interval", [
     ("SUM", "5m"), ("AVG", "2h"), ("MIN", "1d"), ("MAX", "7d"), ("COUNT", "1h"),
+    ("SUM", None), ("AVG", None),
 ])
 def test_routed_equals_raw(frozen, aggregation, interval):
     filled = frozen
