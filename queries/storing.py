@@ -285,7 +285,7 @@ def store_routed(spark, sf_dir):
     store.upsert_samples(second, ["arrival"])
     store.archive(v.AS_OF)
     request = QueryRequest("view", "2024-01-02 03:17:11", "2024-01-28 21:44:59", {}, Aggregation.SUM, "1h")
-    found = store.routed_query(request, v.AS_OF).drop("labels")
+    found = store.routed_query(request, v.AS_OF, scan_rows=0).drop("labels")
     return v.tidy(found.withColumnRenamed("value", "sum_value"))
 
 

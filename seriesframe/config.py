@@ -35,6 +35,7 @@ class QueryLimits:
     max_limit: int = 10_000  # largest limit that a caller may ask for
     max_buckets: int | None = None  # newest buckets of an answer; None gives all
     instant_window_seconds: int = 60
+    scan_rows: int = 1_000_000  # rows that opening one more rollup table must save; 0 opens any
 
 
 @dataclass(frozen=True)

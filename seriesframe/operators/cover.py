@@ -103,6 +103,14 @@ def estimate_rows(rollup_tables: Mapping[str, DataFrame]) -> dict[str, float]:
     return rates | {RAW: max(row["samples"] / row["days"] for row in found.values())} if found else {}
 
 
+def finer_rows(rates: Mapping[str, float]) -> dict[str, float]:
+    """Estimates completed: a grain has at most one row per series and bucket, and no more than the samples."""
+    if not rates:
+        return {}
+    day = GRAINS["1d"].seconds
+    return {g.name: min(rates[RAW], rates["1d"] * day / g.seconds) for g in GRAINS.values()} | dict(rates)
+
+
 def _in_pieces(table: DataFrame, pieces: list[Piece], column: str) -> DataFrame:
     """Rows of these intervals; a table with a day column is pruned by it."""
 

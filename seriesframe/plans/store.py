@@ -47,6 +47,7 @@ class SeriesStore:
         self.spark = configure(spark)
         self.root = root.rstrip("/")
         self.settings = settings
+        self._rates: dict[str, dict[str, float]] = {}  # estimates by metric name; they only steer routing
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -310,6 +311,7 @@ class SeriesStore:
         Days whose rollups were complete before take the changes cell by cell; samples are read
         again only where an extreme was taken back. Other touched days are rolled up from samples.
         """
+        self._rates.clear()
         kept = upsert.last_wins(rows, order).withColumn("day", utc_day("time"))
         with self._scratch() as keep:
             fresh = keep(kept.withColumn("landed", F.lit(0).cast("long")), "upsert")
@@ -345,12 +347,22 @@ class SeriesStore:
         found = self.points(metric["id"], start, end)
         return queries.plan(request, found, metric["type"], as_of, self.settings)
 
-    def routed_query(self, request: QueryRequest, as_of, fresh_until=None) -> DataFrame:
+    def _rows_per_day(self, name: str) -> dict[str, float]:
+        """Estimated rows a day of a metric, from its daily rollup; empty without one."""
+        if not self._rates.get(name):
+            daily = filter_metric(self.rollup("1d"), self.resolve(name)["id"])
+            self._rates[name] = cover.finer_rows(cover.estimate_rows({"1d": daily}))
+        return self._rates[name]
+
+    def routed_query(
+        self, request: QueryRequest, as_of, fresh_until=None, scan_rows: int | None = None
+    ) -> DataFrame:
         """Like :meth:`query`, answering plain bucket aggregates from the rollups.
 
         Days come from daily rollups where the answer allows it, the rest of the range from hourly
         and 5-minute ones, and its edges from samples; only days whose rollups are known to be
-        complete come from them. Without an interval the whole range is one answer.
+        complete come from them. Without an interval the whole range is one answer. A rollup that
+        saves fewer than ``scan_rows`` rows, by estimate, is not opened (None: as in the settings).
         """
         start, end, width = queries.check_request(request, self.settings, as_of)
         plain = request.aggregation and request.aggregation.value in aggregates.PLAIN_AGGREGATES
@@ -358,12 +370,16 @@ class SeriesStore:
         first, last = day_of(start), day_of(end)
         if not (plain and grains):
             return self.query(request, as_of)
+        least = self.settings.query.scan_rows if scan_rows is None else scan_rows
+        rates = self._rows_per_day(request.metric) if least else {}
+        if rates and rates[cover.RAW] * ((utc(end) - utc(start)) / timedelta(days=1)) < least:
+            return self.query(request, as_of)
         state = self._state_of_days()
         valid = {grain: [day for day in self.valid_days(grain, state) if first <= day <= last] for grain in grains}
         if not any(valid.values()):
             return self.query(request, as_of)
         metric_id = self.resolve(request.metric)["id"]
-        pieces = cover.range_cover(start, end, grains, valid, fresh_until)
+        pieces = cover.range_cover(start, end, grains, valid, fresh_until, rates, least)
         rows = {}
         for grain in {piece.grain for piece in pieces} - {cover.RAW}:
             mine = [piece for piece in pieces if piece.grain == grain]
@@ -433,6 +449,7 @@ class SeriesStore:
 
         Rollups of days that are archived stay.
         """
+        self._rates.clear()
         state = self._state_of_days()
         finer = None
         for grain in ("5m", "1h", "1d"):

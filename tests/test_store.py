@@ -266,12 +266,23 @@ def test_routed_equals_raw(frozen, aggregation, interval):
                                (HOUR + 18, HOUR + 19, {}), (30, 40, {})]:
         request = QueryRequest("temp", at(start), at(end), labels, **options)
         want = {r.timestamp: r.value for r in filled.query(request, T0).collect()}
-        got = {r.timestamp: r.value for r in filled.routed_query(request, T0).collect()}
+        got = {r.timestamp: r.value for r in filled.routed_query(request, T0, scan_rows=0).collect()}
         assert got == pytest.approx(want)
-        fresh = filled.routed_query(request, T0, fresh_until=at(3 * DAY + 5))
+        fresh = filled.routed_query(request, T0, fresh_until=at(3 * DAY + 5), scan_rows=0)
         assert {r.timestamp: r.value for r in fresh.collect()} == pytest.approx(want)
 
 
+def test_small_ranges_are_answered_by_samples(frozen):
+    """Estimates come from the daily rollup; whichever tables are opened, answers are the same."""
+    request = QueryRequest("temp", at(5), at(9 * DAY), {}, Aggregation.SUM, "1d")
+    assert frozen._rows_per_day("temp")["raw"] == pytest.approx(24, rel=0.1)
+    answers = {n: frozen.routed_query(request, T0, scan_rows=n) for n in (0, 100, 1_000_000)}
+    opened = {n: " ".join(df.inputFiles()) for n, df in answers.items()}
+    assert "rollup_1h" in opened[0] and "rollup_1d" in opened[0]
+    assert "rollup_1d" in opened[100] and "rollup_1h" not in opened[100] and "rollup_" not in opened[1_000_000]
+    assert len({tuple(tuples(df, "timestamp", "value")) for df in answers.values()}) == 1
+
+
 def test_rollups_agree(frozen):
     filled = frozen
     for grain in ("5m", "1h", "1d"):
@@ -340,7 +351,7 @@ def answers(store):
     return [
         tuples(query(store, limit=10_000), "timestamp", "value"),
         tuples(query(store, aggregation=Aggregation.AVG, interval="1h"), "timestamp", "value"),
-        tuples(store.routed_query(QueryRequest("temp", at(0), end, {}, Aggregation.SUM, "1d"), end), "timestamp", "value"),
+        tuples(store.routed_query(QueryRequest("temp", at(0), end, {}, Aggregation.SUM, "1d"), end, scan_rows=0), "timestamp", "value"),
         [tuple(r) for r in store.statistics("temp", end, at(0), end).collect()],
         tuples(store.counter_rate("hits", at(0), end), "time", "rate"),
         tuples(store.instant("temp", at(HOUR + 20)), "timestamp", "value"),
@@ -364,7 +375,7 @@ def test_routing_trusts_only_complete_rollups(spark, registered, folder):
 
     def check():
         want = tuples(store.query(request, at(3 * DAY)), "timestamp", "value")
-        assert tuples(store.routed_query(request, at(3 * DAY)), "timestamp", "value") == want
+        assert tuples(store.routed_query(request, at(3 * DAY), scan_rows=0), "timestamp", "value") == want
         return len(want)
 
     assert check() == 44 and store.valid_days("1h") == []  # never built
