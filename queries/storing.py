@@ -25,7 +25,7 @@ from seriesframe.sources import export, tables
 from seriesframe.sources.archive import read_archive_days
 from seriesframe.sources.samples import read_samples_json, read_samples_ndjson
 from seriesframe.streaming.ingest import dedup_first_wins, start, stream_ingest
-from seriesframe.streaming.rates import stream_rate
+from seriesframe.streaming.rates import current_rates, stream_rate
 from seriesframe.streaming.rollups import write_stream_rollup
 
 CUTOFF = date(2024, 1, 11)
@@ -660,27 +660,39 @@ def stream_then_refresh(spark, sf_dir):
     return v.tidy(store.rollup("1h").select("bucket", "metric_id", "labels_key", "sum_value", "sample_count"))
 
 
-@query("stream_rate", views=v.V_COUNTER, sql="""
+_STREAM_RATE_SQL = """
 SELECT time, metric_id, labels_key, round(
     CASE WHEN value < pv THEN value ELSE value - pv END / (epoch_us(time) - epoch_us(pt)) * 1e6 + 1e-9, 6) AS rate
 FROM (SELECT *, lag(value) OVER w AS pv, lag(time) OVER w AS pt FROM v_counter
       WINDOW w AS (PARTITION BY metric_id, labels_key ORDER BY time)) o
-WHERE pt IS NOT NULL""")
-def stream_rate_query(spark, sf_dir):
-    """The counters arrive ten days at a time; the stream is restarted for each arrival."""
+WHERE pt IS NOT NULL"""
+
+
+def _streamed_rates(spark: SparkSession, arrivals: list[DataFrame]) -> DataFrame:
+    """Counters in several arrivals; the stream is restarted for each of them."""
     arrived, path = scratch_path(spark, "arrived"), scratch_path(spark, "stream-rate")
-    state, checkpoint = scratch_path(spark, "last"), scratch_path(spark, "checkpoint")
-    rows = v.with_day(v.counter_samples(spark, sf_dir)).select(*KEY_VALUE, "day")
-    for low, high in _day_spans(rows, 10):
-        span = rows.filter(F.col("day").between(F.lit(low), F.lit(high)))
-        span.write.mode("append").parquet(arrived)
+    state, checkpoint = scratch_path(spark, "state"), scratch_path(spark, "checkpoint")
+    for rows in arrivals:
+        rows.write.mode("append").parquet(arrived)
         stream = spark.readStream.schema(rows.schema).parquet(arrived)
         stream_rate(stream, path, state, checkpoint, available_now=True).awaitTermination()
-    found = spark.read.schema(RATE).parquet(f"{path}/batch=*")
-    return v.tidy(found.select("time", "metric_id", "labels_key", "rate"))
+    return v.tidy(current_rates(spark, path))
+
+
+@query("stream_rate", views=v.V_COUNTER, sql=_STREAM_RATE_SQL)
+def stream_rate_query(spark, sf_dir):
+    """The counters arrive ten days at a time."""
+    rows = v.with_day(v.counter_samples(spark, sf_dir)).select(*KEY_VALUE, "day")
+    spans = [F.col("day").between(F.lit(low), F.lit(high)) for low, high in _day_spans(rows, 10)]
+    return _streamed_rates(spark, [rows.filter(span) for span in spans])
 
 
-RATE = "time timestamp, metric_id string, labels_key string, rate double"
+@query("stream_rate_shuffled", views=v.V_COUNTER, sql=_STREAM_RATE_SQL)
+def stream_rate_shuffled(spark, sf_dir):
+    """The counters arrive in no order, by the hash of their keys; late ones correct their successors."""
+    rows = v.counter_samples(spark, sf_dir).select(*KEY_VALUE)
+    share = F.pmod(F.xxhash64("time", "labels_key"), F.lit(3))
+    return _streamed_rates(spark, [rows.filter(share == n) for n in range(3)])
 
 
 def _day_spans(rows: DataFrame, days: int) -> list[tuple[date, date]]:

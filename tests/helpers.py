@@ -19,7 +19,7 @@ def at(seconds: float) -> datetime:
 def samples(spark, rows):
     """Rows of (seconds after T0, metric, value, labels)."""
     made = spark.createDataFrame(
-        [(at(s), metric, float(value), labels) for s, metric, value, labels in rows],
+        [(None if s is None else at(s), metric, float(value), labels) for s, metric, value, labels in rows],
         "time timestamp, metric_id string, value double, labels map<string,string>",
     )
     return made.withColumn("labels_key", canonical_key("labels")).withColumn(
