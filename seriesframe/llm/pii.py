@@ -4,7 +4,8 @@ The fixed patterns give the seed entities. The words in front of an entity are i
 patterns. Spark keeps the graph of patterns and the instances that follow them, counts how
 often each pattern occurs at all, and scores both sides in turn: a pattern is as good as the
 share of its occurrences that precede good instances, an instance as good as its patterns together.
-Instances of well-shaped but unmatched text behind good patterns become new entities and seeds.
+Instances of well-shaped but unmatched text behind good patterns become new entities, and these induce
+patterns in the next round.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ KINDS = ("email", "ip", "card", "phone")
 CONTEXT_WORDS = 2
 MIN_SUPPORT = 3
 MIN_CONFIDENCE = 0.8
-ROUNDS = 3
 FILTER_BITS = 22
 
 # The base patterns.
@@ -37,6 +37,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _SIGN = re.compile(r"[0-9@]")
+# Digit groups with brackets, dots and hyphens, joined by single spaces; each ends its word.
+_SPACED = re.compile(r"\(?[0-9][0-9().-]*+(?=[\s\"'>\]},;:!?]|$)(?:\x20\(?[0-9][0-9().-]*+(?=[\s\"'>\]},;:!?]|$))+")
 
 
 def _emails(text: str):
@@ -118,8 +120,9 @@ def shapes_of(form: str) -> list[int]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Words with a digit or ``@`` outside ``taken`` that have the shape of some kind."""
-    found, floor, spans, k = [], 0, sorted(taken), 0
+    """Pieces outside ``taken`` that have the shape of some kind: words with a digit or ``@``, of any
+    length, and runs of digit groups that single spaces join, if the first group alone has no shape."""
+    found, floor, tried, spans, k = [], 0, 0, sorted(taken), 0
     for sign in _SIGN.finditer(text):
         if sign.start() < floor:
             continue
@@ -129,16 +132,27 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
         end = sign.end()
         while end < len(text) and not text[end].isspace():
             end += 1
-        floor = end
+        floor, word = end, begin
         while begin < end and text[begin] in "\"'<([{=,;:.!?":
             begin += 1
         while end > begin and text[end - 1] in "\"'>)]}=,;:.!?":
             end -= 1
+        kinds = shapes_of(text[begin:end])
+        if not kinds and begin >= tried:
+            run = _SPACED.match(text, begin - (begin > word and text[begin - 1] == "("))
+            if run:
+                # Words within a run that is too long do not begin another one: the scan stays linear.
+                tried = run.end()
+                whole = run[0].rstrip(".-(")
+                kinds = shapes_of(whole)
+                if kinds:
+                    begin, end = run.start(), run.start() + len(whole)
+                    floor = max(floor, end)
         while k < len(spans) and spans[k][1] <= begin:
             k += 1
-        if any(a < end and b > begin for a, b, _ in spans[k : k + 8]):
+        if k < len(spans) and spans[k][0] < end:
             continue
-        found += ((begin, end, kind) for kind in shapes_of(text[begin:end]) if end - begin <= 64)
+        found += ((begin, end, kind) for kind in kinds)
     return found
 
 
@@ -156,13 +170,23 @@ def _patterns(hashes: list[int]) -> list[int]:
 
 
 def contexts(text: str, start: int) -> list[int]:
-    """Patterns of the words in front of ``start``; long words count as a whole."""
-    head = text[max(0, start - 200) : start].rstrip("\"'(<[{")
-    if start > 200 and not text[start - 201].isspace():
-        head = head.split(None, 1)[1] if len(head.split(None, 1)) > 1 else ""
-    if head and not head[-1].isspace():
+    """Patterns of the words in front of ``start``, however long they are."""
+    end, words = start, []
+    while end and text[end - 1] in "\"'(<[{":
+        end -= 1
+    if end and not text[end - 1].isspace():
         return []
-    return _patterns([_word_hash(w) for w in head.split()])
+    while len(words) < CONTEXT_WORDS:
+        while end and text[end - 1].isspace():
+            end -= 1
+        if not end:
+            break
+        begin = end
+        while begin and not text[begin - 1].isspace():
+            begin -= 1
+        words.append(text[begin:end])
+        end = begin
+    return _patterns([_word_hash(w) for w in reversed(words)])
 
 
 def _filter_of(patterns: np.ndarray) -> np.ndarray:
@@ -284,14 +308,16 @@ def _hits(hits: dict[int, int]) -> pa.RecordBatch:
 
 def bootstrap(
     mentions: Mentions, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
-    rounds: int = ROUNDS,
+    rounds: int | None = None,
 ) -> DataFrame:
     """doc_id, text_key, spans: what good patterns find beyond the base patterns.
 
-    Edges join a pattern, a kind and an instance (its lower-cased form), with their number. A
-    pattern needs ``min_support`` different good instances; its confidence is the weight of good
-    instances behind it over all its occurrences plus one. An instance's score is the noisy-or of
-    its patterns' confidences; from ``min_confidence`` on it is good and counts in the next round.
+    Edges join a pattern, a kind and an instance (its lower-cased form), with their number. An instance
+    is good from a score of ``min_confidence`` on; seeds have 1. In each round ``min_support`` different
+    good instances induce a pattern. Its confidence is the weight of good instances behind it over all
+    its occurrences plus one, and an instance's score the noisy-or of its patterns' confidences. What
+    became good so induces patterns in the next round. Scores never fall, so this ends: when a round
+    brings neither a new pattern nor a new good instance, or after ``rounds``, if given.
     """
     flat = mentions.rows.select("doc_id", "text_key", F.explode("mentions").alias("m")).select(
         "doc_id", "text_key", "m.*"
@@ -301,34 +327,41 @@ def bootstrap(
         .groupBy("pattern", "kind", "form").agg(F.count("*").alias("n"), F.max("seed").alias("seed")),
         "edges",
     )
-    induced = edges.groupBy("pattern").agg(
-        F.sum(F.col("seed").cast("int")).alias("seeds"), F.count("*").alias("forms")
-    ).filter((F.col("seeds") >= 1) & (F.col("forms") >= min_support)).select("pattern")
-    induced = materialize(induced, "induced")
-    scores = edges.groupBy("kind", "form").agg(F.max("seed").cast("double").alias("score"))
-    if not induced.isEmpty():
-        counted = materialize(occurrences(mentions.texts, induced), "occurrences")
-        for turn in range(rounds):
-            scored = edges.join(scores, ["kind", "form"])
-            good = F.col("score") >= min_confidence
-            strong = scored.groupBy("pattern", "kind").agg(
-                F.sum(F.when(good, F.col("score") * F.col("n")).otherwise(0.0)).alias("weight"),
-                F.sum(good.cast("int")).alias("support"),
-            ).filter(F.col("support") >= min_support).join(counted, "pattern").select(
-                "pattern", "kind", F.least(F.col("weight") / (F.col("n") + 1), F.lit(1.0)).alias("confidence")
-            )
-            found = edges.join(strong, ["pattern", "kind"]).filter(F.col("confidence") > 0.1).groupBy(
-                "kind", "form"
-            ).agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999999)))))).alias("by_pattern"))
-            seeds = edges.groupBy("kind", "form").agg(F.max("seed").cast("double").alias("seed_score"))
-            scores = materialize(
-                seeds.join(found, ["kind", "form"], "left").select(
-                    "kind", "form", F.greatest("seed_score", F.coalesce("by_pattern", F.lit(0.0))).alias("score")
-                ),
-                f"scores-{turn}",
-            )
+    seeds = edges.groupBy("kind", "form").agg(F.max("seed").cast("double").alias("seed_score"))
+    scores = seeds.withColumnRenamed("seed_score", "score")
+    good = F.col("score") >= min_confidence
+    counted, turn, n_good = None, 0, -1
+    while rounds is None or turn < rounds:
+        induced = edges.join(scores.filter(good), ["kind", "form"]).groupBy("pattern", "kind").agg(
+            F.sum(F.col("score") * F.col("n")).alias("weight"), F.count("*").alias("support")
+        ).filter(F.col("support") >= min_support)
+        induced = materialize(induced, f"induced-{turn}")
+        fresh = induced.select("pattern").distinct()
+        if counted is not None:
+            fresh = fresh.join(counted, "pattern", "left_anti")
+        fresh = materialize(fresh, f"fresh-{turn}")
+        grown = not fresh.isEmpty()
+        if grown:
+            more = materialize(occurrences(mentions.texts, fresh), f"occurrences-{turn}")
+            counted = more if counted is None else counted.unionByName(more)
+        now = scores.filter(good).count()
+        if counted is None or not (grown or now > n_good):
+            break
+        strong = induced.join(counted, "pattern").select(
+            "pattern", "kind", F.least(F.col("weight") / (F.col("n") + 1), F.lit(1.0)).alias("confidence")
+        )
+        found = edges.join(strong, ["pattern", "kind"]).filter(F.col("confidence") > 0.1).groupBy(
+            "kind", "form"
+        ).agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999999)))))).alias("by_pattern"))
+        scores = materialize(
+            seeds.join(found, ["kind", "form"], "left").select(
+                "kind", "form", F.greatest("seed_score", F.coalesce("by_pattern", F.lit(0.0))).alias("score")
+            ),
+            f"scores-{turn}",
+        )
+        turn, n_good = turn + 1, now
     new = flat.filter(~F.col("seed")).join(
-        scores.filter(F.col("score") >= min_confidence).select("kind", "form"), ["kind", "form"], "left_semi"
+        scores.filter(good).select("kind", "form"), ["kind", "form"], "left_semi"
     )
     span = F.struct("start", "end", "kind")
     return new.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(span)).alias("spans"))
@@ -387,7 +420,8 @@ def mask(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
 def mask_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents with all their columns, personal data in the text replaced by ``<kind>``.
 
-    The base patterns run again where the text stands, so that only spans beyond them are joined.
+    The base patterns run again where the text stands, so that only spans beyond them are joined. A null
+    text becomes an empty one, as far as it is read; repeated rows stay, masked alike.
     """
     new = bootstrap(scan(docs, id_col, text_col), **options)
     new = materialize(new.select(F.col("doc_id").alias("pii_id"), F.col("text_key").alias("pii_key"), "spans"), "new-spans")

@@ -74,6 +74,82 @@ def test_contexts_find_unmatched_identifiers(spark):
     assert sum(bool(made[400 + i]) for i in range(100)) == valid
 
 
+def chained(spark):
+    """Seeds teach one pattern, what it finds a second one, and that one finds the rest."""
+    def bad(i):
+        return f"4000 11{i % 90 + 10} 2222 33{i % 80 + 11}"  # spaced, and mostly failing Luhn
+    rows = [(i, f"text {i} says member no {4 * 10**15 + i * 7919} here") for i in range(600)]
+    rows = [(i, t) for i, t in rows if brute(t)][:40]
+    rows += [(1000 + i, f"and member no {bad(i)} here") for i in range(12)]
+    rows += [(2000 + i, f"and wire to {bad(i)} please") for i in range(12)]
+    rows += [(3000 + i, f"so wire to {bad(60 + i)} please") for i in range(4)]
+    return documents(spark, rows)
+
+
+def brute_bootstrap(rows, min_support=3, min_confidence=0.8):
+    """The rules of bootstrapping, spelled out over plain dictionaries: doc_id -> added spans."""
+    mentions, edges, seed = [], Counter(), {}
+    for doc, text in rows:
+        base = pii.base_spans(text)
+        for a, b, kind, is_seed in [(*s, True) for s in base] + [(*s, False) for s in pii.candidates(text, base)]:
+            form = (kind, text[a:b].lower())
+            seed[form] = max(seed.get(form, 0.0), float(is_seed))
+            words = text[:a].rstrip("\"'(<[{").split()[-2:]
+            patterns = [tuple(w.lower() for w in words[-n:]) for n in range(1, len(words) + 1)]
+            edges.update((p, form) for p in patterns)
+            mentions.append((doc, a, b, form, is_seed))
+    occurs = Counter()
+    for _, text in rows:
+        words = [w.lower() for w in text.split()]
+        occurs.update((w,) for w in words)
+        occurs.update(zip(words, words[1:]))
+    scores, before = dict(seed), None
+    while True:
+        weight, support = Counter(), Counter()
+        for (p, form), n in edges.items():
+            if scores[form] >= min_confidence:
+                weight[p, form[0]] += scores[form] * n
+                support[p, form[0]] += 1
+        strong = {k: min(1.0, weight[k] / (occurs[k[0]] + 1)) for k in weight if support[k] >= min_support}
+        state = (set(strong), sum(s >= min_confidence for s in scores.values()))
+        if state == before or not strong:
+            break
+        before, scores = state, {}
+        for form in seed:
+            miss = 1.0
+            for (p, f) in edges:
+                if f == form and strong.get((p, form[0]), 0) > 0.1:
+                    miss *= 1 - min(strong[p, form[0]], 0.999999)
+            scores[form] = max(seed[form], 1 - miss)
+    return {(d, a, b, form[0]) for d, a, b, form, is_seed in mentions if not is_seed and scores[form] >= min_confidence}
+
+
+def test_found_identifiers_induce_patterns_in_turn(spark):
+    docs = chained(spark)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    spans = pii.bootstrap(pii.scan(docs)).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
+    got = {(r.doc_id, r.start, r.end, r.kind) for r in spans.collect()}
+    assert got == brute_bootstrap(rows)
+    assert {doc for doc, *_ in got} >= {3000, 3001, 3002, 3003} | {1000}
+    once = pii.bootstrap(pii.scan(docs), rounds=1)
+    assert once.filter("doc_id >= 3000").isEmpty()
+
+
+def test_spaced_forms_and_words_of_any_length():
+    def pieces(text):
+        return {text[a:b] for a, b, _ in pii.candidates(text, [])}
+    assert pieces("call (743) 555-3824, please") == {"(743) 555-3824"}
+    assert pieces("card 4111 1111 1111 1112.") == {"4111 1111 1111 1112"}
+    assert pieces("id 4111111111111112 12") == {"4111111111111112"}
+    assert pieces("12 3rd 4567890th") == {"4567890th"}
+    assert pieces(" ".join(["77"] * 200_000)) == set()
+    long = "a" * 300 + "@" + "b" * 300
+    assert pieces(f"mail {long} now") == {long}
+    word = "w" * 5000
+    assert pii.contexts(f"x {word} 12", 5003) == pii._patterns([pii._word_hash("x"), pii._word_hash(word)])
+    assert pii.contexts("ab12", 2) == [] and pii.contexts("12", 0) == []
+
+
 def test_masking(spark):
     docs = planted(spark)
     masked = pii.mask_pii(docs)
