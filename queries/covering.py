@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from queries import views as v
 from queries.registry import query
-from seriesframe.operators import cardinality, cover, rollups, sketches
+from seriesframe.operators import cardinality, cover, quantiles, rollups, sketches
 from seriesframe.operators.filters import filter_metric
 from seriesframe.session import materialize
 
@@ -105,3 +105,33 @@ def cardinality_sketch_recent(spark, sf_dir):
         "metric_id", "exact_series",
         F.coalesce(sketches.within_bound(F.col("series"), F.col("exact_series")), F.lit(False)).alias("within_bound"),
     )
+
+
+# Percentiles over sketches
+
+
+def _by_sketch(samples, key, width):
+    """Exact percentiles per key; the sketches are a table, as a store would keep them."""
+    table = materialize(quantiles.value_sketches(samples, width, [key]), "value-sketches")
+    found = quantiles.percentiles_by_sketch(samples, table, [0.5, 0.95, 0.99], width, [key])
+    points = [F.col("percentiles")[i].alias(n) for i, n in enumerate(("p50", "p95", "p99"))]
+    return v.tidy(found.select(key, *points))
+
+
+@query("percentile_by_sketch", views=v.V_DENSE, sql="""
+SELECT l_returnflag AS flag, round(quantile_cont(value, 0.5) + 1e-9, 6) AS p50,
+       round(quantile_cont(value, 0.95) + 1e-9, 6) AS p95, round(quantile_cont(value, 0.99) + 1e-9, 6) AS p99
+FROM v_dense GROUP BY 1""")
+def percentile_by_sketch(spark, sf_dir):
+    """Values that do not follow time: every bucket straddles, only the slice is shuffled."""
+    rows = v.dense_samples(spark, sf_dir).withColumn("flag", F.col("labels")["returnflag"])
+    return _by_sketch(rows, "flag", 30 * 86_400)
+
+
+@query("percentile_by_sketch_counter", views=v.V_COUNTER, sql="""
+SELECT metric_id, round(quantile_cont(value, 0.5) + 1e-9, 6) AS p50,
+       round(quantile_cont(value, 0.95) + 1e-9, 6) AS p95, round(quantile_cont(value, 0.99) + 1e-9, 6) AS p99
+FROM v_counter GROUP BY 1""")
+def percentile_by_sketch_counter(spark, sf_dir):
+    """Values that grow with time: buckets below a bracket are counted unread."""
+    return _by_sketch(v.counter_samples(spark, sf_dir), "metric_id", 900)

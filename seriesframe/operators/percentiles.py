@@ -15,7 +15,7 @@ opened to the whole value range, so the answer is always exact.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,7 +88,12 @@ def _ranked_percentiles(
 ) -> DataFrame:
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"))
     targets = materialize(_targets(rows, keys, fractions), "percentile-targets")
-    picked = materialize(_pick(rows, keys, targets), "percentile-picks")
+    return solve(targets, keys, lambda wanted: _counted(rows, keys, wanted))
+
+
+def solve(targets: DataFrame, keys: list[str], counted: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``keys, percentiles`` from brackets, which ``counted`` turns into counted slices of values."""
+    picked = materialize(_pick(counted(targets), keys, targets), "percentile-picks")
     on = [*keys, "i"]
     # A bracket that missed (a rank has no value) is opened to the whole range.
     missed = targets.join(
@@ -99,7 +104,7 @@ def _ranked_percentiles(
             missed.withColumn("lo", F.lit(LOWEST)).withColumn("hi", F.lit(HIGHEST)),
             "percentile-targets",
         )
-        again = _pick(rows, keys, opened)
+        again = _pick(counted(opened), keys, opened)
         picked = picked.join(opened, on, "left_anti").unionByName(again)
     value_at = F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("part")
     return (
@@ -116,30 +121,48 @@ def _targets(rows: DataFrame, keys: list[str], fractions: Sequence[float]) -> Da
     sketch = rows.groupBy(*keys).agg(
         F.count("v").alias("n"), F.percentile_approx("v", edges, ACCURACY).alias("q")
     )
+    return brackets(sketch, keys, fractions, MARGIN, lambda j: F.col("q")[j])
+
+
+def brackets(
+    groups: DataFrame, keys: list[str], fractions: Sequence[float], margin: float, edge: Callable[[int], Column]
+) -> DataFrame:
+    """A row per group and fraction from groups with ``n``; ``edge`` gives the lower, then the upper
+    value of each fraction's bracket."""
     parts = []
     for i, fraction in enumerate(fractions):
-        lo = F.lit(LOWEST) if fraction - MARGIN <= 0 else F.col("q")[2 * i]
-        hi = F.lit(HIGHEST) if fraction + MARGIN >= 1 else F.col("q")[2 * i + 1]
+        lo = F.lit(LOWEST) if fraction - margin <= 0 else edge(2 * i)
+        hi = F.lit(HIGHEST) if fraction + margin >= 1 else edge(2 * i + 1)
         at = F.lit(float(fraction)) * (F.col("n") - 1)
         parts.append(F.struct(
             F.lit(i).alias("i"), lo.alias("lo"), hi.alias("hi"),
             F.floor(at).alias("k0"), F.ceil(at).alias("k1"), (at - F.floor(at)).alias("part"),
         ))
-    return sketch.select(*keys, F.explode(F.array(*parts)).alias("t")).select(*keys, "t.*")
+    return groups.select(*keys, F.explode(F.array(*parts)).alias("t")).select(*keys, "t.*")
 
 
-def _pick(rows: DataFrame, keys: list[str], targets: DataFrame) -> DataFrame:
-    """``keys, i, v0, v1``: the values at ranks k0 and k1, NULL where the bracket missed."""
-    on = [*keys, "i"]
-    # The targets are a few rows per hot group. They are a written table, so Spark knows their
-    # size: it broadcasts them while that is small and splits the hot groups of a shuffle join
-    # beyond. The join only tags rows; what is shuffled next is already counted.
-    counted = (
-        rows.join(targets, keys)
-        .filter(F.col("v") <= F.col("hi"))
+def _counted(rows: DataFrame, keys: list[str], targets: DataFrame) -> DataFrame:
+    """``keys, i, v, c``: values within the brackets and their number; v NULL: all below a bracket.
+
+    The targets are a few rows per hot group. They are a written table, so Spark knows their size: it
+    broadcasts them while that is small and splits the hot groups of a shuffle join beyond. The join
+    only tags rows; what is shuffled next is already counted.
+    """
+    return tally(rows.join(targets, keys), [*keys, "i"])
+
+
+def tally(tagged: DataFrame, on: list[str]) -> DataFrame:
+    """The counts of rows ``v`` tagged with their bracket."""
+    return (
+        tagged.filter(F.col("v") <= F.col("hi"))
         .groupBy(*on, F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v"))
         .agg(F.count(F.lit(1)).alias("c"))
     )
+
+
+def _pick(counted: DataFrame, keys: list[str], targets: DataFrame) -> DataFrame:
+    """``keys, i, v0, v1``: the values at ranks k0 and k1, NULL where the bracket missed."""
+    on = [*keys, "i"]
     # NULL (everything below the bracket) sorts first, so running counts are true ranks.
     placed = materialize(
         counted.repartitionByRange(*on, "v").withColumn("part_id", F.spark_partition_id()),
