@@ -137,3 +137,111 @@ def test_sites_without_labels_or_rows(spark):
     assert sites.classify(docs.limit(0), none).collect() == []
     one = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     assert sites.classify(docs, one).filter("kept").count() == 3
+
+
+def brute_properties(text):
+    words, lines = (text or "").split(), [x for x in (text or "").split("\n") if x.strip()]
+    if not words:
+        return [0.0] * 8
+    single = [c if ord(c) < 256 else "?" for c in text]
+    shares = [
+        sum(c in set("ABCDEFGHIJKLMNOPQRSTUVWXYZ") or 192 <= ord(c) < 223 and ord(c) != 215 for c in single),
+        sum(c in "#*$%&|<>{}[]=~^_\\" for c in single), single.count("!"), sum(c in "0123456789" for c in single),
+    ]
+    n, counts = len(words), Counter(words)
+    return [x / len(single) for x in shares] + [
+        (len(counts) / n) ** 0.5 if n > 1 else 1.0, max(counts.values()) / n if n > 1 else 0.0,
+        1 - len(set(lines)) / len(lines), np.log(n) / 10,
+    ]
+
+
+def brute_shrunk(groups):
+    """(n, good, prior) by site -> posterior by site, the strength by moments."""
+    seen = sum(n * (g / n - p) ** 2 for n, g, p in groups.values())
+    chance = sum(p * (1 - p) for _, _, p in groups.values())
+    whole = sum(n * p * (1 - p) for n, _, p in groups.values())
+    strength = 10_000.0
+    if whole > chance and seen > chance:
+        strength = min(max((whole - chance) / (seen - chance) - 1, 2.0), 10_000.0)
+    return {k: (g + strength * p) / (n + strength) for k, (n, g, p) in groups.items()}
+
+
+def test_site_quality_against_brute_force(spark):
+    """Properties, regression, both posteriors and the verdict, computed again from their definitions."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    labels = {r.doc_id: float(r.quality) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    made = {r.doc_id: r for r in registered.op5_site_quality(spark, SF).collect()}
+    assert len(made) == len(docs)
+    facts = {r.doc_id: brute_properties(r.text) for r in docs}
+    site = {r.doc_id: (r.source or "", r.lang or "") for r in docs}
+    known = [i for i in facts if i in labels]
+    x, y = np.array([facts[i] for i in known]), np.array([labels[i] for i in known])
+    mean, spread = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1.0)
+    z = np.column_stack([(x - mean) / spread, np.ones(len(x))])
+    base, ridge = np.log((y.sum() + 1) / (len(y) - y.sum() + 1)), np.diag([1.0] * 8 + [0.0])
+    w = np.array([0.0] * 8 + [base])
+    for _ in range(100):  # damped Newton steps to the only minimum of a convex loss
+        p = 1 / (1 + np.exp(-z @ w))
+        step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + ridge + 1e-6 * np.eye(9), z.T @ (p - y) + ridge @ w)
+        w -= np.clip(step, -3, 3)
+    prior = (y.sum() + 1) / (len(y) + 2)
+    hosts, paths = {}, {}
+    for i, good in zip(known, y):
+        n, g, _ = hosts.get(site[i][0], (0, 0.0, 0))
+        hosts[site[i][0]] = (n + 1, g + good, prior)
+    by_host = brute_shrunk(hosts)
+    for i, good in zip(known, y):
+        n, g, _ = paths.get(site[i], (0, 0.0, 0))
+        paths[site[i]] = (n + 1, g + good, by_host[site[i][0]])
+    by_path = brute_shrunk(paths)
+    for i, fact in facts.items():
+        host = by_host.get(site[i][0], prior)
+        path = by_path.get(site[i], host)
+        evidence = min(max(np.append((np.array(fact) - mean) / spread, 1.0) @ w - base, -30), 30)
+        quality = 1 / (1 + np.exp(-(np.log(path / (1 - path)) + evidence)))
+        got = made[i]
+        assert (got.host_posterior, got.path_posterior) == pytest.approx((host, path), abs=1e-9)
+        assert got.evidence == pytest.approx(evidence, abs=0.02) and got.quality == pytest.approx(quality, abs=0.005)
+        assert got.kept == (quality >= sites.THRESHOLD) or abs(quality - sites.THRESHOLD) < 0.005
+
+
+def test_language_query_against_brute_force(spark):
+    """Profiles and cosines spelled out: a loop over words, one vector per letter, true lengths."""
+    sf = "/root/testdata/sf0.001"
+    size, seed, letters, bound = langid.DIMENSIONS, 7, {}, {}
+
+    def letter(c):
+        if c not in letters:
+            bits = np.random.Generator(np.random.PCG64([seed, ord(c)])).integers(0, 2, size)
+            letters[c] = np.where(bits == 1, 1.0, -1.0)
+        return letters[c]
+
+    def vector(text):
+        total, counts = np.zeros(size), Counter()
+        for word in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split():
+            padded = f" {word} "
+            counts.update(padded[k : k + 3] for k in range(len(padded) - 2))
+        for gram, n in counts.items():
+            if gram not in bound:
+                a, b, c = map(letter, gram)
+                bound[gram] = np.roll(a, 2) * np.roll(b, 1) * c
+            total += n * bound[gram]
+        return total
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    vectors = {r.doc_id: vector(r.text) for r in docs}
+    prototypes = {}
+    for r in docs:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            prototypes[r.lang] = prototypes.get(r.lang, 0) + vectors[r.doc_id]
+    names = sorted(prototypes)
+    unit = np.array([prototypes[n] / np.linalg.norm(prototypes[n]) for n in names])
+    for r in registered.op1_language(spark, sf).collect():
+        own = vectors[r.doc_id]
+        if not own.any():
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        cosines = unit @ own / np.linalg.norm(own)
+        best = np.sort(cosines)[::-1]
+        assert r.lang_pred == names[cosines.argmax()] or best[0] - best[1] < 1e-4
+        assert r.score == pytest.approx(max(best[0], 0), abs=0.05)
