@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import os
 import tempfile
@@ -11,6 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,14 +29,18 @@ def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def text_chunks(
     batches: Iterable[pa.RecordBatch], chars: int = CHUNK_CHARS
 ) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """(rows, their texts) in runs of about ``chars`` characters; one long text is its own run."""
+    """(rows, their texts) in runs of about ``chars`` characters; one long text is its own run.
+
+    Only the texts of one run are Python strings at a time, whatever the size of a batch.
+    """
     for batch in batches:
-        texts = batch.column("text").to_pylist()
+        lengths = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()
         begin, size = 0, 0
-        for i, text in enumerate(texts):
-            size += len(text or "") + 1
-            if size >= chars or i == len(texts) - 1:
-                yield batch.slice(begin, i + 1 - begin), texts[begin : i + 1]
+        for i, length in enumerate(lengths):
+            size += length + 1
+            if size >= chars or i == len(lengths) - 1:
+                rows = batch.slice(begin, i + 1 - begin)
+                yield rows, rows.column("text").to_pylist()
                 begin, size = i + 1, 0
 
 
@@ -75,11 +81,21 @@ def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
 def _single_threaded(function: Callable) -> Callable:
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        return function(batches)
+        yield from function(batches)
+        release()
 
     return run
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers outlive their tasks, and later stages need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def hash_share(column: Column | str, share: float) -> Column:
     """True for a fixed pseudo-random ``share`` of the values of ``column``."""
     return F.pmod(F.xxhash64(F.lit("share"), column), F.lit(1_000_000)) < int(share * 1_000_000)
