@@ -28,13 +28,17 @@ def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def text_chunks(
     batches: Iterable[pa.RecordBatch], chars: int = CHUNK_CHARS
-) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """(rows, their texts) in runs of about ``chars`` characters; one long text is its own run.
+) -> Iterator[tuple[pa.RecordBatch, list[str | None] | list[bytes | None]]]:
+    """(rows, their texts) in runs of about ``chars`` characters, or bytes if the texts are binary; one
+    long text is its own run.
 
-    Only the texts of one run are Python strings at a time, whatever the size of a batch.
+    Only the texts of one run are Python objects at a time, whatever the size of a batch.
     """
     for batch in batches:
-        lengths = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()
+        text = batch.column("text")
+        binary = pa.types.is_binary(text.type) or pa.types.is_large_binary(text.type)
+        length = pc.binary_length if binary else pc.utf8_length
+        lengths = pc.fill_null(length(text), 0).to_pylist()
         begin, size = 0, 0
         for i, length in enumerate(lengths):
             size += length + 1

@@ -6,10 +6,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from seriesframe.llm import spelling, substrings, vectorcodes
+from seriesframe.llm.arrow import text_chunks
 from llm_helpers import documents
 
 # Vector codes
@@ -146,6 +148,15 @@ def test_no_documents_have_no_passages(spark):
     assert substrings.drop_repeats(documents(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("kind", [pa.string(), pa.binary(), pa.large_binary()])
+def test_runs_of_texts_and_of_bytes(kind):
+    texts = ["ab", None, "", "x" * 9, "a"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()).cast(kind)], ["text"])
+    runs = [own for _, own in text_chunks([batch, batch.slice(0, 0)], 5)]
+    assert [len(own) for own in runs] == [3, 1, 1]
+    assert sum(runs, []) == batch.column("text").to_pylist()
+
+
 def test_halves_cover_every_window_once():
     words = [b"%d" % i for i in range(21)]
     for before in range(4, 14):
