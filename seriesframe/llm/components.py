@@ -2,35 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesframe.session import materialize
 
 
+def _ranked(node: Column, turn: int) -> Column:
+    """A node behind a hash of the turn, so that the order of nodes is a new one in every turn."""
+    return F.struct(F.xxhash64(F.lit(turn), node).alias("rank"), node.alias("node"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b); a component's label is its smallest node.
 
-    Every turn takes the smallest label among a node's neighbours and then that label's own label,
-    so a chain shortens by half. Each turn is written to the shared folder; none holds a component
-    in one task, and a label that very many nodes have is split by Spark's skewed join.
+    Every turn gives each node the first of itself and its neighbours, in an order that is random
+    and new in each turn, and goes on with the edges between what was given. So nodes and edges
+    shrink by a share in each turn, and all turns together join a small multiple of the edges. Each
+    turn is written to the shared folder; none holds a component in one task, and a label that very
+    many nodes have is split by Spark's skewed join.
     """
-    both = materialize(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = both.groupBy("a").agg(F.min("b").alias("near")).select(
-        F.col("a").alias("node"), F.least("a", "near").alias("label")
-    )
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).select(F.col("a").alias("node"), "label")
-        own = labels.select("node", "label", F.col("label").alias("old"))
-        lowest = near.withColumn("old", F.lit(None).cast(labels.schema["label"].dataType)).unionByName(own)
-        lowest = lowest.groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
-        jump = lowest.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        moved = materialize(
-            lowest.join(jump, "label", "left").select(
-                "node", F.least("label", F.coalesce("further", "label")).alias("label"), "old"
-            ),
-            "labels",
-        )
-        labels = moved.select("node", "label")
-        if moved.filter(F.col("label") != F.col("old")).isEmpty():
-            return labels
+    rest, steps = materialize(edges.select("a", "b").distinct(), "edges"), []
+    while not rest.isEmpty():
+        turn = len(steps)
+        both = rest.union(rest.select("b", "a"))
+        first = both.groupBy("a").agg(F.min(_ranked(F.col("b"), turn)).alias("near"))
+        given = F.least(_ranked(F.col("a"), turn), "near")["node"]
+        steps.append(materialize(first.select(F.col("a").alias("node"), given.alias("given")), "given"))
+        one = steps[-1].select(F.col("node").alias("a"), F.col("given").alias("x"))
+        two = steps[-1].select(F.col("node").alias("b"), F.col("given").alias("y"))
+        between = rest.join(one, "a").join(two, "b").filter("x <> y")
+        rest = materialize(between.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+    if not steps:
+        return rest.select(F.col("a").alias("node"), F.col("a").alias("label"))
+    last = steps.pop()
+    while steps:
+        later = last.select(F.col("node").alias("given"), F.col("given").alias("later"))
+        last = steps.pop().join(later, "given", "left").select("node", F.coalesce("later", "given").alias("given"))
+    last = materialize(last, "given")
+    labels = last.groupBy("given").agg(F.min("node").alias("label"))
+    return materialize(last.join(labels, "given").select("node", "label"), "labels")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from llm_helpers import documents
 from seriesframe.llm import components, lines, neardup, registered
+from seriesframe.session import materialize
 
 
 def classes_of(links, nodes):
@@ -34,6 +35,25 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_join_few_rows(spark, monkeypatch):
+    """All turns together go over few more edges than there are; a chain and a dense group are one class each."""
+    written = []
+
+    def counting(df, label):
+        kept = materialize(df, label)
+        written.append((label, kept.count()))
+        return kept
+
+    monkeypatch.setattr(components, "materialize", counting)
+    dense = [(1000 + a, 1000 + b) for a in range(8) for b in range(a + 1, 300)]
+    edges = [(k, k + 1) for k in range(300)] + dense + [(5000, 5000)]
+    made = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    want = {k: 0 for k in range(301)} | {1000 + k: 1000 for k in range(300)} | {5000: 5000}
+    assert {r.node: r.label for r in made} == want and len(made) == len(want)
+    assert sum(n for label, n in written if label == "edges") < 1.5 * len(edges)
+
+
+
 def weighted(words):
     return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
 
