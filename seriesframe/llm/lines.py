@@ -20,8 +20,9 @@ EDITS = 2
 MIN_CHARS = 24
 # With this as ``min_chars``, every line that is not blank takes part.
 ALL_LINES = 1
-# Letters whose counts tell most candidates apart before the edit distance is computed.
-COUNTED = "etaonirdshlwgbcf"
+# Letters whose counts in so many characters at either end of a line tell most candidates apart before
+# the edit distance is computed.
+COUNTED, END_CHARS = "etaonird", 64
 
 
 def _text(text_col: str) -> Column:
@@ -179,22 +180,28 @@ def within(a: Column, b: Column, edits: int) -> Column:
 
 
 def letter_counts(line: Column) -> Column:
-    """Counts of the letters in ``COUNTED``, modulo 16, four bits each."""
+    """Counts of the letters in ``COUNTED`` at the line's start, then at its end, modulo 16, four bits
+    each: the cost of a line is bounded, and a segment that two lines share hides one end at most."""
     packed = _bits(0)
-    for k, letter in enumerate(COUNTED):
-        count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
+    ends = F.substring(line, 1, END_CHARS), F.substring(line, -END_CHARS, END_CHARS)
+    for k, (end, letter) in enumerate((end, letter) for end in ends for letter in COUNTED):
+        count = F.octet_length(end) - F.octet_length(F.replace(end, F.lit(letter), F.lit("")))
         packed = packed.bitwiseOR(F.shiftleft(F.pmod(count, F.lit(16)).cast("long"), 4 * k))
     return packed
 
 
 def _letters_near(x: Column, y: Column, edits: int) -> Column:
-    """False only for lines more than ``edits`` apart: an edit changes two counts by one at most."""
-    apart = F.lit(0).cast("long")
-    for k in range(len(COUNTED)):
-        own, other = (F.shiftrightunsigned(c, 4 * k).bitwiseAND(_bits(15)) for c in (x, y))
-        gap = F.pmod(own - other, _bits(16))
-        apart = apart + F.least(gap, _bits(16) - gap)
-    return apart <= 2 * edits
+    """False only for lines more than ``edits`` apart: an edit changes two counts of an end by one at
+    most, as the character that it moves over the end's border is one of the two."""
+    near = F.lit(True)
+    for end in range(2):
+        apart = F.lit(0).cast("long")
+        for k in range(end * len(COUNTED), (end + 1) * len(COUNTED)):
+            own, other = (F.shiftrightunsigned(c, 4 * k).bitwiseAND(_bits(15)) for c in (x, y))
+            gap = F.pmod(own - other, _bits(16))
+            apart = apart + F.least(gap, _bits(16) - gap)
+        near = near & (apart <= 2 * edits)
+    return near
 
 
 def candidates(lines: DataFrame, edits: int) -> DataFrame:

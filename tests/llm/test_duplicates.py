@@ -320,3 +320,28 @@ def test_probes_cover_every_shift():
             widths = [size + (rest + p - parts >= 0) for p in range(parts)]
             assert any(d == delta and a[starts[p] : starts[p] + widths[p]] == b[starts[p] + s : starts[p] + s + widths[p]]
                        for d, p, s in lines.probes(edits) if starts[p] + s >= 0)
+
+
+def test_letter_counts_keep_near_lines(spark):
+    """Lines within the edits pass whatever their lengths; lines alike at one end only do not."""
+    rng = random.Random(21)
+
+    def some(n):
+        return "".join(rng.choices("etaonird é", k=n))
+
+    def edited(line):
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randrange(len(line))
+            line = line[:at] + some(rng.randint(0, 2))[:1] + line[at + rng.randint(0, 1) :]
+        return line
+
+    rows = [(a, edited(a), True) for a in (some(rng.choice([6, 63, 64, 65, 66, 130, 400])) for _ in range(300))]
+    ends = [some(200) for _ in range(4)]
+    rows += [(ends[0] + ends[1], ends[0] + ends[2], False), (ends[1] + ends[0], ends[2] + ends[0], False)]
+    # Counts of whole lines agree here, those of the ends do not.
+    rows += [("eta" * 22 + "oni" * 22 + ends[3], "oni" * 22 + "eta" * 22 + ends[3], False)]
+    pairs = spark.createDataFrame(rows, "a string, b string, want boolean").select(
+        "want", lines.letter_counts(F.col("a")).alias("x"), lines.letter_counts(F.col("b")).alias("y")
+    )
+    near = pairs.select("want", lines._letters_near(F.col("x"), F.col("y"), 2).alias("near"))
+    assert near.filter("want <> near").count() == 0
