@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from llm_helpers import documents
@@ -297,6 +298,54 @@ def test_lines_of_rows_that_share_an_id(spark):
         assert len(first) == 16
 
 
+def common_lines(rng):
+    """Lines of three common segments: all near each other, a chain, and lines that are mostly far apart."""
+    starts = ["".join(rng.choices("abcdefgh ", k=40)) + ":" for _ in range(3)]
+    base = "".join(rng.choices("ijkl", k=26))
+    near = {base[:k] + c + base[k + 1 :] for k in range(26) for c in "mnopqrstuvwx"}
+    chain = ["x" * 2 * k + "y" * (80 - 2 * k) for k in range(41)]
+    apart = [base[:k] + "".join(rng.choices("стуab", k=3)) + base[k:] for k in range(27) for _ in range(2)]
+    return starts, sorted(near), chain, sorted(set(apart))
+
+
+def test_lines_of_common_segments_against_all_pairs(spark):
+    starts, near, chain, apart = common_lines(random.Random(31))
+    for hubs, room in ((lines.HUBS, lines.ROOM_PER_LINE), (1, 0)):  # the second goes on with turns while they help
+        of_lines = [starts[0] + t for t in near[::7]] + [starts[1] + t for t in chain] + [starts[2] + t for t in apart]
+        links = [(a, b) for i, a in enumerate(of_lines) for b in of_lines[:i]
+                 if abs(len(a) - len(b)) <= 2 and levenshtein(a, b) <= 2]
+        of, own = classes_of(links, of_lines), dict(enumerate(of_lines))
+        assert len({of[x] for x in of_lines[: len(near[::7]) + len(chain)]}) == 2 and len(set(of.values())) > 20
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(lines, "HUBS", hubs)
+            patch.setattr(lines, "ROOM_PER_LINE", room)
+            made = lines.line_classes(documents(spark, list(own.items()))).collect()
+        by_class = defaultdict(set)
+        for r in made:
+            by_class[r.class_id].add(of[own[r.doc_id]])
+        assert len(made) == len(own) and all(len(v) == 1 for v in by_class.values())
+        assert len(by_class) == len(set(of.values()))
+
+
+def test_lines_of_a_common_segment_are_not_all_paired(spark, monkeypatch):
+    """Twice as many lines that are all near each other: at most about twice as many pairs, not four times."""
+    tested, real = Counter(), lines.materialize
+
+    def counted(df, label):
+        made = real(df, label)
+        if label in ("line-pairs", "line-star", "line-rest"):
+            tested[len(rows)] += made.count()
+        return made
+
+    monkeypatch.setattr(lines, "materialize", counted)
+    starts, near, _, _ = common_lines(random.Random(32))
+    for n in (140, 280):
+        rows = list(enumerate(starts[0] + t for t in near[:n]))
+        made = lines.line_classes(documents(spark, rows)).collect()
+        assert len(made) == n and len({r.class_id for r in made}) == 1
+    assert 0 < tested[280] <= 2.5 * tested[140] and tested[280] < 280 * 16
+
+
 def test_line_dedup_is_native(spark):
     docs = documents(spark, line_rows(random.Random(21)))
     for made in (lines.line_classes(docs), lines.drop_repeated(docs), lines.edit_links(lines.lines_of(docs))):
