@@ -10,7 +10,8 @@ over sum of the larger weights.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -59,37 +60,46 @@ class Sampler:
 
     def __init__(self, samples: int = SAMPLES):
         self.samples = samples
-        self.index: dict[tuple[str, int], int] = {}
         self.early = np.empty((0, samples), np.float32)
-        self.marks = np.empty((0, samples), np.uint32)
+        self.level = np.empty((0, samples), np.float32)
+        self.terms = np.empty(0, np.uint64)
+        self._forget()
+
+    def _forget(self) -> None:
+        # Row of each term and count; a new one gets the next row.
+        self.index: dict[tuple[str, int], int] = defaultdict(count().__next__)
 
     def term(self, word: str) -> int:
         data = word.encode("utf-8", "surrogatepass")
         return zlib.crc32(data) | (zlib.adler32(data[::-1]) ^ len(data) * 0x9E3779B1 & 0xFFFFFFFF) << 32
 
     def _places(self, bags: list[list[tuple[str, int]]]) -> list[np.ndarray]:
-        """Rows of the terms of each bag in ``early`` and ``marks``, new terms added."""
+        """Rows of the terms of each bag in ``early``, ``level`` and ``terms``, new terms added."""
         index, known = self.index, len(self.index)
-        at = [np.array([index.setdefault(pair, len(index)) for pair in bag], np.int64) for bag in bags]
+        at = [np.fromiter(map(index.__getitem__, bag), np.int64, len(bag)) for bag in bags]
         if len(index) > len(self.early):
-            for name in ("early", "marks"):
+            for name in ("early", "level", "terms"):
                 old = getattr(self, name)
-                new = np.empty((max(len(index), 2 * len(old)), self.samples), old.dtype)
+                new = np.empty((max(len(index), 2 * len(old)), *old.shape[1:]), old.dtype)
                 new[:known] = old[:known]
                 setattr(self, name, new)
-        pairs = list(index)[known:]
+        pairs = list(islice(reversed(index), len(index) - known))[::-1]
         terms = np.array([self.term(word) for word, _ in pairs], np.uint64)
+        self.terms[known : len(index)] = terms
         logs = np.log(np.array([n for _, n in pairs], np.float32))
         for lo in range(0, len(pairs), 4096):
             hi = min(lo + 4096, len(pairs))
             r, log_c, beta = _variates(terms[lo:hi], self.samples)
             level = np.floor(logs[lo:hi, None] / r + beta)
             self.early[known + lo : known + hi] = log_c - r * (level - beta) - r
-            self.marks[known + lo : known + hi] = _mixed(
-                terms[lo:hi, None] + level.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            ) >> np.uint64(32)
+            self.level[known + lo : known + hi] = level
         return at
 
+    def _marks(self, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """The samples that terms of these rows make in these columns."""
+        level = self.level[rows, columns].astype(np.int64).astype(np.uint64)
+        return _mixed(self.terms[rows] + level * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+
     def signatures(self, bags: list[Counter]) -> np.ndarray:
         """One row of 32-bit samples per bag; an empty bag has all zeros.
 
@@ -102,13 +112,13 @@ class Sampler:
 
         def take() -> None:
             if len(self.index) + sum(len(pairs) for _, pairs in group) > _MOST_TERMS:
-                self.index.clear()
+                self._forget()
             for (row, _), own in zip(group, self._places([pairs for _, pairs in group])):
                 early = self.early[own]
                 best = early.argmin(0)
                 least = early[best, columns]
                 won = least < first[row]
-                first[row, won], out[row, won] = least[won], self.marks[own[best], columns][won]
+                first[row, won], out[row, won] = least[won], self._marks(own[best], columns)[won]
             group.clear()
 
         for row, bag in enumerate(bags):
@@ -265,9 +275,14 @@ def compare_edited(
                 text[: len(text) - len(text) // 2] + after[: len(text) // 2]
                 for (_, text, _), (_, after, _) in zip(met, met[1:])
             ]
-            made = sampler.signatures([bag(r[1]) for r in own] + [bag(t) for t in edited])
-            signed = np.concatenate([held[1][None], made[: len(own)]]) if held else made[: len(own)]
-            changed = made[len(own) :]
+            # Edited texts stand next to the texts that they are made of: their terms' draws are at hand.
+            late = len(own) - len(edited)  # 1, unless a row is held: the first row's edited text is yet to come
+            bags = [bag(own[0][1])] if late else []
+            for (_, text, _), other in zip(own[late:], edited):
+                bags += [bag(text), bag(other)]
+            made = sampler.signatures(bags)
+            signed = np.concatenate([held[1][None] if held else made[:1], made[late::2]])
+            changed = made[late + 1 :: 2]
             held = met[-1], signed[-1]
             kept = [i for i in range(len(edited)) if met[i][2] == 0]
             yield pa.RecordBatch.from_arrays(

@@ -201,6 +201,15 @@ def test_splitting_a_batch_changes_nothing(monkeypatch):
     assert (fingerprints.Sampler().signatures(bags) == whole).all()
 
 
+def test_marks_are_made_for_the_earliest_terms_only(monkeypatch):
+    """Three mixed words per term and sample for the draws; the fourth, the mark, once per bag and sample."""
+    mixed, real = [], fingerprints._mixed
+    monkeypatch.setattr(fingerprints, "_mixed", lambda x: mixed.append(x.size) or real(x))
+    sampler = fingerprints.Sampler()
+    sampler.signatures([Counter(f"w{i}" for i in range(2000)), Counter(f"w{i}" for i in range(1000))])
+    assert sum(mixed) <= (3 * 2000 + 2) * fingerprints.SAMPLES + fingerprints.SAMPLES
+
+
 def edited(rows):
     """The stated edit, by brute force over rows in order."""
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
